@@ -33,7 +33,7 @@ from ..functions.sql import Sql, col, fn, lit, named, struct, when
 
 def standalone(value: Sql, before: Sql, after: Sql) -> Sql:
     """Not glued to a longer word or number."""
-    return ~before.rlike("[A-Za-z0-9_]$") & ~after.rlike("^[A-Za-z0-9_]")
+    return ~before.rlike(r"[A-Za-z0-9_]\z") & ~after.rlike("^[A-Za-z0-9_]")
 
 
 def digits_of(value: Sql) -> Sql:
@@ -101,7 +101,7 @@ def preceded_by(words: str, check=standalone):
     """The value follows one of ``words`` and a linking word or sign."""
 
     def accept(value: Sql, before: Sql, after: Sql) -> Sql:
-        return before.rlike(rf"(?i)(?:^|[^a-z])(?:{words}){_IS}$") & check(
+        return before.rlike(rf"(?i)(?:^|[^a-z])(?:{words}){_IS}\z") & check(
             value, before, after
         )
 
@@ -109,7 +109,7 @@ def preceded_by(words: str, check=standalone):
 
 
 def _not_in_number(value: Sql, before: Sql, after: Sql) -> Sql:
-    return ~before.rlike("[A-Za-z0-9][-./]?$") & ~after.rlike("^(?:[A-Za-z0-9]|[-/][0-9])")
+    return ~before.rlike(r"[A-Za-z0-9][-./]?\z") & ~after.rlike("^(?:[A-Za-z0-9]|[-/][0-9])")
 
 
 def _date(value: Sql, before: Sql, after: Sql) -> Sql:
@@ -119,7 +119,7 @@ def _date(value: Sql, before: Sql, after: Sql) -> Sql:
 
 def _age(value: Sql, before: Sql, after: Sql) -> Sql:
     said_after = after.rlike("^(?:[ -]years?[ -]olds?|[ -]year-olds?| ?y/?o[^a-z])")
-    said_before = before.rlike("(?i)(?:^|[^a-z])(?:age[d]?|turned|turning)[ :]{1,2}$")
+    said_before = before.rlike(r"(?i)(?:^|[^a-z])(?:age[d]?|turned|turning)[ :]{1,2}\z")
     return (said_after | said_before) & standalone(value, before, after)
 
 
@@ -141,7 +141,7 @@ def _aba(value: Sql, before: Sql, after: Sql) -> Sql:
 
 
 def _zip(value: Sql, before: Sql, after: Sql) -> Sql:
-    return before.rlike(rf"(?:^|[^A-Za-z]){_STATES}[.,]?[ ]+$") & standalone(
+    return before.rlike(rf"(?:^|[^A-Za-z]){_STATES}[.,]?[ ]+\z") & standalone(
         value, before, after
     )
 
@@ -149,7 +149,7 @@ def _zip(value: Sql, before: Sql, after: Sql) -> Sql:
 def _state(value: Sql, before: Sql, after: Sql) -> Sql:
     return (
         value.isin(pools.US_STATES)
-        & before.rlike("[A-Za-z],? $")
+        & before.rlike(r"[A-Za-z],? \z")
         & ~after.rlike("^[A-Za-z0-9_]")
     )
 
@@ -369,30 +369,30 @@ def with_spans(
     resolution like any other.
     """
     patterns = list(patterns)
-    safe, cuts, found = col("_safe"), col("_cuts"), col("_found")
-    step = df.withColumn("_safe", mark_safe(col(text)).column())
+    safe, cuts, found = col("_vf_safe"), col("_vf_cuts"), col("_vf_found")
+    step = df.withColumn("_vf_safe", mark_safe(col(text)).column())
     if patterns:
-        step = step.withColumn("_cuts", cuttings(safe, patterns).column())
+        step = step.withColumn("_vf_cuts", cuttings(safe, patterns).column())
         located_now = located(cuts, patterns)
     else:
-        step = step.withColumn("_cuts", empty("string").column())
+        step = step.withColumn("_vf_cuts", empty("string").column())
         located_now = empty(CANDIDATE)
     if extra is not None:
         supplied = fn.coalesce(to_candidates(col(extra)), empty(CANDIDATE))
         located_now = fn.concat(located_now, supplied)
-    step = step.withColumn("_found", located_now.column())
+    step = step.withColumn("_vf_found", located_now.column())
     if block:
         blocked = rules(block)
-        step = step.withColumn("_blocked", candidates(safe, blocked).column())
+        step = step.withColumn("_vf_blocked", candidates(safe, blocked).column())
         step = step.withColumn(
-            "_found", without_blocked(found, col("_blocked")).column()
-        ).drop("_blocked")
+            "_vf_found", without_blocked(found, col("_vf_blocked")).column()
+        ).drop("_vf_blocked")
     kept = fn.array_sort(found) if overlaps else resolve(found)
-    step = step.withColumn("_found", kept.column())
+    step = step.withColumn("_vf_found", kept.column())
     spans = to_spans(found, col(text), col(language) if language else None)
     return step.withColumn(
         out, when(col(text).is_not_null(), spans).column()
-    ).drop("_safe", "_cuts", "_found")
+    ).drop("_vf_safe", "_vf_cuts", "_vf_found")
 
 
 def known_entities(

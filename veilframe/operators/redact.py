@@ -26,13 +26,14 @@ from .linking import representative
 def patterns_for(
     policy: Policy, dictionaries: Sequence[Pattern] = ()
 ) -> list[Pattern]:
-    """Only what the policy needs: labels that are off never enter the plan."""
-    wanted = [p for p in detection.BUILTIN if policy.is_on(p.label)]
-    wanted += [p for p in dictionaries if policy.is_on(p.label)]
-    wanted += [p for p in detection.rules(policy.allow) if policy.is_on(p.label)]
+    """The detectors of a policy, built-in and its own.
+
+    Labels that are off take part in overlap resolution (their spans are dropped later)
+    unless the policy says ``claim_off=False``, which leaves their detectors out.
+    """
     requested = detection.requested_rules(policy.custom, policy.custom_entities)
-    wanted += [p for p in requested if policy.is_on(p.label)]
-    return wanted
+    every = [*detection.BUILTIN, *dictionaries, *detection.rules(policy.allow), *requested]
+    return [p for p in every if policy.claim_off or policy.is_on(p.label)]
 
 
 def replacement_for(

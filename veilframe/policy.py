@@ -33,6 +33,10 @@ class Policy:
     path_ignore: Sequence[str] = ()
     seed: int | str | None = None
     token_width: int = 16
+    #: Whether labels that are off still claim the text they match, so that e.g. a phone
+    #: number that is off is not redacted as a bare number.  Without it their detectors
+    #: are left out of the plan altogether.
+    claim_off: bool = True
 
     def validate(self) -> "Policy":
         known = set(model.LABELS) | set(self.custom_entities)
