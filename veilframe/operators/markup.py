@@ -48,7 +48,7 @@ def tag_name(tag: Sql) -> Sql:
 
 
 def _tag_segments(tag: Sql) -> Sql:
-    """A tag cut at its quoted attribute values."""
+    """A tag cut at its quoted attribute values (namespace declarations are markup)."""
 
     def cut_value(piece: Sql) -> Sql:
         opening = fn.regexp_extract(piece, "^(=[ \\t\\r\\n]*[\"'])", 1)
@@ -61,14 +61,23 @@ def _tag_segments(tag: Sql) -> Sql:
             struct(kind="markup", text=fn.right(piece, 1)),
         )
 
-    return fn.flatten(
-        fn.transform(
-            _pieces(tag, _VALUE),
-            lambda p, i: when(i % 2 == 1, cut_value(p)).otherwise(
-                fn.array(struct(kind="markup", text=p))
-            ),
+    def cut_values(pieces: Sql) -> Sql:
+        def declares(i: Sql) -> Sql:
+            return pieces[i - 1].rlike(r"[ \t\r\n]xmlns(?::[A-Za-z0-9_.-]+)?[ \t\r\n]*\z")
+
+        return fn.flatten(
+            fn.transform(
+                pieces,
+                lambda p, i: when((i % 2 == 0) | (p == ""), fn.array(plain(p)))
+                .when(declares(i), fn.array(plain(p)))
+                .otherwise(cut_value(p)),
+            )
         )
-    )
+
+    def plain(piece: Sql) -> Sql:
+        return struct(kind="markup", text=piece)
+
+    return let(_pieces(tag, _VALUE), cut_values)
 
 
 def segments(text: Sql, html: bool = True) -> Sql:
