@@ -271,11 +271,11 @@ def language(spark, sf_dir):
           start + length(regexp_replace(substr(text, 1, start), {quoted(chr(0x1F332))}, {quoted(chr(0x1F332) * 2)}, 'g')) - start AS start,
           start + length(value)
             + length(regexp_replace(substr(text, 1, start + length(value)), {quoted(chr(0x1F332))}, {quoted(chr(0x1F332) * 2)}, 'g')) - (start + length(value)) AS "end"
-        FROM ({matches('[a-z]+tion', "(SELECT doc_id, replace(text, '. ', '. ' || chr(127794) || ' ') AS text FROM documents WHERE lang = 'en')")})""",
+        FROM ({matches('[a-z]+tion', "(SELECT doc_id, replace(text, '. ', '. ' || chr(127794) || ' ') AS text FROM documents)")})""",
 )
 def utf16(spark, sf_dir):
     """Offsets after supplementary characters (one is put after every sentence)."""
-    df = documents(spark, sf_dir).where("lang = 'en'").withColumn(
+    df = documents(spark, sf_dir).withColumn(
         "text", F.expr(r"replace(text, '. ', '. \U0001F332 ')")
     )
     found = with_spans(df, [Pattern("WORD", "[a-z]+tion", 0.5)])
@@ -422,15 +422,15 @@ def enabled_labels(spark, sf_dir):
 
 @query(
     "F12_null_texts",
-    f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS text FROM documents)
+    f"""WITH t AS (SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE text END AS text FROM documents)
         SELECT t.doc_id, t.text IS NULL AS is_null, count(m.value) AS n
         FROM t LEFT JOIN ({matches(RULES['EMAIL_ADDRESS'][0])}) m
           ON t.doc_id = m.doc_id AND t.text IS NOT NULL GROUP BY ALL""",
 )
 def null_texts(spark, sf_dir):
-    """Null texts (every fifth one here) pass through with null spans."""
+    """Null texts (here: the German ones) pass through with null spans."""
     df = documents(spark, sf_dir).withColumn(
-        "text", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("text"))
+        "text", F.when(F.col("lang") == "de", F.lit(None)).otherwise(F.col("text"))
     )
     found = with_spans(df, builtin(["EMAIL_ADDRESS"]))
     return found.select(

@@ -66,27 +66,27 @@ def word_runs(df: DataFrame, key: str, text: str, longest: int) -> DataFrame:
             word=fn.lower(col("_pieces")[i]),
         ),
     )
-    # one word per row; longer runs look ahead into the array
-    listed = located.select(key, words.column().alias("_words")).select(
-        key, "_words", F.posexplode(fn.filter(col("_words"), lambda w: lit(True)).column()).alias("_i", "_w")
-    )
-    runs = [
-        F.struct(
-            F.col("_w.start").alias("start"),
-            fn.get(col("_words"), col("_i") + (n - 1))["end"].column().alias("end"),
-            F.array_join(
-                fn.transform(
-                    fn.slice(col("_words"), col("_i") + 1, n), lambda w: w["word"]
-                ).column(),
-                " ",
-            ).alias("run"),
+    listed = located.select(key, words.column().alias("_words"))
+    runs = fn.flatten(
+        fn.transform(
+            col("_words"),
+            lambda w, i: fn.transform(
+                fn.sequence(lit(1), fn.least(lit(longest), fn.size(col("_words")) - i)),
+                lambda n: struct(
+                    start=w["start"],
+                    end=fn.element_at(col("_words"), i + n)["end"],
+                    run=fn.array_join(
+                        fn.transform(
+                            fn.slice(col("_words"), i + 1, n), lambda x: x["word"]
+                        ),
+                        " ",
+                    ),
+                ),
+            ),
         )
-        for n in range(1, longest + 1)
-    ]
-    return (
-        listed.select(key, F.explode(F.array(*runs)).alias("_r"))
-        .where("_r.end is not null")
-        .select(key, "_r.start", "_r.end", F.col("_r.run").alias("key"))
+    )
+    return listed.select(key, F.explode(runs.column()).alias("_r")).select(
+        key, "_r.start", "_r.end", F.col("_r.run").alias("key")
     )
 
 
