@@ -196,6 +196,7 @@ def phone(value: Sql, options: PhoneOptions, seed: Seed) -> Sql:
 # Recognised date forms (shape, pattern), the first that fits wins.
 _D2, _D12, _Y4, _Y2 = "[0-9]{2}", "[0-9]{1,2}", "[0-9]{4}", "[0-9]{2}"
 _MM = "(?:0[1-9]|1[0-2])"
+_LONG = "(?:May|[A-Za-z]{4,9})"
 DATE_FORMS = [
     (rf"^{_Y4}-{_D2}-{_D2}$", "yyyy-MM-dd"),
     (rf"^{_Y4}-{_D2}-{_D2} {_D2}:{_D2}$", "yyyy-MM-dd HH:mm"),
@@ -215,15 +216,15 @@ DATE_FORMS = [
     (rf"^{_D12}/{_D12}/{_Y2}$", "M/d/yy"),
     (rf"^{_D2}/[A-Za-z]{{3}}/{_Y4}$", "dd/MMM/yyyy"),
     (rf"^{_D2}-[A-Za-z]{{3}}-{_Y4}$", "dd-MMM-yyyy"),
+    (rf"^{_D12} {_LONG} {_Y4}$", "d MMMM yyyy"),
     (rf"^{_D12} [A-Za-z]{{3}} {_Y4}$", "d MMM yyyy"),
-    (rf"^{_D12} [A-Za-z]{{4,9}} {_Y4}$", "d MMMM yyyy"),
+    (rf"^{_LONG} {_D12}, {_Y4}$", "MMMM d, yyyy"),
     (rf"^[A-Za-z]{{3}} {_D12}, {_Y4}$", "MMM d, yyyy"),
-    (rf"^[A-Za-z]{{4,9}} {_D12}, {_Y4}$", "MMMM d, yyyy"),
+    (rf"^{_LONG} {_D12} {_Y4}$", "MMMM d yyyy"),
     (rf"^[A-Za-z]{{3}} {_D12} {_Y4}$", "MMM d yyyy"),
-    (rf"^[A-Za-z]{{4,9}} {_D12} {_Y4}$", "MMMM d yyyy"),
     (rf"^{_MM}-{_Y4}$", "MM-yyyy"),
+    (rf"^{_LONG} {_Y4}$", "MMMM yyyy"),
     (rf"^[A-Za-z]{{3}} {_Y4}$", "MMM yyyy"),
-    (rf"^[A-Za-z]{{4,9}} {_Y4}$", "MMMM yyyy"),
 ]
 
 # Strftime codes and their pattern letters.
@@ -266,29 +267,33 @@ def grouped_year(day: Sql, as_of_year: int) -> Sql:
 def date(
     value: Sql, options: DateOptions, seed: Seed, document: Sql | None = None
 ) -> Sql:
-    shift = day_shift(value, options, seed, document)
 
-    def moved(form: Sql) -> Sql:
-        parsed = fn.try_to_timestamp(value, form)
+    def moved(v: Sql, form: str) -> Sql:
+        # the pattern is a literal in every branch: Spark then builds its formatter once
+        parsed = fn.try_to_timestamp(v["value"], form)
         if options.group_year:
-            new = grouped_year(parsed, options.as_of_year).cast("timestamp")
+            new = grouped_year(parsed, options.as_of_year)
+        elif "H" in form:
+            new = parsed + fn.make_dt_interval(v["shift"])
         else:
-            new = when(
-                fn.contains(form, lit("H")), parsed + fn.make_dt_interval(shift)
-            ).otherwise(fn.date_add(parsed.cast("date"), shift).cast("timestamp"))
+            new = fn.date_add(parsed.cast("date"), v["shift"])
         return fn.date_format(new, form)
 
-    extra = [moved(lit(pattern_of(f))) for f in options.extra_formats]
-    shape = when(lit(False), "")
-    for regex, form in DATE_FORMS:
-        shape = shape.when(value.rlike(regex), form)
-    known = let(shape, moved)
+    def known_forms(v: Sql) -> Sql:
+        extra = [moved(v, pattern_of(f)) for f in options.extra_formats]
+        known = when(lit(False), "")
+        for regex, form in DATE_FORMS:
+            known = known.when(v["value"].rlike(regex), moved(v, form))
+        return fn.coalesce(*extra, known)
+
+    shift = day_shift(value, options, seed, document)
+    known = let(struct(value=value, shift=shift), known_forms)
     fallback = (
         scramble(value, seed, "DateText" + options.version)
         if options.scramble_unrecognized
         else value
     )
-    return fn.coalesce(*extra, known, fallback)
+    return fn.coalesce(known, fallback)
 
 
 def age(value: Sql, options: AgeOptions, seed: Seed) -> Sql:
