@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
+from ..functions.sql import col
 from ..options import from_json, to_json
 from ..policy import Policy
 
@@ -116,17 +117,11 @@ def disabled(dataset_entities: DataFrame, dataset: str, label: str) -> DataFrame
 def states(spans: DataFrame, policies: DataFrame, dataset: str) -> DataFrame:
     """Long spans with their effective state, by the policy table.
 
-    The table has one row per label, so its side of the join is broadcast after Spark
-    has filtered it to the dataset; the default row fills the gaps.
+    A dataset has a few rows per label: they are read once and compiled into a ``CASE``,
+    so the spans need no join.
     """
     own = from_rows(policies, dataset)
-    return spans.withColumn("state", own.state(_label()).column())
-
-
-def _label():
-    from ..functions.sql import col
-
-    return col("label")
+    return spans.withColumn("state", own.state(col("label")).column())
 
 
 def snapshot(policy: Policy) -> dict:

@@ -84,9 +84,9 @@ def overlap_recall(
 
 def best(df: DataFrame, name: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., name): highest score; the smallest name when scores tie."""
-    ranked = F.struct(F.col(score).alias("s"), (-F.crc32(F.col(name).cast("string"))).alias("t"))
+    order = F.struct((-F.col(score)).alias("s"), F.col(name).alias("n"))
     return df.groupBy(*by).agg(
-        F.max_by(name, ranked).alias(name), F.max(score).alias(score)
+        F.min_by(name, order).alias(name), F.max(score).alias(score)
     )
 
 

@@ -107,7 +107,9 @@ def apply_spans(
         {
             "redacted_text": splice(col(text), col("_spans"), col("_news")).column(),
             "usage": usage(col(text)).column(),
-            spans: with_new_offsets(col("_spans"), col("_news")).column(),
+            spans: when(
+                col(text).is_not_null(), with_new_offsets(col("_spans"), col("_news"))
+            ).column(),
         }
     ).drop("_spans", "_news")
 

@@ -32,9 +32,8 @@ def redact_transcripts(
     dictionaries: Sequence[Pattern] = (),
 ) -> DataFrame:
     """(key, segment, original_text, redacted_text, spans) per segment."""
-    segments = df.select(
-        key, F.posexplode("segments").alias("segment", "_s")
-    ).select(key, "segment", F.col("_s.text").alias("text"))
+    texts = fn.transform(col("segments"), lambda s: s["text"])
+    segments = df.select(key, F.posexplode(texts.column()).alias("segment", "text"))
     return redact_rows(
         segments, policy, [key], "segment", dictionaries=dictionaries, dense=True
     )
@@ -99,7 +98,8 @@ def intervals(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataF
 
     A partly covered word is muted whole; spans that touch no word drop out.
     """
-    exploded = df.select(key, "words", F.posexplode(spans).alias("span", "_s"))
+    listed = fn.filter(col(spans), lambda s: lit(True))
+    exploded = df.select(key, "words", F.posexplode(listed.column()).alias("span", "_s"))
     touched = fn.filter(
         col("words"),
         lambda w: (w["char_start"] < col("_s.end")) & (w["char_end"] > col("_s.start")),

@@ -69,6 +69,6 @@ def salted_join(
     """
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     copies = dimension.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint")
+        "_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))
     )
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
