@@ -32,8 +32,13 @@ def csv_options(
     quote: str = '"',
     delimiter: str = ",",
     null_marker: str | None = "\\N",
+    multi_line: bool = True,
 ) -> dict[str, object]:
-    """Dialect of a CSV file; ``\\N`` marks null."""
+    """Dialect of a CSV file; the null marker stands for null.
+
+    Fields may hold line breaks unless ``multi_line`` is off, which lets Spark read one
+    large file in splits.
+    """
     options: dict[str, object] = {
         "escape": escape,
         "quote": quote,
