@@ -10,6 +10,7 @@ from veilframe.operators import manifest, policies, quality, reports, request_lo
 from veilframe.operators.detect import builtin, with_spans
 from veilframe.operators.redact import redact_known
 from veilframe.policy import Policy
+from veilframe.session import settle
 
 from .common import (
     SEED,
@@ -82,7 +83,9 @@ def occurrences(spark, sf_dir):
       SELECT source, doc_id, label, text, record, CAST(record // 3 AS BIGINT) AS page FROM n""",
 )
 def paged_occurrences(spark, sf_dir):
-    found = main_spans(spark, sf_dir).select("source", "doc_id", F.col("spans").alias("items"))
+    found = settle(
+        main_spans(spark, sf_dir).select("source", "doc_id", F.col("spans").alias("items"))
+    )
     paged = reports.paged(found, "doc_id", ["source"], size=3)
     return paged.select("source", "doc_id", "item.label", "item.text", "record", "page")
 

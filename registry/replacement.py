@@ -37,7 +37,7 @@ from veilframe.options import (
     PhoneOptions,
 )
 from veilframe.policy import Policy
-from veilframe.session import spread
+from veilframe.session import settle, spread
 
 from .common import (
     SECRET,
@@ -132,14 +132,24 @@ def redact_all_labels(spark, sf_dir):
     + f" SELECT DISTINCT {token_sql('label', 'value')} AS token, label, value AS text FROM resolved",
 )
 def build_vault(spark, sf_dir):
-    return vault.vault_of(_redacted(spark, sf_dir))
+    return vault.vault_of(_redacted(spark, sf_dir)).drop("n")
 
 
 @query("R3_unredact", "SELECT doc_id, text AS unredacted_text FROM documents")
 def unredact(spark, sf_dir):
     done = _redacted(spark, sf_dir).select("doc_id", "redacted_text", "spans")
+    store = settle(vault.vault_of(done))
+    back = vault.unredact(done.select("doc_id", "redacted_text"), store, "doc_id")
+    return back.select("doc_id", "unredacted_text")
+
+
+@query("R3_unredact_large_vault", "SELECT doc_id, text AS unredacted_text FROM documents")
+def unredact_large(spark, sf_dir):
+    """The join taken when the vault is too large to broadcast: hot tokens apart."""
+    done = _redacted(spark, sf_dir).select("doc_id", "redacted_text", "spans")
+    store = settle(vault.vault_of(done))
     back = vault.unredact(
-        done.select("doc_id", "redacted_text"), vault.vault_of(done), "doc_id"
+        done.select("doc_id", "redacted_text"), store, "doc_id", broadcast=False
     )
     return back.select("doc_id", "unredacted_text")
 

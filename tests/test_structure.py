@@ -289,7 +289,8 @@ def test_gazetteer_both_ways(spark, monkeypatch):
     assert result() == want
     import veilframe.operators.gazetteer as module
 
-    monkeypatch.setattr(module, "small", lambda *a: False)
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(module, "MAX_INLINE_TERMS", 0)
     assert result() == want
 
 

@@ -230,6 +230,11 @@ def test_session_helpers(spark):
     assert session.small(df, "id")
     dim = spark.createDataFrame([(1, "x")], "k int, v string")
     assert session.salted_join(df, dim, "k", "id").where("v = 'x'").count() == 100
+    facts = df.withColumn("t", F.expr("CASE WHEN id < 60 THEN 'hot' ELSE concat('t', id) END"))
+    vals = [("hot", "H", 60)] + [(f"t{i}", f"v{i}", 1) for i in range(60, 90)] + [("no", "x", 90000)]
+    dims = spark.createDataFrame(vals, "t string, v string, n int")
+    got = {r.id: r.v for r in session.hot_split_join(facts, dims, "t", "v", "n", "id").collect()}
+    assert got == {i: "H" if i < 60 else f"v{i}" if i < 90 else None for i in range(100)}
     assert session.settle(df).count() == 100
     assert session.spread(df.coalesce(1), "id").count() == 100
 

@@ -91,3 +91,39 @@ def running_starts(lengths: Sql) -> Sql:
 def chars(text: Sql) -> Sql:
     """Code points of a text, one string each."""
     return fn.regexp_extract_all(text, lit("(?s)."), lit(0))
+
+
+def banded(
+    items: Sql, start: Callable[[Sql], Sql], end: Callable[[Sql], Sql]
+) -> Sql:
+    """Intervals in pieces with their bounds, so that ``touching`` looks at few of them."""
+    pieces = fn.transform(
+        indices(fn.size(items), PIECE), lambda i: fn.slice(items, i + 1, PIECE)
+    )
+    return fn.transform(
+        pieces,
+        lambda p: struct(
+            low=fn.array_min(fn.transform(p, start)),
+            high=fn.array_max(fn.transform(p, end)),
+            items=p,
+        ),
+    )
+
+
+def touching(
+    bands: Sql,
+    low: Sql,
+    high: Sql,
+    start: Callable[[Sql], Sql],
+    end: Callable[[Sql], Sql],
+) -> Sql:
+    """Items of ``banded`` that overlap ``[low, high)``, in order.
+
+    Comparing every interval with every other is quadratic in a long row; bands that lie
+    elsewhere are skipped whole.
+    """
+    near = fn.filter(bands, lambda b: (b["low"] < high) & (b["high"] > low))
+    return fn.filter(
+        fn.flatten(fn.transform(near, lambda b: b["items"])),
+        lambda x: (start(x) < high) & (end(x) > low),
+    )

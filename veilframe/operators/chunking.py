@@ -13,7 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty, fold_emit, indices, let, running_starts
+from ..functions.arrays import (
+    banded,
+    empty,
+    fold_emit,
+    indices,
+    let,
+    running_starts,
+    touching,
+)
 from ..functions.spans import MARK, mark_safe
 from ..functions.sql import Sql, col, fn, lit, struct, when
 from ..policy import Policy
@@ -205,57 +213,57 @@ def chunks(
     ``redacted`` (the column written by ``apply_spans``, whose ``spans`` carry new
     offsets) the chunk text is taken from the redacted text over the mapped range.
     """
+    labels = list(metadata_labels)
     sensitive = policy.enabled_labels()
-    cut = split_markdown(df, text, max_chars).withColumn(
-        "_meta",
-        fn.filter(
-            col(spans), lambda s: s["label"].isin(list(metadata_labels))
-        ).column(),
-    )
-    exploded = cut.select(
-        key,
-        text,
-        spans,
-        "_meta",
-        *([redacted] if redacted else []),
-        F.posexplode(
-            fn.filter(col("sections"), lambda s: lit(True)).column()
-        ).alias("chunk_no", "_c"),
-    )
-    start, end = col("_c.start"), col("_c.end")
-    if redacted:
-        def mapped(at: Sql, closing: bool) -> Sql:
-            # shift by the replacements that end before; a span cut in two goes whole
-            # to the chunk where it starts
-            def move(acc: Sql, s: Sql) -> Sql:
-                passed = s["start"] < at
-                return when(passed, s["new_end"] - s["end"]).otherwise(acc)
-
-            inside = fn.exists(
-                col(spans), lambda s: (s["start"] < at) & (s["end"] > at)
+    starts, ends = (lambda s: s["start"]), (lambda s: s["end"])
+    bands = banded(col(spans), starts, ends)
+    cut = split_markdown(df, text, max_chars).withColumn("_bands", bands.column())
+
+    def near(start: Sql, end: Sql) -> Sql:
+        # closed on both sides: widen the half-open range by one
+        return touching(col("_bands"), start - 1, end + 1, starts, ends)
+
+    def moved(at: Sql) -> Sql:
+        """Offset in the redacted text; inside a replaced span, the replacement's end,
+        so that a span cut in two goes whole to the chunk where it starts."""
+        before = fn.filter(col(spans), lambda s: s["start"] < at)
+        last = fn.try_element_at(before, -1)
+        return let(
+            last,
+            lambda s: when(s.is_null(), at)
+            .when(s["end"] > at, s["new_end"])
+            .otherwise(at + s["new_end"] - s["end"]),
+        )
+
+    def chunk(section: Sql) -> Sql:
+        start, end = section["start"], section["end"]
+        if redacted:
+            ranged = let(
+                struct(a=moved(start), b=moved(end)),
+                lambda r: fn.substring(col(redacted), r["a"] + 1, r["b"] - r["a"]),
             )
-            shift = fn.aggregate(col(spans), lit(0), move)
-            new_end = fn.element_at(
-                fn.filter(col(spans), lambda s: (s["start"] < at) & (s["end"] > at)), 1
-            )["new_end"]
-            return when(inside, new_end).otherwise(at + shift)
-
-        begin, finish = mapped(start, False), mapped(end, True)
-        chunk_text = fn.substring(col(redacted), begin + 1, finish - begin)
-    else:
-        chunk_text = fn.substring(col(text), start + 1, end - start)
-    out = [
-        F.col(key),
-        F.col("chunk_no"),
-        F.col("_c.start").alias("start"),
-        F.col("_c.end").alias("end"),
-        chunk_text.column().alias("text"),
-        is_sensitive(col(spans), sensitive, start, end).column().alias("is_sensitive"),
-    ]
-    if include_metadata:
-        touching = fn.filter(col("_meta"), lambda s: intersects(s, start, end))
-        out += [
-            F.col("_c.headers").alias("headers"),
-            entity_texts(touching).column().alias("entities"),
-        ]
-    return exploded.select(*out)
+        else:
+            ranged = fn.substring(col(text), start + 1, end - start)
+
+        def filled(hits: Sql) -> Sql:
+            fields = {
+                "start": start,
+                "end": end,
+                "text": ranged,
+                "is_sensitive": fn.exists(hits, lambda s: s["label"].isin(sensitive)),
+            }
+            if include_metadata:
+                fields["headers"] = section["headers"]
+                fields["entities"] = entity_texts(
+                    fn.filter(hits, lambda s: s["label"].isin(labels))
+                )
+            return struct(**fields)
+
+        return let(near(start, end), filled)
+
+    # chunks are cut inside the row and exploded once finished: the text of a document
+    # is not copied per chunk
+    made = fn.transform(col("sections"), chunk)
+    return cut.select(key, F.posexplode(made.column()).alias("chunk_no", "_c")).select(
+        key, "chunk_no", "_c.*"
+    )

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, running_starts
+from ..functions.arrays import banded, running_starts, touching
 from ..functions.spans import Pattern, splice, usage, with_new_offsets
 from ..functions.sql import Sql, col, fn, lit, struct, when
 from ..policy import Policy
@@ -100,7 +100,6 @@ def rows_of_blocks(
     keys: Sequence[str],
     order: str,
     block_rows: int,
-    extra: dict[str, Sql] | None = None,
 ) -> DataFrame:
     """Back to rows: the rows a block owns, each with the spans that touch it.
 
@@ -113,14 +112,13 @@ def rows_of_blocks(
         lambda v: fn.floor(v["r"]["idx"] / block_rows) == col("_block"),
     )
 
-    def touching(line: Sql) -> Sql:
+    starts, ends = (lambda p: p["s"]["start"]), (lambda p: p["s"]["end"])
+
+    def hits(line: Sql) -> Sql:
         begin = line["at"]
         end = begin + fn.length(fn.coalesce(line["r"]["text"], ""))
-        hit = fn.filter(
-            col("_pairs"), lambda p: (p["s"]["start"] < end) & (p["s"]["end"] > begin)
-        )
         return fn.transform(
-            hit,
+            touching(col("_bands"), begin, end, starts, ends),
             lambda p: struct(
                 start=fn.greatest(p["s"]["start"] - begin, 0),
                 end=fn.least(p["s"]["end"], end) - begin,
@@ -133,15 +131,15 @@ def rows_of_blocks(
             ),
         )
 
-    lines = found.withColumns(
-        {"_pairs": pairs.column(), "_owned": owned.column()}
-    ).select(
+    found = found.withColumns({"_pairs": pairs.column(), "_owned": owned.column()})
+    bands = banded(col("_pairs"), starts, ends)
+    lines = found.withColumn("_bands", bands.column()).select(
         *keys,
         F.explode(
             fn.transform(
                 col("_owned"),
                 lambda v: struct(
-                    ord=v["r"]["ord"], text=v["r"]["text"], hits=touching(v)
+                    ord=v["r"]["ord"], text=v["r"]["text"], hits=hits(v)
                 ),
             ).column()
         ).alias("_line"),

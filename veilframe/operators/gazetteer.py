@@ -15,7 +15,8 @@ from .. import model, pools
 from ..functions.arrays import indices, running_starts
 from ..functions.spans import cut, mark_safe
 from ..functions.sql import Sql, col, fn, lit, struct, when
-from ..session import salted_join, small
+from ..session import BROADCAST_CHARS, BROADCAST_ROWS, salted_join
+from .detect import MAX_INLINE_TERMS
 
 _WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 
@@ -46,8 +47,17 @@ def default_gazetteer(spark) -> DataFrame:
     return spark.createDataFrame(rows, "label string, term string")
 
 
-def word_runs(df: DataFrame, key: str, text: str, longest: int) -> DataFrame:
-    """(key, start, end, run): every run of 1..longest words of every text."""
+def word_runs(
+    df: DataFrame,
+    key: str,
+    text: str,
+    longest: int,
+    known: list[str] | None = None,
+) -> DataFrame:
+    """(key, start, end, run): every run of 1..longest words of every text.
+
+    With ``known`` (a short list) only those runs leave the row.
+    """
     located = (
         df.select(key, text)
         .withColumn("_pieces", cut(mark_safe(col(text)), _WORD).column())
@@ -85,6 +95,8 @@ def word_runs(df: DataFrame, key: str, text: str, longest: int) -> DataFrame:
             ),
         )
     )
+    if known is not None:
+        runs = fn.filter(runs, lambda r: r["run"].isin(known))
     return listed.select(key, F.explode(runs.column()).alias("_r")).select(
         key, "_r.start", "_r.end", F.col("_r.run").alias("key")
     )
@@ -99,13 +111,21 @@ def gazetteer_hits(
 ) -> DataFrame:
     """(key, label, start, end, score): one row per gazetteer term found in a text."""
     terms = keyed(gazetteer)
-    longest = terms.agg(F.max("n_words")).first()[0] or 1
-    runs = word_runs(df.withColumnRenamed(key, "_id"), "_id", text, longest)
+    n_terms, n_chars, longest = terms.agg(
+        F.count(F.lit(1)),
+        F.sum(F.length("label") + F.length("key")),
+        F.max("n_words"),
+    ).first()
+    known = None
+    if n_terms <= MAX_INLINE_TERMS:
+        known = [r.key for r in terms.select("key").distinct().collect()]
+    runs = word_runs(
+        df.withColumnRenamed(key, "_id"), "_id", text, longest or 1, known
+    )
     lookup = terms.groupBy("key").agg(F.sort_array(F.collect_set("label")).alias("_labels"))
-    if small(terms, "label", "key"):
+    if n_terms <= BROADCAST_ROWS and (n_chars or 0) <= BROADCAST_CHARS:
         hits = runs.join(F.broadcast(lookup), "key")
     else:
-        # a semi-join filter first: most runs are in no gazetteer and need not be salted
         hits = salted_join(runs, lookup, "key", "_id")
     return hits.select(
         F.col("_id").alias(key),

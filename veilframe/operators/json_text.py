@@ -14,7 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions.arrays import empty, fold_emit, indices, running_starts
+from ..functions.arrays import (
+    banded,
+    empty,
+    fold_emit,
+    indices,
+    running_starts,
+    touching,
+)
 from ..functions.spans import MARK, Pattern, mark_safe, splice
 from ..functions.sql import Sql, col, fn, lit, struct, when
 from ..policy import Policy
@@ -218,10 +225,14 @@ def redact_json(
         step, patterns_for(policy, dictionaries), "_reading", "_spans", policy.block
     )
 
+    starts, ends = (lambda s: s["start"]), (lambda s: s["end"])
+    found = found.withColumn("_bands", banded(col("_spans"), starts, ends).column())
+
     def own_spans(leaf: Sql, begin: Sql) -> Sql:
         end = begin + fn.length(leaf["value"])
         inside = fn.filter(
-            col("_spans"), lambda s: (s["start"] >= begin) & (s["end"] <= end)
+            touching(col("_bands"), begin, end, starts, ends),
+            lambda s: (s["start"] >= begin) & (s["end"] <= end),
         )
         detected = fn.transform(
             inside,

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
+from ..session import salted_join, small
 
 READY = "Completed"
 
@@ -145,6 +146,14 @@ def num_columns(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("dataset").agg(F.max("n_columns").alias("num_columns"))
 
 
+def _of_files(cells: DataFrame, files: DataFrame) -> DataFrame:
+    """Cells of the given files; one file may hold a large share of all cells."""
+    ids = files.select("file_id").distinct()
+    if small(ids, "file_id"):
+        return cells.join(F.broadcast(ids), "file_id", "left_semi")
+    return salted_join(cells, ids, "file_id", "row_idx")
+
+
 def fetch_all(
     cells: DataFrame, manifest: DataFrame, width: int | None = None
 ) -> DataFrame:
@@ -157,8 +166,7 @@ def fetch_all(
     ready = by_status(manifest, READY)
     if width is None:
         width = ready.agg(F.max("n_columns")).first()[0] or 0
-    # the manifest is small next to the cells but not bounded: let Spark choose the join
-    rows = cells.join(ready.select("file_id"), "file_id", "left_semi")
+    rows = _of_files(cells, ready)
     if width == 0:
         return rows.select("file_id", "row_idx", F.get("values", F.lit(0)).alias("text"))
     columns = [F.get("values", F.lit(i)).alias(f"col{i}") for i in range(width)]
@@ -167,8 +175,8 @@ def fetch_all(
 
 def as_json(cells: DataFrame, manifest: DataFrame) -> DataFrame:
     """(file_id, row_idx, json): every row as a JSON array."""
-    ready = by_status(manifest, READY).select("file_id")
-    return cells.join(ready, "file_id", "left_semi").select(
+    rows = _of_files(cells, by_status(manifest, READY))
+    return rows.select(
         "file_id", "row_idx", F.to_json("values").alias("json")
     )
 

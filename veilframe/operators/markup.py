@@ -13,7 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty, fold_emit, indices, let, running_starts
+from ..functions.arrays import (
+    banded,
+    empty,
+    fold_emit,
+    indices,
+    let,
+    running_starts,
+    touching,
+)
 from ..functions.spans import MARK, STANDIN, Pattern, mark_safe, splice
 from ..functions.sql import Sql, col, fn, lit, struct, when
 from ..policy import Policy
@@ -298,13 +306,12 @@ def redact_markup(
         "_news", new_texts(policy, col("_found"), document).column()
     )
     # spans that touch a value, clipped to it; the replacement goes to the first
-    def touching(place: Sql) -> Sql:
+    starts, ends = (lambda p: p["s"]["start"]), (lambda p: p["s"]["end"])
+
+    def hits_in(place: Sql) -> Sql:
         begin, end = place["at"], place["at"] + fn.length(place["text"])
-        hits = fn.filter(
-            col("_pairs"), lambda p: (p["s"]["start"] < end) & (p["s"]["end"] > begin)
-        )
         return fn.transform(
-            hits,
+            touching(col("_bands"), begin, end, starts, ends),
             lambda p: struct(
                 start=fn.greatest(p["s"]["start"] - begin, 0),
                 end=fn.least(p["s"]["end"], end) - begin,
@@ -318,10 +325,11 @@ def redact_markup(
 
     pairs = fn.zip_with(col("_found"), col("_news"), lambda s, n: struct(s=s, n=n))
     found = found.withColumn("_pairs", pairs.column())
+    found = found.withColumn("_bands", banded(col("_pairs"), starts, ends).column())
     changed = fn.filter(
         fn.transform(
             col("_places"),
-            lambda p: struct(seg=p["seg"], text=p["text"], hits=touching(p)),
+            lambda p: struct(seg=p["seg"], text=p["text"], hits=hits_in(p)),
         ),
         lambda c: fn.size(c["hits"]) > 0,
     )

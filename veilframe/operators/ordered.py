@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows per block, as a power of two.
-BLOCK_BITS = 16
+#: Rows per block, as a power of two: small enough for rows that carry texts.
+BLOCK_BITS = 13
 
 
 def prefix_sum(
@@ -29,7 +29,7 @@ def prefix_sum(
     """``df`` plus ``out``: the sum of ``value`` over earlier rows of the same group.
 
     ``order`` is a non-negative integer, unique within a group.  With the default depth a
-    group is cut twice, so the top level sees one row per 2**32 order values.
+    group is cut twice, so the top level sees one row per 2**26 order values.
     """
     keys = list(keys)
     before = (Window.unboundedPreceding, -1)

@@ -110,7 +110,8 @@ def paged(
     """Numbers records of each group across ``order`` rows: ``record``, ``page``.
 
     ``df`` has one row per (group, order) with an array column ``items``; records are
-    numbered by prefix sums of the array sizes, so no group is sorted in one task.
+    numbered by prefix sums of the array sizes, so no group is sorted in one task.  The
+    frame is read twice (sizes, then items): ``settle`` it when it is costly to compute.
     """
     sized = prefix_sum(df, groups, order, F.size("items").cast("bigint"), "_before")
     listed = sized.select(

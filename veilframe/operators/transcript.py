@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty, fold_emit
+from ..functions.arrays import banded, empty, fold_emit, let, touching
 from ..functions.spans import Pattern
 from ..functions.sql import Sql, col, fn, lit, struct, when
 from ..policy import Policy
@@ -98,21 +98,27 @@ def intervals(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataF
 
     A partly covered word is muted whole; spans that touch no word drop out.
     """
-    listed = fn.filter(col(spans), lambda s: lit(True))
-    exploded = df.select(key, "words", F.posexplode(listed.column()).alias("span", "_s"))
-    touched = fn.filter(
-        col("words"),
-        lambda w: (w["char_start"] < col("_s.end")) & (w["char_end"] > col("_s.start")),
+    starts, ends = (lambda w: w["char_start"]), (lambda w: w["char_end"])
+    step = df.select(
+        key, spans, banded(col("words"), starts, ends).column().alias("_bands")
     )
-    return (
-        exploded.withColumn("_hit", touched.column())
-        .where(F.size("_hit") > 0)
-        .select(
-            key,
-            "span",
-            F.array_min(F.col("_hit.start")).alias("start"),
-            F.array_max(F.col("_hit.end")).alias("end"),
+
+    def interval(s: Sql, i: Sql) -> Sql:
+        hit = touching(col("_bands"), s["start"], s["end"], starts, ends)
+        return let(
+            hit,
+            lambda h: struct(
+                span=i,
+                start=fn.array_min(fn.transform(h, lambda w: w["start"])),
+                end=fn.array_max(fn.transform(h, lambda w: w["end"])),
+            ),
         )
+
+    found = fn.filter(
+        fn.transform(col(spans), interval), lambda x: x["start"].is_not_null()
+    )
+    return step.select(key, F.explode(found.column()).alias("_i")).select(
+        key, "_i.span", "_i.start", "_i.end"
     )
 
 

@@ -1,7 +1,8 @@
 """Token vault and unredaction.
 
-The vault is a table ``(token, label, text)`` written next to the redacted data; it is as
-sensitive as the originals.  Unredaction joins by token, never by document.
+The vault is a table ``(token, label, text, n)`` written next to the redacted data, ``n``
+being the number of occurrences; it is as sensitive as the originals.  Unredaction joins by
+token; the counts tell beforehand which tokens are hot.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from ..functions.arrays import empty, indices, running_starts
 from ..functions.spans import cut, mark_safe, splice
 from ..functions.sql import col, fn, lit, struct, when
 from ..functions.tokens import TOKEN_REGEX
-from ..session import salted_join, small
+from ..session import hot_split_join, small
 
 
 def vault_of(redacted: DataFrame, spans: str = "spans") -> DataFrame:
-    """Distinct tokens of redacted rows with the text they stand for.
+    """Distinct tokens of redacted rows, the text they stand for, and their number.
 
     Partial aggregation removes repeats before the shuffle, so a value that fills a third
     of all rows is still one row per task.
@@ -26,25 +27,29 @@ def vault_of(redacted: DataFrame, spans: str = "spans") -> DataFrame:
         col(spans), lambda s: s["new_text"].rlike(f"^{TOKEN_REGEX}$")
     )
     listed = redacted.select(F.explode(tokens.column()).alias("_s"))
-    return listed.select(
+    return listed.groupBy(
         F.col("_s.new_text").alias("token"),
         F.col("_s.label").alias("label"),
         F.col("_s.text").alias("text"),
-    ).distinct()
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def collisions(vault: DataFrame) -> DataFrame:
     """Tokens that stand for more than one text: widen the tokens until none is left."""
     return (
         vault.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n_texts"))
+        .agg(F.countDistinct("text").alias("n_texts"))
         .where("n_texts > 1")
     )
 
 
 def merge_vault(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Tokens of ``new`` that ``old`` lacks; append them to the stored vault."""
-    return new.join(old.select("token"), "token", "left_anti")
+    """One row per token of both, occurrences added up."""
+    return (
+        old.unionByName(new)
+        .groupBy("token", "label", "text")
+        .agg(F.sum("n").alias("n"))
+    )
 
 
 def tokens_in(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -71,15 +76,26 @@ def tokens_in(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def unredact(
-    df: DataFrame, vault: DataFrame, key: str, text: str = "redacted_text"
+    df: DataFrame,
+    vault: DataFrame,
+    key: str,
+    text: str = "redacted_text",
+    broadcast: bool = True,
 ) -> DataFrame:
-    """``df`` plus ``unredacted_text``; tokens the vault does not know stay."""
+    """``df`` plus ``unredacted_text``; tokens the vault does not know stay.
+
+    ``vault`` is read more than once: give the stored table, not its computation.  It is
+    broadcast only if it is counted and small.
+    """
     found = tokens_in(df, key, text)
-    originals = vault.groupBy("token").agg(F.min("text").alias("_original"))
-    if small(vault, "token", "text"):
-        matched = found.join(F.broadcast(originals), "token")
+    originals = vault.groupBy("token").agg(
+        F.min("text").alias("_original"), F.sum("n").alias("_n")
+    )
+    if broadcast and small(vault, "token", "text"):
+        matched = found.join(F.broadcast(originals.drop("_n")), "token")
     else:
-        matched = salted_join(found, originals, "token", key)
+        known = hot_split_join(found, originals, "token", "_original", "_n", key)
+        matched = known.where(F.col("_original").isNotNull())
     per_row = matched.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "_original"))).alias("_m")
     )

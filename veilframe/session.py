@@ -33,14 +33,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Inputs of more splits than this are never shuffled just to use more cores.
+SPREAD_MAX_SPLITS = 64
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy work on a small input a task per core.
 
-    A scan that already has a split per core is left alone, so large inputs are never
-    shuffled here.
+    Only for scans of fewer splits than cores, and of at most ``SPREAD_MAX_SPLITS``
+    (8 GB at the default split size): larger inputs are read as they lie.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= 2 * cores:
+    if df.rdd.getNumPartitions() >= min(cores, SPREAD_MAX_SPLITS):
         return df
     return df.repartition(cores, *keys)
 
@@ -60,10 +64,10 @@ def salted_join(
     dimension: DataFrame,
     key: str,
     spread_by: str,
-    salts: int = 16,
+    salts: int = 32,
     how: str = "inner",
 ) -> DataFrame:
-    """Join many facts to a dimension with unique ``key`` when a key may be hot.
+    """Join many facts to a dimension with unique ``key`` when any key may be hot.
 
     Facts of one key go to ``salts`` tasks; the dimension is copied once per salt.
     """
@@ -72,3 +76,40 @@ def salted_join(
         "_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))
     )
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+#: A key with at least this share of all facts is joined by broadcast.
+HOT_SHARE = 0.001
+
+
+def hot_split_join(
+    facts: DataFrame,
+    dimension: DataFrame,
+    key: str,
+    value: str,
+    weight: str,
+    spread_by: str,
+) -> DataFrame:
+    """``facts`` plus ``value`` (null where the dimension lacks the key).
+
+    ``weight`` counts how many facts a key has, so the hot keys are known beforehand:
+    at most ``1 / HOT_SHARE`` rows reach the share, which bounds what is broadcast.  Hot
+    facts are answered in place and shuffled under a key of their own row; the others
+    meet the rest of the dimension.  One pass over the facts, no copies.
+    """
+    total = dimension.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) >= F.lit(total * HOT_SHARE)
+    hot = dimension.where(is_hot).select(F.col(key), F.col(value).alias("_hot"))
+    cold = dimension.where(~is_hot).select(
+        F.col(key).alias("_join"), F.col(value).alias("_cold")
+    )
+    answered = facts.join(F.broadcast(hot), key, "left")
+    own = F.concat(F.lit("\u0000"), F.xxhash64(spread_by, key).cast("string"))
+    routed = answered.withColumn(
+        "_join", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(own)
+    )
+    return (
+        routed.join(cold, "_join", "left")
+        .withColumn(value, F.coalesce("_hot", "_cold"))
+        .drop("_join", "_hot", "_cold")
+    )

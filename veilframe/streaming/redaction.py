@@ -57,9 +57,9 @@ def write_with_vault(
 
 
 def read_vault(spark, vault_path: str) -> DataFrame:
-    """All batches of the vault, one row per token."""
+    """All batches of the vault, one row per token and text."""
     return (
         spark.read.parquet(vault_path)
-        .groupBy("token", "label")
-        .agg(F.min("text").alias("text"))
+        .groupBy("token", "label", "text")
+        .agg(F.sum("n").alias("n"))
     )
