@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .sql import Sql, fn, lit, struct, when
+from .sql import Sql, fn, lit, sql, struct, when
 
 #: Elements folded per inner loop; keeps array appends short (see ``fold_emit``).
 PIECE = 64
@@ -35,6 +35,47 @@ def indices(count: Sql, step: int = 1, first: int = 0) -> Sql:
     ).otherwise(empty("int"))
 
 
+def part(items: Sql, first: Sql | int, count: Sql | int) -> Sql:
+    """``count`` elements from position ``first`` (0-based), by index.
+
+    ``slice`` copies its whole input on every call, which makes cutting a long array into
+    many parts quadratic; positions are read in constant time.
+    """
+    first, count = sql(first), sql(count)
+    return fn.transform(
+        when(count > 0, fn.sequence(first, first + count - 1)).otherwise(empty("int")),
+        lambda k: items[k],
+    )
+
+
+def pieces_of(items: Sql) -> Sql:
+    """An array in parts of ``PIECE``."""
+    return let(
+        items,
+        lambda bound: fn.transform(
+            indices(fn.size(bound), PIECE),
+            lambda i: part(bound, i, fn.least(fn.size(bound) - i, PIECE)),
+        ),
+    )
+
+
+def fold_piece(
+    items: Sql,
+    zero: Sql,
+    step: Callable[[Sql, Sql], Sql],
+    out_type: str,
+) -> Sql:
+    """Fold of a short array: ``struct(state, out)``; see ``fold_emit`` for ``step``."""
+    return fn.aggregate(
+        items,
+        struct(state=zero, out=empty(out_type)),
+        lambda acc, item: let(
+            step(acc["state"], item),
+            lambda r: struct(state=r["state"], out=fn.concat(acc["out"], r["emit"])),
+        ),
+    )
+
+
 def fold_emit(
     items: Sql,
     zero: Sql,
@@ -48,26 +89,12 @@ def fold_emit(
     order.  Appending to one growing array would be quadratic in the array length, so
     items are folded in pieces of ``PIECE`` and the pieces are flattened once.
     """
-    def fold_piece(state: Sql, piece: Sql) -> Sql:
-        return fn.aggregate(
-            piece,
-            struct(state=state, out=empty(out_type)),
-            lambda acc, item: let(
-                step(acc["state"], item),
-                lambda r: struct(
-                    state=r["state"], out=fn.concat(acc["out"], r["emit"])
-                ),
-            ),
-        )
-
     def fold_pieces(bound: Sql) -> Sql:
         return fn.aggregate(
-            fn.transform(
-                indices(fn.size(bound), PIECE), lambda i: fn.slice(bound, i + 1, PIECE)
-            ),
+            pieces_of(bound),
             struct(state=zero, out=empty(f"array<{out_type}>")),
             lambda acc, piece: let(
-                fold_piece(acc["state"], piece),
+                fold_piece(piece, acc["state"], step, out_type),
                 lambda r: struct(
                     state=r["state"], out=fn.concat(acc["out"], fn.array(r["out"]))
                 ),
@@ -80,12 +107,32 @@ def fold_emit(
 
 def running_starts(lengths: Sql) -> Sql:
     """Exclusive prefix sum of an int array: where each element begins."""
-    return fold_emit(
-        lengths,
-        lit(0),
-        lambda at, size: struct(state=at + size, emit=fn.array(at)),
-        "int",
-    )
+
+    def add(total: Sql, size: Sql) -> Sql:
+        return total + size
+
+    def starts_of(v: Sql) -> Sql:
+        totals = fn.transform(v, lambda p: fn.aggregate(p, lit(0), add))
+        bases = fold_emit(
+            totals,
+            lit(0),
+            lambda at, size: struct(state=at + size, emit=fn.array(at)),
+            "int",
+        )
+
+        def within(piece: Sql, first: Sql) -> Sql:
+            summed = fn.aggregate(
+                piece,
+                fn.array(first),
+                lambda acc, size: fn.concat(
+                    acc, fn.array(fn.element_at(acc, -1) + size)
+                ),
+            )
+            return fn.slice(summed, 1, fn.size(piece))
+
+        return fn.flatten(fn.zip_with(v, bases, within))
+
+    return let(pieces_of(lengths), starts_of)
 
 
 def chars(text: Sql) -> Sql:
@@ -97,11 +144,8 @@ def banded(
     items: Sql, start: Callable[[Sql], Sql], end: Callable[[Sql], Sql]
 ) -> Sql:
     """Intervals in pieces with their bounds, so that ``touching`` looks at few of them."""
-    pieces = fn.transform(
-        indices(fn.size(items), PIECE), lambda i: fn.slice(items, i + 1, PIECE)
-    )
     return fn.transform(
-        pieces,
+        pieces_of(items),
         lambda p: struct(
             low=fn.array_min(fn.transform(p, start)),
             high=fn.array_max(fn.transform(p, end)),

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 
-from .arrays import empty, fold_emit, indices, let, running_starts
+from .arrays import PIECE, empty, fold_emit, indices, let, part, running_starts
 from .sql import Sql, fn, lit, struct, when
 
 CANDIDATE = "struct<start:int,neg_end:int,neg_score:double,label:string,text:string>"
@@ -255,23 +255,51 @@ def to_candidates(spans: Sql) -> Sql:
 
 
 def splice(text: Sql, spans: Sql, new_texts: Sql) -> Sql:
-    """Text with ``spans[i]`` replaced by ``new_texts[i]`` (spans ordered, disjoint)."""
+    """Text with ``spans[i]`` replaced by ``new_texts[i]`` (spans ordered, disjoint).
 
-    def build(v: Sql) -> Sql:
-        ss, nn = v["spans"], v["news"]
-        parts = fn.transform(
-            ss,
-            lambda s, i: let(
-                when(i > 0, ss[i - 1]["end"]).otherwise(lit(0)),
+    Finding a character offset walks the text from its start, so the text is first cut
+    to the stretch of every ``PIECE`` spans.
+    """
+
+    def stretch(v: Sql) -> Sql:
+        def gap_and_new(s: Sql, j: Sql) -> Sql:
+            return let(
+                when(j > 0, v["spans"][j - 1]["end"]).otherwise(v["base"]),
                 lambda prev: fn.concat(
-                    fn.substring(v["text"], prev + 1, s["start"] - prev), nn[i]
+                    fn.substring(v["text"], prev - v["base"] + 1, s["start"] - prev),
+                    v["news"][j],
                 ),
-            ),
-        )
-        last = ss[fn.size(ss) - 1]["end"]
+            )
+
+        return fn.array_join(fn.transform(v["spans"], gap_and_new), "")
+
+    def build(v: Sql) -> Sql:
+        def run(i: Sql) -> Sql:
+            size = fn.least(fn.size(v["spans"]) - i, PIECE)
+            spans_here = part(v["spans"], i, size)
+            base = when(i > 0, v["spans"][i - 1]["end"]).otherwise(0)
+            return let(
+                struct(spans=spans_here, news=part(v["news"], i, size), base=base),
+                lambda p: let(
+                    struct(
+                        spans=p["spans"],
+                        news=p["news"],
+                        base=p["base"],
+                        text=fn.substring(
+                            v["text"],
+                            p["base"] + 1,
+                            fn.element_at(p["spans"], -1)["end"] - p["base"],
+                        ),
+                    ),
+                    stretch,
+                ),
+            )
+
+        parts = fn.transform(indices(fn.size(v["spans"]), PIECE), run)
+        last = v["spans"][fn.size(v["spans"]) - 1]["end"]
         tail = fn.substring(v["text"], last + 1, fn.length(v["text"]) - last)
         return when(
-            fn.size(ss) > 0, fn.concat(fn.array_join(parts, ""), tail)
+            fn.size(v["spans"]) > 0, fn.concat(fn.array_join(parts, ""), tail)
         ).otherwise(v["text"])
 
     return let(struct(text=text, spans=spans, news=new_texts), build)

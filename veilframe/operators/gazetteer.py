@@ -58,46 +58,50 @@ def word_runs(
 
     With ``known`` (a short list) only those runs leave the row.
     """
-    located = (
+    pieces, starts, size = col("_pieces"), col("_starts"), fn.size(col("_pieces"))
+    places = indices(size - 1, step=2, first=1)
+    if known is not None:
+        # most words begin no term: one set lookup settles them
+        heads = sorted({k.split(" ")[0] for k in known})
+        places = fn.filter(places, lambda i: fn.lower(pieces[i]).isin(heads))
+    placed = (
         df.select(key, text)
         .withColumn("_pieces", cut(mark_safe(col(text)), _WORD).column())
+        .withColumn("_places", places.column())
         .withColumn(
             "_starts",
-            running_starts(
-                fn.transform(col("_pieces"), lambda p: fn.length(p))
+            when(
+                fn.size(col("_places")) > 0,
+                running_starts(fn.transform(pieces, lambda p: fn.length(p))),
             ).column(),
         )
     )
-    words = fn.transform(
-        indices(fn.size(col("_pieces")) - 1, step=2, first=1),
-        lambda i: struct(
-            start=col("_starts")[i],
-            end=col("_starts")[i] + fn.length(col("_pieces")[i]),
-            word=fn.lower(col("_pieces")[i]),
-        ),
-    )
-    listed = located.select(key, words.column().alias("_words"))
-    runs = fn.flatten(
-        fn.transform(
-            col("_words"),
-            lambda w, i: fn.transform(
-                fn.sequence(lit(1), fn.least(lit(longest), fn.size(col("_words")) - i)),
-                lambda n: struct(
-                    start=w["start"],
-                    end=fn.element_at(col("_words"), i + n)["end"],
-                    run=fn.array_join(
-                        fn.transform(
-                            fn.slice(col("_words"), i + 1, n), lambda x: x["word"]
-                        ),
-                        " ",
-                    ),
-                ),
+
+    def run(i: Sql, n: Sql) -> Sql:
+        last = i + (n - 1) * 2
+        several = fn.array_join(
+            fn.transform(
+                fn.sequence(lit(0), n - 1), lambda k: fn.lower(pieces[i + k * 2])
             ),
+            " ",
         )
-    )
-    if known is not None:
-        runs = fn.filter(runs, lambda r: r["run"].isin(known))
-    return listed.select(key, F.explode(runs.column()).alias("_r")).select(
+        return struct(
+            start=starts[i],
+            end=starts[last] + fn.length(pieces[last]),
+            run=when(n == 1, fn.lower(pieces[i])).otherwise(several),
+        )
+
+    def runs_from(i: Sql) -> Sql:
+        left = ((size - i) / 2).cast("int")
+        every = fn.transform(
+            fn.sequence(lit(1), fn.least(lit(longest), left)), lambda n: run(i, n)
+        )
+        if known is None:
+            return every
+        return fn.filter(every, lambda r: r["run"].isin(known))
+
+    runs = fn.flatten(fn.transform(col("_places"), runs_from))
+    return placed.select(key, F.explode(runs.column()).alias("_r")).select(
         key, "_r.start", "_r.end", F.col("_r.run").alias("key")
     )
 

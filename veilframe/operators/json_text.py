@@ -19,6 +19,7 @@ from ..functions.arrays import (
     empty,
     fold_emit,
     indices,
+    part,
     running_starts,
     touching,
 )
@@ -279,7 +280,7 @@ def redact_json(
     found = found.withColumn("_first", running_starts(counts).column())
 
     def rewritten(h: Sql, i: Sql) -> Sql:
-        news = fn.slice(col("_news"), col("_first")[i] + 1, fn.size(h["spans"]))
+        news = part(col("_news"), col("_first")[i], fn.size(h["spans"]))
         value = splice(h["leaf"]["value"], h["spans"], news)
         number = h["leaf"]["kind"] == "number"
         keeps = number & value.rlike(r"^-?(?:0|[1-9][0-9]*)(?:[.][0-9]+)?$")

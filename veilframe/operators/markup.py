@@ -19,7 +19,7 @@ from ..functions.arrays import (
     fold_emit,
     indices,
     let,
-    running_starts,
+    part,
     touching,
 )
 from ..functions.spans import MARK, STANDIN, Pattern, mark_safe, splice
@@ -356,9 +356,9 @@ def redact_markup(
         lambda i: fn.concat(
             fn.array_join(
                 fn.transform(
-                    fn.slice(
+                    part(
                         col("_parts"),
-                        col("_edges")[i] + 2,
+                        col("_edges")[i] + 1,
                         col("_edges")[i + 1] - col("_edges")[i] - 1,
                     ),
                     lambda p: p["text"],

@@ -11,7 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import banded, empty, fold_emit, let, touching
+from ..functions.arrays import (
+    banded,
+    empty,
+    fold_emit,
+    fold_piece,
+    let,
+    pieces_of,
+    touching,
+)
 from ..functions.spans import Pattern
 from ..functions.sql import Sql, col, fn, lit, struct, when
 from ..policy import Policy
@@ -63,27 +71,41 @@ def words(segments: Sql) -> Sql:
 
 
 def align(text: Sql, spoken: Sql) -> Sql:
-    """Character range of each word, searched left to right; words not found drop out."""
-
-    def step(at: Sql, w: Sql) -> Sql:
-        found = fn.locate(w["word"], text, at + 1)
-        return when(
-            (found > 0),
-            struct(
-                state=found - 1 + fn.length(w["word"]),
-                emit=fn.array(
-                    struct(
-                        start=w["start"],
-                        end=w["end"],
-                        word=w["word"],
-                        char_start=found - 1,
-                        char_end=found - 1 + fn.length(w["word"]),
-                    )
+    """Character range of each word, searched left to right; words not found drop out.
+
+    Every piece of words searches the text that is left, not the whole text again.
+    """
+
+    def search(v: Sql) -> Sql:
+        def step(at: Sql, w: Sql) -> Sql:
+            found = fn.locate(w["word"], v["rest"], at + 1)
+            size = fn.length(w["word"])
+            return when(
+                found > 0,
+                struct(
+                    state=found - 1 + size,
+                    emit=fn.array(
+                        struct(
+                            start=w["start"],
+                            end=w["end"],
+                            word=w["word"],
+                            char_start=v["base"] + found - 1,
+                            char_end=v["base"] + found - 1 + size,
+                        )
+                    ),
                 ),
-            ),
-        ).otherwise(struct(state=at, emit=empty(_ALIGNED)))
+            ).otherwise(struct(state=at, emit=empty(_ALIGNED)))
+
+        return let(
+            fold_piece(v["piece"], lit(0), step, _ALIGNED),
+            lambda r: struct(state=v["base"] + r["state"], emit=r["out"]),
+        )
+
+    def piece_step(base: Sql, piece: Sql) -> Sql:
+        rest = fn.substring(text, base + 1, fn.length(text))
+        return let(struct(base=base, piece=piece, rest=rest), search)
 
-    return fold_emit(spoken, lit(0), step, _ALIGNED)
+    return fold_emit(pieces_of(spoken), lit(0), piece_step, _ALIGNED)
 
 
 def with_aligned_words(df: DataFrame) -> DataFrame:
