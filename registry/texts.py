@@ -159,13 +159,18 @@ def xml_paths(spark, sf_dir):
 
 
 _HTML_CUT = f"{markup._HIDDEN_HTML}|{markup._TAG}"
+# RE2 has no possessive forms; on these pages the greedy ones match the same
+_HTML_RE2 = (
+    f"{markup._HIDDEN_HTML}|"
+    r"(?s:</?[A-Za-z_:](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>)"
+)
 
 
 @query(
     "T6_html_text",
-    f"""SELECT page_id, len(regexp_extract_all(html, {quoted(_HTML_CUT)})) AS n_markup,
-          CAST(list_sum(list_transform(string_split_regex(html, {quoted(_HTML_CUT)}), lambda x: length(x))) AS BIGINT) AS text_chars,
-          md5(array_to_string(string_split_regex(html, {quoted(_HTML_CUT)}), '')) AS text_md5
+    f"""SELECT page_id, len(regexp_extract_all(html, {quoted(_HTML_RE2)})) AS n_markup,
+          CAST(list_sum(list_transform(string_split_regex(html, {quoted(_HTML_RE2)}), lambda x: length(x))) AS BIGINT) AS text_chars,
+          md5(array_to_string(string_split_regex(html, {quoted(_HTML_RE2)}), '')) AS text_md5
         FROM pages""",
 )
 def html_text(spark, sf_dir):

@@ -79,6 +79,9 @@ def ip_valid(value: Sql, before: Sql, after: Sql) -> Sql:
 
 # --- built-in patterns --------------------------------------------------------------
 
+# Groups repeat a bounded number of times: the matcher recurses per round of a group, and
+# an endless list such as "1,2,3,..." would overflow the stack.  Longer runs give several
+# adjacent spans.
 _DIGIT = "[0-9]"
 _DAY = "[0-9]{1,2}"
 _MONTH = "[JFMASOND][a-z]{2,8}"
@@ -163,7 +166,7 @@ def _contextual(label: str, words: str, body: str, check=standalone) -> Pattern:
 BUILTIN: list[Pattern] = [
     Pattern(
         "EMAIL_ADDRESS",
-        r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+",
+        r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+){1,40}",
         needs=("@",),
     ),
     Pattern(
@@ -171,7 +174,7 @@ BUILTIN: list[Pattern] = [
         r"(?:https?://|ftp://|www[.])[^ \t\r\n<>\"']*[A-Za-z0-9/=_#&-]",
         needs=("://", "www."),
     ),
-    Pattern("IP_ADDRESS", r"[0-9]+(?:[.][0-9]+)+", accept=ip_valid, needs=_DIGIT),
+    Pattern("IP_ADDRESS", r"[0-9]+(?:[.][0-9]+){1,200}", accept=ip_valid, needs=_DIGIT),
     Pattern(
         "IP_ADDRESS",
         r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}",
@@ -223,7 +226,7 @@ BUILTIN: list[Pattern] = [
     Pattern("NUMERIC_PII", r"[A-Z]{1,4}-?[0-9]{5,}", accept=standalone, needs=_DIGIT),
     Pattern(
         "NUMERIC_VALUE",
-        r"[0-9]+(?:[.,][0-9]+)*",
+        r"[0-9]+(?:[.,][0-9]+){0,200}",
         model.SCORE_BARE_NUMBER,
         accept=standalone,
         needs=_DIGIT,

@@ -23,13 +23,17 @@ from ..functions.arrays import (
     running_starts,
     touching,
 )
-from ..functions.spans import MARK, Pattern, mark_safe, splice
+from ..functions.spans import MARK, STANDIN, Pattern, mark_safe, splice
 from ..functions.sql import Sql, col, fn, lit, struct, when
 from ..policy import Policy
 from . import detect as detection
 from .redact import new_texts, patterns_for
 
-_STRING = r'"(?:[^"\\]|\\.)*"'
+# Escape pairs are masked before cutting (two characters for two), so a string is a plain
+# run up to the next quote; a regex that steps over escapes itself recurses per escape and
+# overflows the stack on long strings.
+_ESCAPE = r"(?s)\\."
+_STRING = r'"[^"]*+"'
 _NUMBER = r"-?[0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?"
 _TOKEN = rf"{_STRING}[ \t\r\n]*:|{_STRING}|{_NUMBER}|true|false|null|[\[\]{{}},]"
 
@@ -49,7 +53,7 @@ def encode(text: Sql) -> Sql:
 
 def _kind(token: Sql) -> Sql:
     return (
-        when(token.rlike('^".*:$'), "key")
+        when(fn.startswith(token, '"') & fn.endswith(token, ":"), "key")
         .when(fn.startswith(token, '"'), "string")
         .when(token.rlike("^[-0-9]"), "number")
         .when(token.isin(["true", "false"]), "boolean")
@@ -60,14 +64,19 @@ def _kind(token: Sql) -> Sql:
 
 def leaves(text: Sql) -> Sql:
     """Primitive values of a JSON text in document order."""
-    marked = fn.regexp_replace(mark_safe(text), f"(?s)(?:{_TOKEN})", f"{MARK}$0{MARK}")
+    masked = fn.regexp_replace(mark_safe(text), _ESCAPE, STANDIN * 2)
+    marked = fn.regexp_replace(masked, f"(?s)(?:{_TOKEN})", f"{MARK}$0{MARK}")
     pieces = fn.split(marked, MARK, -1)
 
     def tokens(v: Sql) -> Sql:
-        return fn.transform(
-            indices(fn.size(v["p"]) - 1, step=2, first=1),
-            lambda i: struct(text=v["p"][i], start=v["s"][i], kind=_kind(v["p"][i])),
-        )
+        def token(i: Sql) -> Sql:
+            raw = when(
+                fn.contains(v["p"][i], STANDIN),
+                fn.substring(text, v["s"][i] + 1, fn.length(v["p"][i])),
+            ).otherwise(v["p"][i])
+            return struct(text=raw, start=v["s"][i], kind=_kind(v["p"][i]))
+
+        return fn.transform(indices(fn.size(v["p"]) - 1, step=2, first=1), token)
 
     def with_top(state: Sql, component: Sql, index: Sql) -> Sql:
         depth = fn.size(state["path"])
