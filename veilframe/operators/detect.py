@@ -81,7 +81,8 @@ def ip_valid(value: Sql, before: Sql, after: Sql) -> Sql:
 
 # Groups repeat a bounded number of times: the matcher recurses per round of a group, and
 # an endless list such as "1,2,3,..." would overflow the stack.  Longer runs give several
-# adjacent spans.
+# adjacent spans.  What precedes a mandatory sign ("@", ".") is bounded too, or a long run
+# without the sign would be read again from each of its characters.
 _DIGIT = "[0-9]"
 _DAY = "[0-9]{1,2}"
 _MONTH = "[JFMASOND][a-z]{2,8}"
@@ -166,7 +167,7 @@ def _contextual(label: str, words: str, body: str, check=standalone) -> Pattern:
 BUILTIN: list[Pattern] = [
     Pattern(
         "EMAIL_ADDRESS",
-        r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+){1,40}",
+        r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+){1,40}",
         needs=("@",),
     ),
     Pattern(
@@ -174,7 +175,7 @@ BUILTIN: list[Pattern] = [
         r"(?:https?://|ftp://|www[.])[^ \t\r\n<>\"']*[A-Za-z0-9/=_#&-]",
         needs=("://", "www."),
     ),
-    Pattern("IP_ADDRESS", r"[0-9]+(?:[.][0-9]+){1,200}", accept=ip_valid, needs=_DIGIT),
+    Pattern("IP_ADDRESS", r"[0-9]{1,3}(?:[.][0-9]{1,3}){1,200}", accept=ip_valid, needs=_DIGIT),
     Pattern(
         "IP_ADDRESS",
         r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}",
@@ -209,7 +210,7 @@ BUILTIN: list[Pattern] = [
     Pattern(
         "MONEY",
         r"[$€£¥][ ]?[0-9]+(?:,[0-9]{3})*(?:[.][0-9]{1,2})?"
-        r"|[0-9]+(?:,[0-9]{3})*(?:[.][0-9]{1,2})? (?:USD|EUR|GBP|dollars|euros|pounds)",
+        r"|[0-9]{1,18}(?:,[0-9]{3}){0,6}(?:[.][0-9]{1,2})? (?:USD|EUR|GBP|dollars|euros|pounds)",
         needs=_DIGIT,
     ),
     Pattern("DATE_TIME", _DATE, accept=_date, needs=_DIGIT),
