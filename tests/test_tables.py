@@ -14,7 +14,7 @@ from veilframe.policy import Policy
 from veilframe.sources import parsed, texts
 from veilframe.streaming import redaction
 
-CONVO = 'id,text\n1,"hello, my name is adam"\n2,"hi andrew"\n1,"I work\nat ""Tonic"""\n'
+CONVO = 'id,text\n1,"hello, my name is adam"\n2,"hi andrew"\n1,"I work\nat ""Acme"""\n'
 POLICY = Policy(default="Off", config={"NAME_GIVEN": "Redaction"}, allow={"NAME_GIVEN": ["adam", "andrew"]}, claim_off=False)
 
 
@@ -24,7 +24,7 @@ def test_csv_round_trip(spark, tmp_path):
     back = texts.read_csv(spark, str(tmp_path / "out"), True).collect()
     assert [r.id for r in back] == ["1", "2", "1"]
     assert "adam" not in back[0].text and back[0].text.startswith("hello, my name is [NAME_GIVEN_")
-    assert back[2].text == 'I work\nat "Tonic"'
+    assert back[2].text == 'I work\nat "Acme"'
     raw = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert raw.startswith('"id","text"\n"1",')
 
