@@ -90,25 +90,22 @@ def attach(
     """
     total = groups.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) >= F.lit(max(2.0, total * HOT_SHARE))
-    named = groups.select(F.col(key).alias("_group"), value.alias("_value"), is_hot.alias("_is"))
-    hot = named.where("_is").select(F.col("_group").alias("_hot_group"), F.col("_value").alias("_hot"))
-    cold = named.where("NOT _is").select("_group", F.col("_value").alias("_cold"))
-    answered = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_group"), "left")
-    found = F.col("_hot_group").isNotNull()
+    hot = groups.where(is_hot).select(F.col(key).alias("_hot_key"), value.alias("_hot"))
+    cold = groups.where(~is_hot).select(
+        F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_spread"), value.alias("_cold")
+    )
+    answered = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     # a row that has its answer needs no partner: it goes where its own hash sends it
-    spread = F.when(found, F.xxhash64(*spread_by)).otherwise(F.lit(0))
-    cold_keyed = cold.withColumn("_cold_spread", F.lit(0).cast("long"))
+    spread = F.when(F.col("_hot_key").isNotNull(), F.xxhash64(*spread_by).bitwiseOR(1)).otherwise(0)
     return (
         answered.withColumn("_spread", spread)
         .join(
-            cold_keyed,
-            (F.col(key) == F.col("_group"))
-            & (F.col("_spread") == F.col("_cold_spread"))
-            & F.col("_hot_group").isNull(),
+            cold,
+            (F.col(key) == F.col("_cold_key")) & (F.col("_spread") == F.col("_cold_spread")),
             "left",
         )
         .withColumn(out, F.coalesce("_hot", "_cold"))
-        .drop("_hot_group", "_hot", "_spread", "_group", "_cold", "_cold_spread")
+        .drop("_hot_key", "_hot", "_spread", "_cold_key", "_cold", "_cold_spread")
     )
 
 
