@@ -6,16 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.functions.sql import col, fn
+
 from . import (
     exact_dedup,
     packing,
+    pii_votes,
     piece_bpe,
     quality_lists,
     sharding,
     token_counts,
     token_files,
 )
-from .common import shared_path
+from .common import settled, shared_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -62,6 +65,25 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_pii_votes")
+def op5_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the texts are read once: what is found in them is small and kept
+    spans = settled(pii_votes.found(docs, "text", "found").select("doc_id", "found"), "spans")
+    model = pii_votes.fit(spans, "found")
+    found = col("found")
+    count = {
+        f"n_{kind}": fn.size(pii_votes.of_kind(found["base"], kind)).cast("bigint")
+        for kind in pii_votes.KINDS
+    }
+    return spans.select(
+        "doc_id",
+        *[value.column().alias(name) for name, value in count.items()],
+        fn.sha2(pii_votes.joined(found["base"]), 256).column().alias("base_sha256"),
+        pii_votes.joined(pii_votes.all_spans(found, model)).column().alias("spans"),
+    )
+
+
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
