@@ -10,6 +10,7 @@ from veilframe.functions.sql import col, fn
 
 from . import (
     exact_dedup,
+    html_extract,
     packing,
     pii_votes,
     piece_bpe,
@@ -38,6 +39,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op2_page_differencing",
+    r"""WITH body AS (
+          SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS b
+          FROM pages),
+        bare AS (
+          SELECT page_id, url,
+                 regexp_replace(regexp_replace(b, '</?(?:p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t
+          FROM body),
+        decoded AS (
+          SELECT page_id, url, trim(regexp_replace(
+            regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(t, '&#x27;', chr(39)),
+              '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
+            '\s+', ' ', 'g')) AS text
+          FROM bare)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM decoded""",
+)
+def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 #: The end of a document in the contracts of packing and token files.
 END_ID = 2
 
