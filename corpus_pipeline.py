@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import exact_dedup, quality_lists
-from veilframe.llm.common import shared_path
+from veilframe.llm import exact_dedup, ngram_join, packing, pii_votes, quality_lists
+from veilframe.llm.common import settled, shared_path
+
+#: The end of a document in a sequence.
+END_ID = 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +24,32 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more the least doc_id stays."""
+    return ngram_join.representatives(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets in the texts become the name of their kind."""
+    spans = settled(pii_votes.found(docs, "text", "found").select("found"), "spans")
+    return pii_votes.redact(docs, pii_votes.fit(spans, "found"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' tokens in sequences of 1024."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("exact dedup", copies),
+    ("n-gram Jaccard join", near_copies),
+    ("PII", personal_data),
+    ("best-fit packing", packed),
+]
 
-#: Learned rules, near copies and classifiers have no SQL form; tests hold the stages
-#: against brute-force versions.
+#: The learned rules, the span classifier and the tokenizer have no SQL form; a test holds
+#: the stages against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +21,7 @@ RANK_ROWS = 256
 #: A key with at least this share of all rows is hot; there are at most 1 / HOT_SHARE.
 HOT_SHARE = 0.001
 #: UTF-8 bytes that a Python function works on at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -121,6 +124,17 @@ def by_bytes(texts: Sequence[str], most: int = BATCH_BYTES) -> Iterator[tuple[in
         yield begin, len(texts)
 
 
+def slices(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[list[str]]:
+    """A column of texts (null as empty) in lists of about ``most`` bytes, so that Python
+    never holds a whole Arrow batch of long texts beside its results."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    begin = done = 0
+    while begin < len(texts):
+        stop = max(begin + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield [t or "" for t in texts.slice(begin, stop - begin).to_pylist()]
+        begin, done = stop, sizes[stop - 1]
+
+
 def plain(texts: pd.Series) -> list[str]:
     """A column of texts as a list, null as the empty text."""
     return ["" if t is None else t for t in texts.tolist()]

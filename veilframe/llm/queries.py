@@ -11,6 +11,7 @@ from veilframe.functions.sql import col, fn
 from . import (
     exact_dedup,
     html_extract,
+    ngram_join,
     packing,
     pii_votes,
     piece_bpe,
@@ -39,6 +40,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op1_chosen_path_join",
+    r"""WITH RECURSIVE words AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+          SELECT DISTINCT doc_id, unnest(
+            CASE WHEN len(w) >= 5
+                 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+          FROM words),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+                   FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b, c = x.n AND c = y.n AS same
+                  FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+                  WHERE 5 * c >= 4 * (x.n + y.n - c)),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        class AS (SELECT a, min(least(a, b)) AS class_id FROM reach GROUP BY a),
+        copy AS (SELECT d.doc_id, least(d.doc_id, min(l.b)) AS copy_id
+                 FROM documents d LEFT JOIN links l ON l.a = d.doc_id AND l.same GROUP BY d.doc_id)
+        SELECT d.doc_id, coalesce(any_value(k.class_id), d.doc_id) AS class_id, any_value(c.copy_id) AS copy_id,
+               count(l.b) AS n_links,
+               count(DISTINCT CASE WHEN NOT l.same THEN o.copy_id END) AS n_partners
+        FROM documents d JOIN copy c ON c.doc_id = d.doc_id LEFT JOIN class k ON k.a = d.doc_id
+             LEFT JOIN links l ON l.a = d.doc_id LEFT JOIN copy o ON o.doc_id = l.b
+        GROUP BY d.doc_id""",
+)
+def op1_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "copy_id", "n_links", "n_partners")
+
+
 @query(
     "op2_page_differencing",
     r"""WITH body AS (
