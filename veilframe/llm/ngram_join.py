@@ -247,7 +247,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
             for j in range(i):
                 both = np.intersect1d(sets[i], sets[j], assume_unique=True)
                 out[i, j] = out[j, i] = len(both)
-            out[i, i] = len(sets[i])
+        np.fill_diagonal(out, [len(s) for s in sets])
         return out
     values, which, count = np.unique(
         np.concatenate(sets), return_inverse=True, return_counts=True
@@ -256,17 +256,16 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     # an element of one set is common to nobody; one of all sets is common to all
     some = (count[which] > 1) & (count[which] < n)
     out += int((count == n).sum())
-    if not some.any():
-        return out
     place = np.cumsum((count > 1) & (count < n)) - 1
     column, owner = place[which[some]], owner[some]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    for begin in range(0, int(column[-1]) + 1, 4096):
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         a, b = np.searchsorted(column, [begin, begin + 4096])
         dense = np.zeros((n, 4096), np.float32)
         dense[owner[a:b], column[a:b] - begin] = 1
         out += (dense @ dense.T).astype(np.int64)
+    np.fill_diagonal(out, [len(s) for s in sets])
     return out
 
 
