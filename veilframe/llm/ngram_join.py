@@ -121,9 +121,9 @@ def buckets(classes: DataFrame, runs: int, split_above: int = SPLIT_ABOVE) -> Da
     )
     closed: list[DataFrame] = []
     for depth in range(1, MAX_DEPTH + 1):
-        rows = settled(
-            level.select(F.explode(children("node", "mins")).alias("node"), "set"), "nodes"
-        )
+        # no array is empty; the outer form spares Spark's own test for that
+        split = F.explode_outer(children("node", "mins")).alias("node")
+        rows = settled(level.select(split, "set"), "nodes")
         sizes = settled(
             rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes"
         )
