@@ -14,6 +14,7 @@ from veilframe.session import settle
 
 from .common import (
     SEED,
+    STANDALONE,
     candidates_sql,
     documents,
     int_sql,
@@ -171,13 +172,15 @@ def file_sizes(spark, sf_dir):
 
 # --- quality --------------------------------------------------------------------------
 
+#: Addresses of eight groups.
+_IPV6 = {"IPV6": ("[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}", STANDALONE, 0.9)}
 _GOLD_LABELS = ["CREDIT_CARD", "EMAIL_ADDRESS", "NUMERIC_VALUE"]
 # gold: resolved spans of three labels; predicted: all candidates of four labels
 _PAIR = (
     resolved_sql(_GOLD_LABELS, keys="doc_id, source")
     + f""", gold AS (SELECT DISTINCT doc_id, source, start, stop FROM resolved),
     predicted AS (SELECT DISTINCT doc_id, source, start, stop FROM (
-      {candidates_sql(['CREDIT_CARD', 'IP_ADDRESS', 'NUMERIC_VALUE', 'PHONE_NUMBER'], keys='doc_id, source')})),
+      {candidates_sql(['CREDIT_CARD', 'IP_ADDRESS', 'NUMERIC_VALUE', 'PHONE_NUMBER'], _IPV6, keys='doc_id, source')})),
     pairs AS (SELECT coalesce(p.source, g.source) AS source, p.doc_id IS NOT NULL AS p, g.doc_id IS NOT NULL AS g
       FROM predicted p FULL OUTER JOIN gold g
         ON p.doc_id = g.doc_id AND p.start = g.start AND p.stop = g.stop)"""
@@ -193,9 +196,7 @@ def _gold_and_predicted(spark, sf_dir):
         builtin(["CREDIT_CARD", "IP_ADDRESS", "NUMERIC_VALUE", "PHONE_NUMBER"]),
         overlaps=True,
     )
-    predicted = reports.long_spans(wide, ["doc_id", "source"])
-    ipv4 = ~F.col("text").contains(":")
-    return predicted.where(ipv4), gold
+    return reports.long_spans(wide, ["doc_id", "source"]), gold
 
 
 @query(
@@ -238,7 +239,7 @@ def quality_per_file(spark, sf_dir):
     "A9_overlap_recall",
     resolved_sql(_GOLD_LABELS)
     + f""", gold AS (SELECT DISTINCT doc_id, start, stop FROM resolved),
-      predicted AS (SELECT * FROM ({candidates_sql(['IP_ADDRESS', 'PHONE_NUMBER', 'CREDIT_CARD'])}))
+      predicted AS (SELECT * FROM ({candidates_sql(['IP_ADDRESS', 'PHONE_NUMBER', 'CREDIT_CARD'], _IPV6)}))
       SELECT g.doc_id, count(*) AS n_gold, sum(CASE WHEN EXISTS (SELECT 1 FROM predicted p
           WHERE p.doc_id = g.doc_id AND p.start < g.stop AND p.stop > g.start) THEN 1 ELSE 0 END)::BIGINT AS n_hit
       FROM gold g GROUP BY g.doc_id""",
@@ -258,7 +259,8 @@ def overlap_recall(spark, sf_dir):
     "A10_best_model",
     """WITH f AS (SELECT d.lang, d.source AS model, round(avg(l.quality), 6) AS f1
          FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL)
-       SELECT lang, max(f1) AS f1, true AS is_best FROM f GROUP BY lang""",
+       SELECT lang, model, f1 FROM f
+       QUALIFY row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, model) = 1""",
 )
 def best_model(spark, sf_dir):
     """Sources as models, their mean label quality as score; best per language."""
@@ -268,11 +270,7 @@ def best_model(spark, sf_dir):
         .groupBy("lang", F.col("source").alias("model"))
         .agg(F.round(F.avg("quality"), 6).alias("f1"))
     )
-    best = quality.best(scored, "model", "f1", ["lang"])
-    # the chosen model really has the score
-    return best.join(
-        scored.withColumnRenamed("f1", "own"), ["lang", "model"]
-    ).select("lang", "f1", (F.col("own") == F.col("f1")).alias("is_best"))
+    return quality.best(scored, "model", "f1", ["lang"])
 
 
 @query(
@@ -540,19 +538,25 @@ def enabled_entities(spark, sf_dir):
 
 @query(
     "C5_request_log",
-    """SELECT event_id, sha256(event_type) AS input_hash, 'page' || event_type AS result FROM events
-       WHERE ts + INTERVAL 48 HOUR > TIMESTAMP '2024-01-05 00:00:00' AND event_type = 'click'""",
+    """SELECT event_id, sha256(event_type) AS input_hash, 'page' || event_type AS result,
+              CASE WHEN event_type = 'click' THEN 'web' ELSE 'api' END AS tag
+       FROM events WHERE ts + to_hours(CASE WHEN event_type = 'click' THEN 48 ELSE 24 END)
+             > TIMESTAMP '2024-01-05 00:00:00'""",
 )
 def log(spark, sf_dir):
-    """Events logged with their type as tag, kept 48 hours, purged at a given time."""
+    """All events logged under their id, clicks kept 48 hours and others 24, then purged at
+    a given time."""
     rows = table(spark, sf_dir, "events").withColumn(
         "redacted_text", F.concat(F.lit("page"), "event_type")
     )
-    logged = request_log.records(rows, F.col("ts"), 48, ["web"], "event_type")
+    click = F.col("event_type") == "click"
+    at, keys = F.col("ts"), ["event_id"]
+    logged = request_log.records(rows.where(click), at, 48, ["web"], "event_type", keys).unionByName(
+        request_log.records(rows.where(~click), at, 24, ["api"], "event_type", keys)
+    )
     kept = request_log.purged(logged, F.expr("TIMESTAMP '2024-01-05 00:00:00'"))
-    clicks = request_log.with_tag(kept, "web").where(F.col("result") == "pageclick")
-    back = rows.select("event_id", "ts", F.col("redacted_text").alias("result"))
-    return clicks.join(back, ["ts", "result"]).select("event_id", "input_hash", "result")
+    tagged = [request_log.with_tag(kept, t).withColumn("tag", F.lit(t)) for t in ("web", "api")]
+    return tagged[0].unionByName(tagged[1]).select("event_id", "input_hash", "result", "tag")
 
 
 @query(

@@ -391,10 +391,8 @@ def split_by_headers(spark, sf_dir):
     rendered = turns.withColumn(
         "text", F.expr("'# ' || role || ' ' || turn || '\\n' || text || '\\n'")
     )
-    whole = conversation.blocks(rendered, ["conv_id"], "turn", "text", "", dense=True)
-    cut = split_markdown(
-        whole.select("conv_id", F.col("_text").alias("text")), "text", 1_000_000
-    )
+    whole = conversation.joined_context(rendered, ["conv_id"], "turn", separator="")
+    cut = split_markdown(whole, "text", 1_000_000)
     return cut.select(
         "conv_id", F.explode(F.expr("filter(sections, x -> true)")).alias("c")
     ).select("conv_id", "c.start", "c.end", F.expr("c.headers[0]").alias("header"))
@@ -461,7 +459,7 @@ _TURNS = resolved_sql(keys="conv_id, turn", candidates=_TURN_CANDIDATES)
 )
 def join_rows(spark, sf_dir):
     df = table(spark, sf_dir, "conversations")
-    return conversation.joined_context(df, ["conv_id"], "turn", dense=True).select(
+    return conversation.joined_context(df, ["conv_id"], "turn").select(
         "conv_id", "text"
     )
 
@@ -510,7 +508,7 @@ def one_group_offsets(spark, sf_dir):
 )
 def redact_rows(spark, sf_dir):
     df = table(spark, sf_dir, "conversations")
-    rows = conversation.redact_rows(df, _TALK_POLICY, ["conv_id"], "turn", dense=True)
+    rows = conversation.redact_rows(df, _TALK_POLICY, ["conv_id"], "turn")
     return rows.select(
         "conv_id",
         "turn",
@@ -527,13 +525,11 @@ def redact_rows(spark, sf_dir):
     + """ SELECT conv_id, turn, start, stop AS "end", label, value AS text FROM resolved""",
 )
 def rows_of_one_group(spark, sf_dir):
-    """All turns as one group, cut into blocks of 32 rows."""
+    """All turns as one group, whose patterns cannot cross a row."""
     df = table(spark, sf_dir, "conversations").select(
         F.lit("constant").alias("g"), (F.col("conv_id") * 64 + F.col("turn")).alias("ord"), "text"
     )
-    rows = conversation.redact_rows(
-        df, _TALK_POLICY, ["g"], "ord", block_rows=32, halo=4
-    )
+    rows = conversation.redact_rows(df, _TALK_POLICY, ["g"], "ord")
     return rows.select("ord", reports.exploded("spans").alias("s")).select(
         F.floor(F.col("ord") / 64).alias("conv_id"),
         (F.col("ord") % 64).alias("turn"),
@@ -563,12 +559,40 @@ def border_entities(spark, sf_dir):
         default="Off", config={"LAW": "Redaction"}, allow={"LAW": [_BORDER]}, claim_off=False
     )
     df = table(spark, sf_dir, "conversations")
-    rows = conversation.redact_rows(df, policy, ["conv_id"], "turn", dense=True)
+    rows = conversation.redact_rows(df, policy, ["conv_id"], "turn")
     return rows.select("conv_id", "turn", reports.exploded("spans").alias("s")).select(
         "conv_id", "turn", "s.start", "s.end", "s.text"
     )
 
 
+_FORTY_ROWS = r"(?:[^\n]*\n){40}[^\n]*"
+
+
+@query(
+    "G3_entities_over_forty_rows",
+    f"""WITH t AS (SELECT conv_id // 64 AS grp, conv_id * 64 + turn AS ord, text FROM conversations),
+        j AS (SELECT grp, string_agg(text, chr(10) ORDER BY ord) AS text FROM t GROUP BY grp),
+        o AS (SELECT grp, ord, coalesce(sum(length(text) + 1) OVER (PARTITION BY grp ORDER BY ord
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(text) AS n FROM t),
+        e AS (SELECT grp, start, start + length(value) AS stop, value FROM ({matches(_FORTY_ROWS, 'j', 'grp')}))
+        SELECT o.ord, CAST(greatest(e.start - o.a, 0) AS BIGINT) AS start,
+          CAST(least(e.stop, o.a + o.n) - o.a AS BIGINT) AS "end", sha256(e.value) AS text_hash
+        FROM e JOIN o ON e.grp = o.grp AND e.start < o.a + o.n AND e.stop > o.a""",
+)
+def entities_over_forty_rows(spark, sf_dir):
+    """Entities of 41 rows, in groups of some hundred turns."""
+    policy = Policy(
+        default="Off", config={"LAW": "Redaction"}, allow={"LAW": [_FORTY_ROWS]}, claim_off=False
+    )
+    df = table(spark, sf_dir, "conversations").select(
+        F.expr("conv_id div 64").alias("grp"), F.expr("conv_id * 64 + turn").alias("ord"), "text"
+    )
+    rows = conversation.redact_rows(df, policy, ["grp"], "ord")
+    return rows.select("ord", reports.exploded("spans").alias("s")).select(
+        "ord", "s.start", "s.end", F.sha2("s.text", 256).alias("text_hash")
+    )
+
+
 @query(
     "G5_json_conversation",
     """SELECT conv_id, turn, role, text FROM conversations""",

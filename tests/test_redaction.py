@@ -28,8 +28,8 @@ from veilframe.policy import Policy
 NAMES = [
     dictionary("NAME_GIVEN", ["Adam", "John", "Luke", "Alice", "Wilson"]),
     dictionary("NAME_GIVEN", ["adam"], ignore_case=True),
-    dictionary("NAME_FAMILY", ["McFee", "Doe", "Smith"]),
-    dictionary("LOCATION_CITY", ["Atlanta", "Seattle"]),
+    dictionary("NAME_FAMILY", ["McFee", "Doe", "Smith", "Jones"]),
+    dictionary("LOCATION_CITY", ["Tulsa", "Omaha"]),
     dictionary("LOCATION_COUNTRY", ["Japan"]),
 ]
 
@@ -54,7 +54,7 @@ def test_builtin_labels(spark):
         "ip 192.168.123.132.": ("IP_ADDRESS", "192.168.123.132"),
         "ip 2001:0db8:0:0:0:ff00:42:8329": ("IP_ADDRESS", "2001:0db8:0:0:0:ff00:42:8329"),
         "call (123) 456-7890.": ("PHONE_NUMBER", "(123) 456-7890"),
-        "call +1 (768) 555-9731": ("PHONE_NUMBER", "+1 (768) 555-9731"),
+        "call +1 (405) 555-0142": ("PHONE_NUMBER", "+1 (405) 555-0142"),
         "card 5555-5555-1111-2223,": ("CREDIT_CARD", "5555-5555-1111-2223"),
         "ssn 187-65-4321": ("US_SSN", "187-65-4321"),
         "itin 912-70-1234": ("US_ITIN", "912-70-1234"),
@@ -65,7 +65,7 @@ def test_builtin_labels(spark):
         "expires 09/25": ("CC_EXP", "09/25"),
         "cvv is eight five two": ("CVV", "eight five two"),
         "cvv: 852": ("CVV", "852"),
-        "Atlanta, GA. 30305.": ("LOCATION_ZIP", "30305"),
+        "Boise, ID. 83702.": ("LOCATION_ZIP", "83702"),
         "due $12,000": ("MONEY", "$12,000"),
         "on 08-13-2024.": ("DATE_TIME", "08-13-2024"),
         "on March 27, 2024": ("DATE_TIME", "March 27, 2024"),
@@ -156,23 +156,23 @@ def test_allow_block_and_custom(spark):
 
 
 def test_policy_errors():
-    with pytest.raises(ValueError, match="Invalid value for generator default"):
+    with pytest.raises(ValueError, match="default state"):
         Policy(default="off").validate()
-    with pytest.raises(ValueError, match="Invalid key for generator config"):
+    with pytest.raises(ValueError, match="labels nobody knows"):
         Policy(config={"NOPE": "Off"}).validate()
-    with pytest.raises(ValueError, match="Invalid value for generator config"):
+    with pytest.raises(ValueError, match="unknown state"):
         Policy(config={"URL": "Invalid"}).validate()
-    with pytest.raises(ValueError, match="Invalid key for generator metadata"):
+    with pytest.raises(ValueError, match="options are given"):
         Policy(options={"NOPE": Options()}).validate()
-    with pytest.raises(ValueError, match="Expected instance of NameOptions"):
+    with pytest.raises(ValueError, match="takes NameOptions"):
         Policy(options={"NAME_GIVEN": Options()}).validate()
     assert Policy(options={"ORGANIZATION": Options(swaps={"a": "b"})}).validate()
 
 
 def test_mixed_states(spark):
     text = (
-        "John Smith lives in Seattle, WA 98101. His email is john.smith@acme.com and his "
-        "phone is 555-123-4567. He was born on January 15, 1990."
+        "Write to maria.jones@mill.org; Maria Jones, born on May 3, 1971, moved to Omaha, NE "
+        "68102 and answers 555-987-6543."
     )
     policy = Policy(
         config={
@@ -188,13 +188,13 @@ def test_mixed_states(spark):
     )
     (row,) = run(spark, [text], policy)
     out = row.redacted_text
-    assert "John" in out and "555-123-4567" in out
-    assert "[NAME_FAMILY_" in out and "Smith" not in out
+    assert "Maria" in out and "555-987-6543" in out
+    assert "[NAME_FAMILY_" in out and "Jones" not in out
     assert "[LOCATION_ZIP_" in out
-    assert "john.smith@acme.com" not in out and "[EMAIL_ADDRESS_" not in out
-    assert "Seattle" not in out and "[LOCATION_CITY_" not in out
-    assert "WA" not in out and "[LOCATION_STATE_" not in out
-    assert "January 15, 1990" not in out and "[DOB_" not in out
+    assert "maria.jones@mill.org" not in out and "[EMAIL_ADDRESS_" not in out
+    assert "Omaha" not in out and "[LOCATION_CITY_" not in out
+    assert ", NE" not in out and "[LOCATION_STATE_" not in out
+    assert "May 3, 1971" not in out and "[DOB_" not in out
 
 
 def test_grouped_synthesis_uses_the_representative(spark):
@@ -236,7 +236,7 @@ def test_emails(spark):
 
 
 def test_phones(spark):
-    bad = "qwerasdfzxcvqwerasdfqwer"
+    bad = "no number given here"
     for replace_invalid in (True, False):
         for us in (True, False):
             options = PhoneOptions(us_format=us, replace_invalid=replace_invalid)
@@ -244,14 +244,13 @@ def test_phones(spark):
             assert new.isdigit() == (us and replace_invalid)
             assert new != bad
     options = PhoneOptions(us_format=True, preserve_area_code=True)
-    (new,) = synth(spark, "PHONE_NUMBER", ["+1 (768) 555-9731"], options)
-    assert re.fullmatch(r"\+1 \(768\) \d{3}-\d{4}", new) and new != "+1 (768) 555-9731"
+    (new,) = synth(spark, "PHONE_NUMBER", ["+1 (405) 555-0142"], options)
+    assert re.fullmatch(r"\+1 \(405\) \d{3}-\d{4}", new) and new != "+1 (405) 555-0142"
 
 
 def test_dates(spark):
     texts = [
-        "08-13-2024. That is 3 days before 08-16-24.  It is 7 days before 08-20-2024 and "
-        "a month before 09-13-2024."
+        "Signed 02-05-2023, shipped 02-09-23, paid 02-17-2023; the next order came 03-27-2023."
     ]
     policy = Policy(
         default="Off",
@@ -261,14 +260,14 @@ def test_dates(spark):
     (row,) = run(spark, texts, policy)
     forms = ["%m-%d-%Y", "%m-%d-%y", "%m-%d-%Y", "%m-%d-%Y"]
     days = [datetime.strptime(s.new_text, f) for s, f in zip(row.spans, forms)]
-    assert [(d - days[0]).days for d in days] == [0, 3, 7, 31]
+    assert [(d - days[0]).days for d in days] == [0, 4, 12, 50]
     (new,) = synth(
-        spark, "DATE_TIME", ["08xx07xx2024"], DateOptions(extra_formats=["dd'xx'MM'xx'yyyy"])
+        spark, "DATE_TIME", ["11xx04xx2021"], DateOptions(extra_formats=["dd'xx'MM'xx'yyyy"])
     )
     match = re.fullmatch(r"(\d{2})xx(\d{2})xx(\d{4})", new)
-    assert 1 <= int(match[1]) <= 15 and match[2] == "07" and match[3] == "2024"
-    (new,) = synth(spark, "DATE_TIME", ["2024|08|07"], DateOptions(extra_formats=["%Y|%m|%d"]))
-    assert re.fullmatch(r"2024\|0[78]\|\d\d", new)
+    assert 1 <= int(match[1]) <= 15 and match[2] == "04" and match[3] == "2021"
+    (new,) = synth(spark, "DATE_TIME", ["2019|11|08"], DateOptions(extra_formats=["%Y|%m|%d"]))
+    assert re.fullmatch(r"2019\|1[01]\|\d\d", new)
     far = synth(spark, "DATE_TIME", ["08-13-2024"], DateOptions(left_days=9000, right_days=10000))
     assert datetime.strptime(far[0], "%m-%d-%Y").year > 2024
     kept = synth(spark, "DATE_TIME", ["someday"], DateOptions(scramble_unrecognized=False))
@@ -296,11 +295,11 @@ def test_ages(spark):
 def test_addresses(spark):
     assert synth(spark, "LOCATION_STATE", ["GA"]) == ["GA"]
     assert synth(spark, "LOCATION_STATE", ["GA"], AddressOptions(non_hipaa=True)) != ["GA"]
-    (new,) = synth(spark, "LOCATION_ZIP", ["30305"])
-    assert new.startswith("303") and not new.endswith("00") and len(new) == 5
-    zeros = synth(spark, "LOCATION_ZIP", ["30305"], AddressOptions(replace_truncated_zeros=False))
-    assert zeros == ["30300"]
-    assert synth(spark, "LOCATION_ZIP", ["30305"], AddressOptions(three_digit_zips=True)) == ["303"]
+    (new,) = synth(spark, "LOCATION_ZIP", ["83702"])
+    assert new.startswith("837") and not new.endswith("00") and len(new) == 5
+    zeros = synth(spark, "LOCATION_ZIP", ["83702"], AddressOptions(replace_truncated_zeros=False))
+    assert zeros == ["83700"]
+    assert synth(spark, "LOCATION_ZIP", ["83702"], AddressOptions(three_digit_zips=True)) == ["837"]
     foreign = synth(spark, "LOCATION_ZIP", ["SW1A 2AA"], AddressOptions(foreign_zeros=True))
     assert foreign == ["0000 000"]
     (new,) = synth(spark, "LOCATION_CITY", ["AtLaNtA"], AddressOptions(realistic=False))

@@ -10,7 +10,7 @@ from tests.invariants import check_spans, reconstructed
 from veilframe.functions.sql import col
 from veilframe.operators import conversation, json_text, markup, ordered, transcript
 from veilframe.operators.chunking import chunks, split_markdown
-from veilframe.operators.detect import dictionary
+from veilframe.operators.detect import builtin, dictionary
 from veilframe.operators.gazetteer import with_gazetteer
 from veilframe.operators.redact import redact_frame
 from veilframe.policy import Policy
@@ -208,13 +208,13 @@ def talk(spark, rows):
 
 def test_border_crossing(spark):
     policy = Policy(
-        allow={"NAME_GIVEN": ["(?i)a\n?d\n?a\n?m", "Lis"], "LOCATION_CITY": ["Atlanta"]}
+        allow={"NAME_GIVEN": ["(?i)o\n?s\n?c\n?a\n?r", "Mia"], "LOCATION_CITY": ["Tulsa"]}
     )
     rows = [
-        ("1", 0, "I am married to Lis. my name is ad"),
-        ("1", 1, "a"),
-        ("1", 2, "m and I live in Atlanta"),
-        ("2", 7, "hello andrew"),
+        ("1", 0, "Mia wrote it down for os"),
+        ("1", 1, "ca"),
+        ("1", 2, "r who drove to Tulsa"),
+        ("2", 7, "nobody here"),
         ("2", 9, None),
     ]
     done = conversation.redact_rows(talk(spark, rows), policy, ["id"], "ord").collect()
@@ -222,38 +222,57 @@ def test_border_crossing(spark):
     assert len(done) == 5 and all(r.usage == -1 for r in done)
     first, second, third = (by["1", i] for i in range(3))
     name = first.spans[1].new_text
-    assert first.spans[1].text == second.spans[0].text == third.spans[0].text == "ad\na\nm"
+    assert first.spans[1].text == second.spans[0].text == third.spans[0].text == "os\nca\nr"
     assert second.redacted_text == name
-    assert third.redacted_text.startswith(name + " and I live in [LOCATION_CITY_")
-    assert [(s.start, s.end) for s in third.spans] == [(0, 1), (16, 23)]
+    assert third.redacted_text.startswith(name + " who drove to [LOCATION_CITY_")
+    assert [(s.start, s.end) for s in third.spans] == [(0, 1), (15, 20)]
     for r in (first, second, third):
         for s in r.spans:
             assert r.redacted_text[s.new_start : s.new_end] == s.new_text
     assert by["2", 9].redacted_text is None
 
 
-def test_blocks_do_not_change_results(spark):
+def test_groups_of_any_length(spark):
     rng = random.Random(9)
-    rows = [("g", i * 3, " ".join(rng.choice(["ab", "c", "abc", "x"]) for _ in range(rng.randint(0, 6)))) for i in range(300)]
-    policy = Policy(default="Off", config={"LAW": "Redaction"}, allow={"LAW": ["c\nab", "abc"]}, claim_off=False)
-    df = talk(spark, rows)
-    whole = conversation.redact_rows(df, policy, ["id"], "ord", block_rows=1000, halo=2)
-    cut = conversation.redact_rows(df, policy, ["id"], "ord", block_rows=8, halo=2)
-    key = lambda r: r.ord
-    a, b = sorted(whole.collect(), key=key), sorted(cut.collect(), key=key)
-    assert a == b and len(a) == 300
+    rows = [("g", i * 3, " ".join(rng.choice(["ab", "c", "abc", "x"]) for _ in range(rng.randint(0, 6)))) for i in range(600)]
+    rows[100] = ("g", 300, "START")
+    rows[160] = ("g", 480, "STOP")
+    allow = {"LAW": ["c\nab", "abc", r"START(?:\n[^\n]*){60}"]}
+    policy = Policy(default="Off", config={"LAW": "Redaction"}, allow=allow, claim_off=False)
+    done = conversation.redact_rows(talk(spark, rows), policy, ["id"], "ord").collect()
+    done.sort(key=lambda r: r.ord)
     texts = [t for _, _, t in rows]
     joined = "\n".join(texts)
     starts = [sum(len(t) + 1 for t in texts[:i]) for i in range(len(texts))]
-    for row, (_, _, t), start in zip(a, rows, starts):
-        want = []
-        for m in re.finditer("c\nab|abc", joined):
-            s, e = max(m.start() - start, 0), min(m.end() - start, len(t))
-            if m.start() < start + len(t) and m.end() > start:
-                want.append((s, e, m.group()))
+    found = [m for m in re.finditer("START(?:\n[^\n]*){60}|c\nab|abc", joined)]
+    for row, (_, _, t), start in zip(done, rows, starts):
+        want = [
+            (max(m.start() - start, 0), min(m.end() - start, len(t)), m.group())
+            for m in found
+            if m.start() < start + len(t) and m.end() > start
+        ]
         assert [(s.start, s.end, s.text) for s in row.spans] == want
 
 
+def test_row_path_equals_group_path(spark, monkeypatch):
+    texts = ["I am 38 y/o", "years old, at 10.1.2.3", None, "a.b@c.de", "", "card 5555-5555-1111-2223 x"]
+    rows = [("g", i, t) for i, t in enumerate(texts)]
+    df = talk(spark, rows)
+    assert not conversation.needs_whole_group(builtin(), Policy())
+    got = sorted(map(str, conversation.redact_rows(df, Policy(), ["id"], "ord").collect()))
+    monkeypatch.setattr(conversation, "needs_whole_group", lambda *a: True)
+    assert got == sorted(map(str, conversation.redact_rows(df, Policy(), ["id"], "ord").collect()))
+
+
+def test_which_patterns_stay_in_a_line():
+    stay = conversation.stays_in_line
+    for regex in ["abc", r"[a-z]+ \d{2}", r"\p{Lu}[\p{L}]*", r"[^\n]*x", r"(?i:ab|c)", r"a.b", r"\[x\]"]:
+        assert stay(regex), regex
+    for regex in ["a\nb", r"a\nb", r"\s", r"[^a]", r"^a", r"a$", r"\bx", r"(?s:a.b)", r"(?<=a)b", r"\W", r"\p{P}"]:
+        assert not stay(regex), regex
+    assert not stay("abc", " ")
+
+
 def test_prefix_sum_depths(spark):
     rng = random.Random(2)
     rows = [(g, o, rng.randint(0, 9)) for g in "ab" for o in rng.sample(range(5000), 400)]
@@ -315,7 +334,7 @@ def test_gazetteer_both_ways(spark, monkeypatch):
 
 def test_restore_and_spans_random(spark):
     rng = random.Random(4)
-    bits = ["a@b.co", "7", "+1 (768) 555-9731", "🌮", "é ", " ", "\n", "John", "1.2.3.4", "4444333322221111", "$5", ", GA 30305"]
+    bits = ["a@b.co", "7", "+1 (405) 555-0142", "🌮", "é ", " ", "\n", "John", "1.2.3.4", "4444333322221111", "$5", ", ID 83702"]
     docs = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))) for i in range(200)]
     df = spark.createDataFrame(docs, "id int, text string")
     for policy in (Policy(), Policy(default="Synthesis")):

@@ -29,7 +29,6 @@ REPLACEMENT = (
 # Two Unicode noncharacters.  MARK delimits matches while a text is being
 # cut; a text that already holds it has it swapped for STANDIN (same length, and detection
 # offsets only are taken from the swapped copy).
-CONTEXT = 48
 MARK = "￿"
 STANDIN = "￾"
 
@@ -39,11 +38,13 @@ class Pattern:
     """One regular expression that yields spans of ``label``.
 
     ``prefix`` is context that must precede the value but is not part of the span.
-    ``accept`` is a predicate on (value, text before, text after), each side up to
-    ``CONTEXT`` characters and no further than the neighbouring match.
+    ``accept`` is a predicate on (value, text before, text after), each side up to the
+    neighbouring match or the end of the text.
     ``needs`` names what a text must hold for ``body`` to match at all: any one of the
     literals of a tuple (byte search), or a regex.  Patterns that need the same thing
-    share one test per text.
+    share one test per text.  ``in_line`` says that the pattern
+    matches no line end, and that it and ``accept`` decide the same whether the text begins
+    and ends at a line end or goes on beyond it.
     """
 
     label: str
@@ -52,6 +53,7 @@ class Pattern:
     prefix: str | None = None
     accept: Callable[[Sql, Sql, Sql], Sql] | None = None
     needs: str | tuple[str, ...] | None = None
+    in_line: bool = False
 
 
 def mark_safe(text: Sql) -> Sql:
@@ -142,8 +144,8 @@ def located(cuts: Sql, patterns: list[Pattern]) -> Sql:
             return accepted(
                 v["rule"],
                 pieces[i],
-                fn.right(pieces[i - 1], CONTEXT),
-                fn.substring(pieces[i + 1], 1, CONTEXT),
+                pieces[i - 1],
+                pieces[i + 1],
             )
 
         def candidate(i: Sql) -> Sql:

@@ -6,8 +6,10 @@ from __future__ import annotations
 from .hashing import keyed_hex
 from .sql import Sql, fn
 
+#: Names that a label may have, so that its tokens are found again in a text.
+LABEL_REGEX = r"[A-Za-z0-9_][A-Za-z0-9_.:-]*"
 #: Shape of a token inside a text.
-TOKEN_REGEX = r"\[[A-Za-z0-9_]+_[0-9a-f]{8,64}\]"
+TOKEN_REGEX = rf"\[{LABEL_REGEX}_[0-9a-f]{{8,64}}\]"
 
 
 def token(

@@ -10,18 +10,21 @@ GROUPING_SYNTHESIS = "GroupingSynthesis"
 REPLACEMENT_SYNTHESIS = "ReplacementSynthesis"
 STATES = [OFF, SYNTHESIS, REDACTION, GROUPING_SYNTHESIS, REPLACEMENT_SYNTHESIS]
 
-# The built-in entity labels, alphabetical within each family.
-NUMBER_LABELS = ["MONEY", "NUMERIC_PII", "NUMERIC_VALUE", "PERSON_AGE"]
-TIME_LABELS = ["DATE_TIME", "DOB"]
-PERSON_LABELS = [
+# The built-in entity labels.
+LABELS = [
+    "CC_EXP",
+    "CREDIT_CARD",
+    "CVV",
+    "DATE_TIME",
+    "DOB",
+    "EMAIL_ADDRESS",
+    "EVENT",
     "GENDER_IDENTIFIER",
-    "NAME_FAMILY",
-    "NAME_GIVEN",
-    "NRP",
-    "OCCUPATION",
-    "PERSON",
-]
-PLACE_LABELS = [
+    "HEALTHCARE_ID",
+    "IBAN_CODE",
+    "IP_ADDRESS",
+    "LANGUAGE",
+    "LAW",
     "LOCATION",
     "LOCATION_ADDRESS",
     "LOCATION_CITY",
@@ -29,51 +32,42 @@ PLACE_LABELS = [
     "LOCATION_COUNTRY",
     "LOCATION_STATE",
     "LOCATION_ZIP",
-]
-ACCOUNT_LABELS = [
-    "CC_EXP",
-    "CREDIT_CARD",
-    "CVV",
-    "IBAN_CODE",
+    "MEDICAL_LICENSE",
     "MICR_CODE",
-    "US_BANK_NUMBER",
-    "US_ROUTING_TRANSIT_NUMBER",
-]
-CONTACT_LABELS = [
-    "EMAIL_ADDRESS",
-    "IP_ADDRESS",
+    "MONEY",
+    "NAME_FAMILY",
+    "NAME_GIVEN",
+    "NRP",
+    "NUMERIC_PII",
+    "NUMERIC_VALUE",
+    "OCCUPATION",
+    "ORGANIZATION",
     "PASSWORD",
+    "PERSON",
+    "PERSON_AGE",
     "PHONE_NUMBER",
+    "PRODUCT",
+    "PROJECT_NAME",
     "URL",
     "USERNAME",
-]
-DOCUMENT_LABELS = [
-    "HEALTHCARE_ID",
-    "MEDICAL_LICENSE",
+    "US_BANK_NUMBER",
     "US_DRIVER_LICENSE",
     "US_ITIN",
     "US_PASSPORT",
+    "US_ROUTING_TRANSIT_NUMBER",
     "US_SSN",
-]
-THING_LABELS = [
-    "EVENT",
-    "LANGUAGE",
-    "LAW",
-    "ORGANIZATION",
-    "PRODUCT",
-    "PROJECT_NAME",
     "WORK_OF_ART",
 ]
-LABELS = (
-    NUMBER_LABELS
-    + TIME_LABELS
-    + PERSON_LABELS
-    + PLACE_LABELS
-    + ACCOUNT_LABELS
-    + CONTACT_LABELS
-    + DOCUMENT_LABELS
-    + THING_LABELS
-)
+#: The two families in which mentions are linked.
+PERSON_LABELS = [
+    "GENDER_IDENTIFIER",
+    "NAME_FAMILY",
+    "NAME_GIVEN",
+    "NRP",
+    "OCCUPATION",
+    "PERSON",
+]
+PLACE_LABELS = [x for x in LABELS if x.startswith("LOCATION")]
 DEPRECATED_LABELS = [
     "PERSON",
     "PROJECT_NAME",

@@ -1,30 +1,29 @@
 """Conversations: detect across the rows of a group, give each row its own result.
 
-The rows of a group are joined by a separator so that an entity may start in one row and
-end in a later one.  A group is never collected whole: it is cut into blocks of rows, and
-each block also gets the last rows before it and the first rows after it, enough for any
-entity that crosses up to ``halo`` borders.  Groups shorter than a block are one document.
+A group is one document: its rows, joined by a separator, so that an entity may start in
+one row and end in any later one.  Whether that can happen is a matter of the patterns, not
+of the data.  If no pattern can match the separator, no entity crosses it, and every row is
+detected where it lies, without a shuffle.  Otherwise each group is put together whole, as
+one text; a group that is too large for a cell fails the job rather than lose entities.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import banded, running_starts, touching
-from ..functions.spans import Pattern, splice, usage, with_new_offsets
-from ..functions.sql import Sql, col, fn, lit, struct, when
+from .. import model
+from ..functions.arrays import banded, empty, running_starts, touching
+from ..functions.spans import SPAN, Pattern, splice, with_new_offsets
+from ..functions.sql import Sql, col, fn, lit, struct
 from ..policy import Policy
 from . import detect as detection
-from .ordered import dense_index, prefix_sum
+from .ordered import prefix_sum
 from .redact import new_texts, patterns_for
 
-#: Rows per block and rows of context on either side.
-BLOCK_ROWS = 256
-HALO_ROWS = 16
-
 
 def with_line_offsets(
     df: DataFrame,
@@ -42,75 +41,65 @@ def with_line_offsets(
     return placed.withColumn("line_end", F.col("line_start") + size)
 
 
-def blocks(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    text: str,
-    separator: str = "\n",
-    block_rows: int = BLOCK_ROWS,
-    halo: int = HALO_ROWS,
-    dense: bool = False,
-) -> DataFrame:
-    """One row per block of a group: its rows in order and their joined text.
+# What an expression may hold and still be sure not to match a line end or to look past one.
+_SAFE_ESCAPE = re.compile(r"\\(?:[wdStQE]|[^A-Za-z0-9]|p\{(?:L|Lu|Ll|Lt|N|Nd)\})")
+_SAFE_GROUP = re.compile(r"\(\?(?:i?:|>|i\))")
+
 
-    ``dense`` says that ``order`` already counts 0, 1, 2, ... within each group (turn
-    numbers, row numbers), which saves the pass that numbers the rows.
+def stays_in_line(regex: str, separator: str = "\n") -> bool:
+    """Whether ``regex`` surely matches no separator and does not look past one.
+
+    Decided from the expression alone, on the safe side: anchors, look-around, negated
+    classes that do not name the line end, and escapes that may stand for white space say
+    no.
     """
-    if not 0 <= halo <= block_rows:
-        raise ValueError("halo must lie between 0 and block_rows")
-    keys = list(keys)
-    rows = df.withColumn("_idx", F.col(order).cast("bigint")) if dense else dense_index(
-        df, keys, order, "_idx"
-    )
-    lowest = F.greatest((F.col("_idx") - halo), F.lit(0))
-    touched = F.array_distinct(
-        F.array(
-            F.floor(lowest / block_rows),
-            F.floor(F.col("_idx") / block_rows),
-            F.floor((F.col("_idx") + halo) / block_rows),
-        )
-    )
-    # the block after the last one would hold halo rows only; it emits nothing
-    spread = rows.select(
-        *keys,
-        F.explode(touched).alias("_block"),
-        F.struct(
-            F.col("_idx").alias("idx"),
-            F.col(order).alias("ord"),
-            F.col(text).alias("text"),
-        ).alias("_row"),
-    )
-    grouped = spread.groupBy(*keys, "_block").agg(
-        F.array_sort(F.collect_list("_row")).alias("_rows")
-    )
-    lengths = fn.transform(
-        col("_rows"), lambda r: fn.length(fn.coalesce(r["text"], "")) + len(separator)
-    )
-    joined = fn.array_join(
-        fn.transform(col("_rows"), lambda r: fn.coalesce(r["text"], "")), separator
+    if "\n" not in separator or "\n" in regex.replace("[^\n", "[^"):
+        return False
+    rest = _SAFE_ESCAPE.sub("x", regex.replace(r"\n", "\n"))
+    # a negated class is safe if the line end is among what it excludes
+    rest = re.sub(r"\[\^[^\]]*\n[^\]]*\]", "x", rest)
+    rest = _SAFE_GROUP.sub("(", rest)
+    return not re.search(r"[\\^$\n]|\(\?", rest)
+
+
+def needs_whole_group(
+    patterns: Sequence[Pattern], policy: Policy, separator: str = "\n"
+) -> bool:
+    """Whether an entity, a block or a decision may depend on more than one row."""
+    others = [p for p in patterns if not (p.in_line and "\n" in separator)]
+    regexes = [x for p in others for x in (p.body, p.prefix or "")]
+    regexes += [x for rules in policy.block.values() for x in rules]
+    return (
+        any(p.accept is not None for p in others)
+        or not all(stays_in_line(x, separator) for x in regexes)
+        or model.GROUPING_SYNTHESIS in (policy.default, *policy.config.values())
     )
+
+
+def whole_groups(
+    df: DataFrame, keys: Sequence[str], order: str, text: str, separator: str = "\n"
+) -> DataFrame:
+    """One row per group: its rows in order, where each begins, and their joined text."""
+    row = F.struct(F.col(order).alias("ord"), F.col(text).alias("text"))
+    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    texts = fn.transform(col("_rows"), lambda r: fn.coalesce(r["text"], ""))
+    lengths = fn.transform(texts, lambda t: fn.length(t) + len(separator))
     return grouped.withColumns(
-        {"_starts": running_starts(lengths).column(), "_text": joined.column()}
+        {
+            "_starts": running_starts(lengths).column(),
+            "_text": fn.array_join(texts, separator).column(),
+        }
     )
 
 
-def rows_of_blocks(
-    found: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    block_rows: int,
-) -> DataFrame:
-    """Back to rows: the rows a block owns, each with the spans that touch it.
+def rows_of_groups(found: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Back to rows, each with the spans that touch it.
 
-    Needs ``_spans`` (resolved, on the block text) and ``_news``; a span crossing a border
+    Needs ``_spans`` (resolved, on the group's text) and ``_news``; a span crossing a border
     is clipped to the row, with the whole replacement on every row it touches.
     """
     pairs = fn.zip_with(col("_spans"), col("_news"), lambda s, n: struct(s=s, n=n))
-    owned = fn.filter(
-        fn.zip_with(col("_rows"), col("_starts"), lambda r, a: struct(r=r, at=a)),
-        lambda v: fn.floor(v["r"]["idx"] / block_rows) == col("_block"),
-    )
+    placed = fn.zip_with(col("_rows"), col("_starts"), lambda r, a: struct(r=r, at=a))
 
     starts, ends = (lambda p: p["s"]["start"]), (lambda p: p["s"]["end"])
 
@@ -131,13 +120,13 @@ def rows_of_blocks(
             ),
         )
 
-    found = found.withColumns({"_pairs": pairs.column(), "_owned": owned.column()})
+    found = found.withColumns({"_pairs": pairs.column(), "_placed": placed.column()})
     bands = banded(col("_pairs"), starts, ends)
     lines = found.withColumn("_bands", bands.column()).select(
         *keys,
         F.explode(
             fn.transform(
-                col("_owned"),
+                col("_placed"),
                 lambda v: struct(
                     ord=v["r"]["ord"], text=v["r"]["text"], hits=hits(v)
                 ),
@@ -160,28 +149,45 @@ def redact_rows(
     text: str = "text",
     separator: str = "\n",
     dictionaries: Sequence[Pattern] = (),
-    block_rows: int = BLOCK_ROWS,
-    halo: int = HALO_ROWS,
-    dense: bool = False,
 ) -> DataFrame:
     """Per-row results of a redaction that saw each group as one text.
 
-    One shuffle (group, block).  ``usage`` is -1: words are counted per request, and a
-    row is not one.  Offsets always index the row and its redacted text.
+    One shuffle by group, or none if no pattern can cross a row border.  ``usage`` is -1:
+    words are counted per request, and a row is not one.  Offsets always index the row and
+    its redacted text.
     """
     policy.validate()
     keys = list(keys)
-    grouped = blocks(df, keys, order, text, separator, block_rows, halo, dense)
-    # blocks made of halo rows only own nothing; skip their detection
-    found = detection.with_spans(
-        grouped, patterns_for(policy, dictionaries), "_text", "_spans", policy.block
-    )
+    patterns = patterns_for(policy, dictionaries)
     document = fn.concat_ws("|", *[col(k).cast("string") for k in keys])
+    whole = needs_whole_group(patterns, policy, separator)
+    if whole:
+        texts = whole_groups(df, keys, order, text, separator)
+    else:
+        texts = df.select(*keys, order, F.col(text).alias("_text"))
+    found = detection.with_spans(texts, patterns, "_text", "_spans", policy.block)
     found = found.withColumn("_spans", policy.keep(col("_spans")).column()).withColumn(
         "_news", new_texts(policy, col("_spans"), document).column()
     )
-    lines = rows_of_blocks(found, keys, order, block_rows)
-    return finish_rows(lines)
+    if whole:
+        return finish_rows(rows_of_groups(found, keys, order))
+    hits = fn.zip_with(
+        fn.coalesce(col("_spans"), empty(SPAN)),
+        fn.coalesce(col("_news"), empty("string")),
+        lambda s, n: struct(
+            start=s["start"],
+            end=s["end"],
+            label=s["label"],
+            text=s["text"],
+            score=s["score"],
+            language=s["language"],
+            path=s["path"],
+            new_text=n,
+        ),
+    )
+    return finish_rows(
+        found.select(*keys, order, F.col("_text").alias("original_text"), hits.column().alias("_hits"))
+    )
 
 
 def finish_rows(lines: DataFrame) -> DataFrame:
@@ -206,30 +212,14 @@ def length_difference(spans: Sql) -> Sql:
 
 
 def rejoin(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    separator: str = "\n",
-    block_rows: int = BLOCK_ROWS,
+    rows: DataFrame, keys: Sequence[str], order: str, separator: str = "\n"
 ) -> DataFrame:
-    """Redacted rows joined again, one text per (group, block of rows), in order.
-
-    A group of up to ``block_rows`` rows comes back as one text; longer groups keep one
-    row per block, to be written side by side rather than squeezed into one cell.
-    """
+    """Redacted rows joined again in order: one text per group."""
+    row = F.struct(F.col(order), F.col("redacted_text"))
     return (
-        rows.withColumn("block", F.floor(F.col(order) / block_rows))
-        .groupBy(*keys, "block")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.col(order), F.col("redacted_text")))
-            ).alias("_rows")
-        )
-        .select(
-            *keys,
-            "block",
-            F.array_join(F.col("_rows.redacted_text"), separator).alias("redacted_text"),
-        )
+        rows.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+        .select(*keys, F.array_join(F.col("_rows.redacted_text"), separator).alias("redacted_text"))
     )
 
 
@@ -247,22 +237,22 @@ def items(
 
 
 def joined_context(
-    df: DataFrame, keys: Sequence[str], order: str, text: str = "text", **cut
+    df: DataFrame, keys: Sequence[str], order: str, text: str = "text", separator: str = "\n"
 ) -> DataFrame:
-    """The text a detector sees, one row per block of a group."""
-    return blocks(df, keys, order, text, **cut).select(
-        *keys, F.col("_block").alias("block"), F.col("_text").alias("text")
-    )
+    """The text a detector sees, one row per group."""
+    return whole_groups(df, keys, order, text, separator).select(*keys, F.col("_text").alias("text"))
 
 
 __all__ = [
-    "blocks",
     "finish_rows",
     "items",
     "joined_context",
     "length_difference",
+    "needs_whole_group",
     "redact_rows",
     "rejoin",
-    "rows_of_blocks",
+    "rows_of_groups",
+    "stays_in_line",
+    "whole_groups",
     "with_line_offsets",
 ]

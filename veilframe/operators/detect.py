@@ -7,6 +7,7 @@ dictionary membership.  Labels that are off are never compiled into the plan.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from collections.abc import Iterable, Mapping, Sequence
 
 
@@ -79,9 +80,9 @@ def ip_valid(value: Sql, before: Sql, after: Sql) -> Sql:
 
 # --- built-in patterns --------------------------------------------------------------
 
-# Groups repeat a bounded number of times: the matcher recurses per round of a group, and
-# an endless list such as "1,2,3,..." would overflow the stack.  Longer runs give several
-# adjacent spans.  What precedes a mandatory sign ("@", ".") is bounded too, or a long run
+# Groups repeat without bound and possessively: the matcher then loops instead of recursing,
+# so an endless list such as "1,2,3,..." needs no stack.  What precedes a mandatory sign
+# ("@", "USD") is tried only where a run begins or the last match ended, or a long run
 # without the sign would be read again from each of its characters.
 _DIGIT = "[0-9]"
 _DAY = "[0-9]{1,2}"
@@ -97,7 +98,7 @@ _DATE = (
 )
 _MONTH_NAMED = "(?:" + "|".join(f"{m}|{m[:3]}" for m in pools.MONTHS) + ")"
 _STATES = "(?:" + "|".join(pools.US_STATES) + ")"
-_IS = r"(?: is| was| number| no[.]?| id)*[ ]?[:=#]?[ ]?[\"']?"
+_IS = r"(?: is| was| number| no[.]?| id)*+[ ]?[:=#]?[ ]?[\"']?"
 _SPELLED = "(?i:" + "|".join(pools.DIGIT_WORDS) + ")"
 
 
@@ -122,7 +123,7 @@ def _date(value: Sql, before: Sql, after: Sql) -> Sql:
 
 
 def _age(value: Sql, before: Sql, after: Sql) -> Sql:
-    said_after = after.rlike("^(?:[ -]years?[ -]olds?|[ -]year-olds?| ?y/?o[^a-z])")
+    said_after = after.rlike("^(?:[ -]years?[ -]olds?|[ -]year-olds?| ?y/?o(?:[^a-z]|$))")
     said_before = before.rlike(r"(?i)(?:^|[^a-z])(?:age[d]?|turned|turning)[ :]{1,2}\z")
     return (said_after | said_before) & standalone(value, before, after)
 
@@ -164,10 +165,11 @@ def _contextual(label: str, words: str, body: str, check=standalone) -> Pattern:
     )
 
 
-BUILTIN: list[Pattern] = [
+_BUILTIN: list[Pattern] = [
     Pattern(
         "EMAIL_ADDRESS",
-        r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+){1,40}",
+        r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++",
+        prefix=r"(?:\G|(?<![A-Za-z0-9._%+-]))[._%+-]*+",
         needs=("@",),
     ),
     Pattern(
@@ -175,7 +177,7 @@ BUILTIN: list[Pattern] = [
         r"(?:https?://|ftp://|www[.])[^ \t\r\n<>\"']*[A-Za-z0-9/=_#&-]",
         needs=("://", "www."),
     ),
-    Pattern("IP_ADDRESS", r"[0-9]{1,3}(?:[.][0-9]{1,3}){1,200}", accept=ip_valid, needs=_DIGIT),
+    Pattern("IP_ADDRESS", r"(?<![0-9])[0-9]++(?:[.][0-9]++)++", accept=ip_valid, needs=_DIGIT),
     Pattern(
         "IP_ADDRESS",
         r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}",
@@ -209,8 +211,8 @@ BUILTIN: list[Pattern] = [
     ),
     Pattern(
         "MONEY",
-        r"[$€£¥][ ]?[0-9]+(?:,[0-9]{3})*(?:[.][0-9]{1,2})?"
-        r"|[0-9]{1,18}(?:,[0-9]{3}){0,6}(?:[.][0-9]{1,2})? (?:USD|EUR|GBP|dollars|euros|pounds)",
+        r"[$€£¥][ ]?[0-9]++(?:,[0-9]{3})*+(?:[.][0-9]{1,2})?"
+        r"|(?<![0-9])[0-9]++(?:,[0-9]{3}(?![0-9]))*+(?:[.][0-9]{1,2})? (?:USD|EUR|GBP|dollars|euros|pounds)",
         needs=_DIGIT,
     ),
     Pattern("DATE_TIME", _DATE, accept=_date, needs=_DIGIT),
@@ -227,7 +229,7 @@ BUILTIN: list[Pattern] = [
     Pattern("NUMERIC_PII", r"[A-Z]{1,4}-?[0-9]{5,}", accept=standalone, needs=_DIGIT),
     Pattern(
         "NUMERIC_VALUE",
-        r"[0-9]+(?:[.,][0-9]+){0,200}",
+        r"[0-9]++(?:[.,][0-9]++)*+",
         model.SCORE_BARE_NUMBER,
         accept=standalone,
         needs=_DIGIT,
@@ -272,6 +274,9 @@ BUILTIN: list[Pattern] = [
     _contextual("US_DRIVER_LICENSE", "driver'?s? licen[cs]e", "[A-Z]?[0-9]{5,12}"),
 ]
 
+#: None of the above matches a line end or looks past one.
+BUILTIN = [replace(p, in_line=True) for p in _BUILTIN]
+
 
 def builtin(labels: Iterable[str] | None = None) -> list[Pattern]:
     wanted = None if labels is None else set(labels)
@@ -321,6 +326,7 @@ def dictionary(label: str, terms: Sequence[str], ignore_case: bool = False) -> P
         r"[\p{L}]+" if ignore_case else r"\p{Lu}[\p{L}]*",
         model.SCORE_DICTIONARY,
         accept=known,
+        in_line=True,
     )
 
 

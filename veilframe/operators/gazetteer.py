@@ -18,7 +18,7 @@ from ..functions.sql import Sql, col, fn, lit, struct, when
 from ..session import BROADCAST_CHARS, BROADCAST_ROWS, salted_join
 from .detect import MAX_INLINE_TERMS
 
-_WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+){0,100}"
+_WORD = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
 
 
 def key_of(text: Sql) -> Sql:

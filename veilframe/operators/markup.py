@@ -36,8 +36,8 @@ small span strike strong sub sup time tt u var wbr
 
 _HIDDEN_HTML = r"(?is:<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!.*?>|<\?.*?\?>)"
 _HIDDEN_XML = r"(?s:<!--.*?-->|<!\[CDATA\[|\]\]>|<!.*?>|<\?.*?\?>)"
-# possessive and counted: the matcher recurses once per round of the group
-_TAG = r"(?s:</?[A-Za-z_:](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,1000}+>)"
+# possessive: the matcher loops over the rounds of the group instead of recursing
+_TAG = r"(?s:</?[A-Za-z_:](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>)"
 _VALUE = r"=[ \t\r\n]*(?:\"[^\"]+\"|'[^']+')"
 
 SEGMENT = "struct<kind:string,text:string>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +14,37 @@ from ..policy import Policy
 
 SCHEMA = (
     "dataset string, label string, state string, options string, "
-    "allow array<string>, block array<string>"
+    "allow array<string>, block array<string>, custom array<string>, requested boolean, "
+    "path_allow array<string>, settings string"
 )
 DEFAULT_ROW = "*"
-FIELDS = ["state", "options", "allow", "block"]
 
 
 def to_rows(spark: SparkSession, dataset: str, policy: Policy) -> DataFrame:
     """Rows of one policy; the default state is the row of label ``*``."""
     policy.validate()
-    labels = dict.fromkeys([*policy.config, *policy.options, *policy.allow, *policy.block])
-    rows = [(dataset, DEFAULT_ROW, policy.default, None, [], [])]
+    labels = dict.fromkeys(
+        [
+            *policy.config,
+            *policy.options,
+            *policy.allow,
+            *policy.block,
+            *policy.custom,
+            *policy.custom_entities,
+            *policy.path_allow,
+        ]
+    )
+    # what holds for the whole policy; the type of the seed matters, as it keys the tokens
+    settings = {
+        "seed": policy.seed,
+        "token_width": policy.token_width,
+        "claim_off": policy.claim_off,
+        "path_ignore": list(policy.path_ignore),
+        "custom_entities": list(policy.custom_entities),
+    }
+    rows = [
+        (dataset, DEFAULT_ROW, policy.default, None, [], [], [], None, [], json.dumps(settings))
+    ]
     for label in labels:
         options = policy.options.get(label)
         rows.append(
@@ -35,6 +55,10 @@ def to_rows(spark: SparkSession, dataset: str, policy: Policy) -> DataFrame:
                 to_json(options) if options else None,
                 list(policy.allow.get(label, [])),
                 list(policy.block.get(label, [])),
+                list(policy.custom.get(label, [])),
+                label in policy.custom_entities,
+                list(policy.path_allow.get(label, [])),
+                None,
             )
         )
     return spark.createDataFrame(rows, SCHEMA)
@@ -42,21 +66,27 @@ def to_rows(spark: SparkSession, dataset: str, policy: Policy) -> DataFrame:
 
 def from_rows(rows: DataFrame, dataset: str) -> Policy:
     """Back from rows; a policy has at most a few rows per label."""
-    config, options, allow, block = {}, {}, {}, {}
-    default = model.REDACTION
+    config, options, lists = {}, {}, {n: {} for n in ("allow", "block", "custom", "path_allow")}
+    default, settings, requested = model.REDACTION, {}, []
     for row in rows.where(F.col("dataset") == dataset).toLocalIterator():
         if row.label == DEFAULT_ROW:
             default = row.state or default
+            settings = json.loads(row.settings or "{}")
             continue
         if row.state:
             config[row.label] = row.state
         if row.options:
             options[row.label] = from_json(row.options, row.label)
-        if row.allow:
-            allow[row.label] = list(row.allow)
-        if row.block:
-            block[row.label] = list(row.block)
-    return Policy(default, config, options, allow, block)
+        for name, by_label in lists.items():
+            if row[name]:
+                by_label[row.label] = list(row[name])
+        if row.requested:
+            requested.append(row.label)
+    # the order of the request, then labels that an edit has added
+    named = [x for x in settings.pop("custom_entities", []) if x in requested]
+    named += sorted(set(requested) - set(named))
+    settings["path_ignore"] = tuple(settings.get("path_ignore", ()))
+    return Policy(default, config, options, custom_entities=tuple(named), **lists, **settings)
 
 
 def copied(policies: DataFrame, source: str, target: str, **edits: object) -> DataFrame:
@@ -80,7 +110,11 @@ def edited(policies: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select(
         F.coalesce("new.dataset", "old.dataset").alias("dataset"),
         F.coalesce("new.label", "old.label").alias("label"),
-        *[F.coalesce(f"new.{c}", f"old.{c}").alias(c) for c in FIELDS],
+        *[
+            (F.coalesce(f"new.{c}", f"old.{c}") if c in changes.columns else F.col(f"old.{c}")).alias(c)
+            for c in policies.columns
+            if c not in ("dataset", "label")
+        ],
     )
 
 
@@ -91,11 +125,11 @@ def invalid_rows(policies: DataFrame, custom: DataFrame | None = None) -> DataFr
     if custom is not None:
         known = known.unionByName(custom.select("label"))
     unknown = policies.join(known, "label", "left_anti").withColumn(
-        "problem", F.lit("Invalid key for generator config.")
+        "problem", F.lit("unknown label")
     )
     bad_state = policies.where(
         F.col("state").isNotNull() & ~F.col("state").isin(model.STATES)
-    ).withColumn("problem", F.lit("Invalid value for generator config."))
+    ).withColumn("problem", F.lit("unknown state"))
     return unknown.unionByName(bad_state)
 
 
@@ -122,8 +156,3 @@ def states(spans: DataFrame, policies: DataFrame, dataset: str) -> DataFrame:
     """
     own = from_rows(policies, dataset)
     return spans.withColumn("state", own.state(col("label")).column())
-
-
-def snapshot(policy: Policy) -> dict:
-    """Plain dictionary of a policy, for logs and fingerprints."""
-    return asdict(policy)

@@ -14,7 +14,9 @@ MAX_RETENTION_HOURS = 720
 
 def check_retention(hours: int) -> int:
     if not MIN_RETENTION_HOURS <= hours <= MAX_RETENTION_HOURS:
-        raise ValueError("The retention time must be set between 1 and 720 hours")
+        raise ValueError(
+            f"retention_hours is {hours}; it may be {MIN_RETENTION_HOURS} to {MAX_RETENTION_HOURS}"
+        )
     return hours
 
 
@@ -24,10 +26,13 @@ def records(
     retention_hours: int,
     tags: Sequence[str] = (),
     text: str = "text",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Log rows for a redacted frame; the input is kept as a hash only."""
+    """Log rows for a redacted frame; the input is kept as a hash only.  ``keys`` are
+    columns that name the request."""
     check_retention(retention_hours)
     return redacted.select(
+        *keys,
         at.alias("ts"),
         F.array(*[F.lit(t) for t in tags]).cast("array<string>").alias("tags"),
         F.lit(retention_hours).alias("retention_hours"),

@@ -42,9 +42,7 @@ def redact_transcripts(
     """(key, segment, original_text, redacted_text, spans) per segment."""
     texts = fn.transform(col("segments"), lambda s: s["text"])
     segments = df.select(key, F.posexplode(texts.column()).alias("segment", "text"))
-    return redact_rows(
-        segments, policy, [key], "segment", dictionaries=dictionaries, dense=True
-    )
+    return redact_rows(segments, policy, [key], "segment", dictionaries=dictionaries)
 
 
 def redacted_text(segments: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -6,18 +6,18 @@ so labels that are off cost nothing and no join is needed to look a state up.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from .functions.sql import Sql, fn, lit, when
+from .functions.tokens import LABEL_REGEX
 
 from . import model
 from .options import Options, family_of, generator_of
 
-_STATES_HELP = "The allowed values are Off, Synthesis, and Redaction."
-_KEYS_HELP = (
-    "The allowed keys are the supported PII types and any supplied custom entities."
-)
+_STATES_HELP = "known states: " + ", ".join(model.STATES)
+_KEYS_HELP = "a label must be built in or named in custom_entities"
 
 
 @dataclass(frozen=True)
@@ -41,27 +41,30 @@ class Policy:
     def validate(self) -> "Policy":
         known = set(model.LABELS) | set(self.custom_entities)
         if self.default not in model.STATES:
-            raise ValueError(f"Invalid value for generator default. {_STATES_HELP}")
+            raise ValueError(f"the default state {self.default!r} is unknown; {_STATES_HELP}")
         if set(self.config) - known:
-            raise ValueError(f"Invalid key for generator config. {_KEYS_HELP}")
+            raise ValueError(f"a state is given for labels nobody knows: {sorted(set(self.config) - known)}; {_KEYS_HELP}")
         if set(self.config.values()) - set(model.STATES):
-            raise ValueError(f"Invalid value for generator config. {_STATES_HELP}")
+            raise ValueError(f"a label has an unknown state; {_STATES_HELP}")
         if set(self.options) - known:
-            raise ValueError(f"Invalid key for generator metadata. {_KEYS_HELP}")
+            raise ValueError(f"options are given for labels nobody knows: {sorted(set(self.options) - known)}; {_KEYS_HELP}")
         for label, options in self.options.items():
             expected = family_of(label) if label in model.LABELS else Options
             if not isinstance(options, expected):
                 raise ValueError(
-                    f"Invalid value for generator metadata at {label}. "
-                    f"Expected instance of {expected.__name__}."
+                    f"options of {label} are {type(options).__name__}, "
+                    f"which takes {expected.__name__}"
                 )
             kind = generator_of(label, options)
             natural = model.GENERATOR_OF.get(label)
             if natural and expected is not Options and kind != natural:
                 raise ValueError(
-                    f"Invalid value for generator metadata at {label}. "
-                    f"{expected.__name__} requires {natural} but got {kind}."
+                    f"options of {label} name the generator {kind}; "
+                    f"{expected.__name__} go with {natural}"
                 )
+        odd = [x for x in {*self.custom, *self.custom_entities} if not re.fullmatch(LABEL_REGEX, x)]
+        if odd:
+            raise ValueError(f"names of custom entities must look like {LABEL_REGEX}: {odd}")
         if not 8 <= self.token_width <= 64:
             raise ValueError("token_width must be between 8 and 64")
         return self

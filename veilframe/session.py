@@ -15,12 +15,15 @@ BROADCAST_CHARS = 32_000_000
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where nothing is set (tests on one machine) a temporary folder is used.
+    Where nothing is set a local session (a test) gets a temporary folder; on a cluster the
+    executors would each write to a disk of their own, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="veilframe-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -61,7 +61,7 @@ def read_csv(
     """CSV as strings with ``row_file``; without a header columns are "0", "1", ...
 
     ``columns`` (names, or a count) saves the pass that looks at the first line.  In
-    strict mode a row of another width fails the job with ``Invalid row``; otherwise
+    strict mode a row of another width fails the job; otherwise
     such rows are kept aside in the column ``_corrupt_record``.
     """
     options = csv_options(**dialect)  # type: ignore[arg-type]
@@ -93,7 +93,7 @@ def read_csv(
         return df
     # the check is a filter, so it runs whatever columns the query selects; naming a data
     # column (an empty slice of it) keeps Spark from reading the corrupt column alone
-    message = "Invalid row. Row must have same number of columns as header."
+    message = "A CSV row is wider or narrower than the first one."
     invalid = F.raise_error(
         F.concat(F.lit(message), F.coalesce(F.substring(f"`{names[0]}`", 1, 0), F.lit("")))
     )
