@@ -20,6 +20,8 @@ from veilframe.session import checkpoint_dir
 RANK_ROWS = 256
 #: A key with at least this share of all rows is hot; there are at most 1 / HOT_SHARE.
 HOT_SHARE = 0.001
+#: Rows that Spark hands to a Python function at once.
+BATCH_ROWS = 1_000
 #: UTF-8 bytes that a Python function works on at once.
 BATCH_BYTES = 2_000_000
 
@@ -112,6 +114,16 @@ def attach(
     )
 
 
+def bound_batches() -> None:
+    """Bounds what Spark hands to a Python function at once, by rows and bytes, in the
+    active session.  Spark's own bound of 10,000 rows is some hundred megabytes of long
+    texts, held twice in the JVM and twice in Python."""
+    spark = SparkSession.active()
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 * BATCH_BYTES)
+
+
 def by_bytes(texts: Sequence[str], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``most`` characters, one text at least."""
     begin = size = 0

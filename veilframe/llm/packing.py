@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import word_encoder
-from .common import BATCH_BYTES, by_bytes, ranked, settled
+from .common import bound_batches, ranked, settled, slices
 
 SIZE = 1024
 
@@ -123,25 +124,33 @@ def cuts(text: Column, path: str, end_id: int, size: int, keep_ids: bool) -> Col
     kind = f"array<struct<length: long, ids_crc32: long{', ids: binary' * keep_ids}>>"
     names = ["length", "ids_crc32", "ids"][: 2 + keep_ids]
 
+    bound_batches()
+
     @F.arrow_udf(kind)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = word_encoder.encoder(path)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            stops, parts = [0], []
-            for begin, stop in by_bytes(texts, BATCH_BYTES):
-                for raw in encoder.encode(texts[begin:stop]):
+            stops: list[int] = [0]
+            lengths: list[int] = []
+            sums: list[int] = []
+            kept: list[bytes] = []
+            for texts in slices(batch):
+                for raw in encoder.encode(texts):
                     raw += tail
                     # the first piece takes what is left over
                     first = (len(raw) - 4) % (4 * size) + 4
-                    parts.append(raw[:first])
-                    parts += [raw[i : i + 4 * size] for i in range(first, len(raw), 4 * size)]
-                    stops.append(len(parts))
+                    for begin, stop in pairwise([0, *range(first, len(raw) + 1, 4 * size)]):
+                        part = raw[begin:stop]
+                        lengths.append(len(part) >> 2)
+                        sums.append(zlib.crc32(part))
+                        if keep_ids:
+                            kept.append(part)
+                    stops.append(len(lengths))
             columns = [
-                pa.array([len(p) >> 2 for p in parts], pa.int64()),
-                pa.array(list(map(zlib.crc32, parts)), pa.int64()),
-                pa.array(parts, pa.binary()),
+                pa.array(lengths, pa.int64()),
+                pa.array(sums, pa.int64()),
+                pa.array(kept, pa.binary()),
             ][: len(names)]
             yield pa.ListArray.from_arrays(
                 pa.array(stops, pa.int32()), pa.StructArray.from_arrays(columns, names)
@@ -164,7 +173,10 @@ def pack(
     whole = F.coalesce(F.col(text), F.lit(""))
     cut = df.select(F.col(key), cuts(whole, path, end_id, size, keep_ids).alias("_cuts"))
     first = F.col("_cuts")[0]["length"]
-    pieces = cut.select(key, first.alias("_first"), F.posexplode("_cuts").alias("piece", "_cut")).select(
+    # no array is empty; the outer form keeps Spark from asking so beforehand, which would
+    # encode every text a second time
+    each = F.posexplode_outer("_cuts").alias("piece", "_cut")
+    pieces = cut.select(key, first.alias("_first"), each).select(
         key,
         "piece",
         F.when(F.col("piece") == 0, F.lit(0))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_encoder
-from .common import BATCH_BYTES, by_bytes, settled
+from .common import bound_batches, settled, slices
 
 NULL_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, name string, n_docs long, n_tokens long, width int"
@@ -62,15 +62,14 @@ def _writer(path: str, end_id: int, folder: str):
         docs: list[np.ndarray] = []
         out = None
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if not texts:
+            if not batch.num_rows:
                 continue
             if out is None:
                 out = files.open_output_stream(f"{root}/{name}.ids")
             ids = batch.column(0).cast(pa.int64()).fill_null(NULL_ID)
             docs.append(ids.to_numpy(zero_copy_only=False))
-            for begin, stop in by_bytes(texts, BATCH_BYTES):
-                raw = [r + tail for r in encoder.encode(texts[begin:stop])]
+            for texts in slices(batch.column(1)):
+                raw = [r + tail for r in encoder.encode(texts)]
                 lengths += [len(r) >> 2 for r in raw]
                 flat = np.frombuffer(b"".join(raw), "<u4")
                 out.write(flat.astype(f"<u{width}").tobytes())
@@ -98,6 +97,7 @@ def write(
     df: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text"
 ) -> None:
     """Writes the ids of all texts, ``end_id`` behind each, in ascending order of ``key``."""
+    bound_batches()
     files, root = _open(folder)
     files.create_dir(root, recursive=True)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))

@@ -28,7 +28,7 @@ WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+$")
 #: White space other than a blank or a line end.
 ODD_SPACE = re.compile(f"[{SPACE.replace(' ', '').replace(chr(10), '')}]")
 #: Words a worker keeps, and the longest of them.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 LONG_WORD = 48
 #: Characters per text handed to the library.
 AT_ONCE = 1_000
