@@ -27,19 +27,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, by_bytes, spread_free
+from .common import bound_batches, slices, spread_free
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
 NONE = np.iinfo(np.int64).max
 CODES = 0x110000
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 LONG_WORD = 48
 #: Words longer than this are merged one by one with a heap: rounds follow the number of
 #: different merges, which in a long word may be thousands.
 HEAP_FROM = 400
 #: Ids that are decoded at once.
-IDS_AT_ONCE = 1_000_000
+IDS_AT_ONCE = 500_000
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -442,15 +442,16 @@ def _lists(raw: Sequence[bytes]) -> pa.Array:
 def encoded(text: Column | str, path: str, end: bool = True) -> Column:
     """Ids of a text (null as empty) as ``array<int>``, the end id last if ``end``."""
 
+    bound_batches()
+
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = model(path)
         tail = np.array([pieces.end] if end else [], "<i4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
             raw: list[bytes] = []
-            for begin, stop in by_bytes(texts, BATCH_BYTES):
-                raw += [r + tail for r in pieces.encode(texts[begin:stop])]
+            for texts in slices(batch):
+                raw += [r + tail for r in pieces.encode(texts)]
             yield _lists(raw)
 
     return ids(text)
@@ -459,6 +460,8 @@ def encoded(text: Column | str, path: str, end: bool = True) -> Column:
 def decoded(ids: Column | str, path: str) -> Column:
     """Text of an ``array<int>`` of ids (null as empty)."""
 
+    bound_batches()
+
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = model(path)
