@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import attach, settled, slices, spread_free
+from .common import attach, bound_batches, settled, slices, spread_free
 from .components import components
 
 #: Similarity as a fraction, so that comparing is exact.
@@ -64,6 +64,8 @@ def runs_for(similarity: float, recall: float) -> int:
 def marked(text: Column | str) -> Column:
     """Struct of set (16 bytes), n (its size) and mins (minimum hashes) of a text."""
 
+    bound_batches()
+
     @F.arrow_udf("struct<set: binary, n: int, mins: binary>")
     def mark(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

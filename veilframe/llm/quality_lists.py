@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, spread_free
+from .common import bound_batches, plain, spread_free
 
 MAX_LABELLED = 20_000
 #: The base rule: fewer words, or a larger share (percent) of repeated words, fails.
@@ -122,6 +122,8 @@ def features(text: Column | str) -> Column:
     """Struct of all counts of a text."""
     names = COUNTS + EXTRA
 
+    bound_batches()
+
     @F.pandas_udf(", ".join(f"{n} long" for n in names))
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import word_encoder
-from .common import BATCH_BYTES, by_bytes, plain
+from .common import BATCH_BYTES, bound_batches, by_bytes, plain
 
 #: Tokens beyond which a text counts as over the limit.
 LIMIT = 512
@@ -78,6 +78,8 @@ def n_tokens(text: Column | str, path: str, batch_bytes: int = BATCH_BYTES) -> C
     without begin, end or added special tokens, never truncated or padded."""
     count = _model_counts if path.endswith(".model") else _json_counts
 
+    bound_batches()
+
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
