@@ -20,6 +20,7 @@ from veilframe.operators.detect import (
 )
 from veilframe.operators.gazetteer import gazetteer_hits
 from veilframe.policy import Policy
+from veilframe.session import spread
 
 from .common import (
     MAIN,
@@ -438,3 +439,84 @@ def null_texts(spark, sf_dir):
         (F.col("text").isNull() & F.col("spans").isNull()).alias("is_null"),
         F.coalesce(fn.size(col("spans")).column(), F.lit(0)).alias("n"),
     )
+
+
+# --- every built-in label, on sentences made from supplier keys ------------------------
+
+
+def _digit(i: int) -> str:
+    return f"CAST(substr(lpad(CAST(k * 7919 AS STRING), 8, '0'), {i}, 1) AS BIGINT)"
+
+
+def _padded(value: str, width: int) -> str:
+    return f"lpad(CAST({value} AS STRING), {width}, '0')"
+
+
+_ABA = "(10 - (3 * ({}+{}+{}) + 7 * ({}+{}+{}) + {}+{}) % 10) % 10".format(
+    *[_digit(i) for i in (1, 4, 7, 2, 5, 8, 3, 6)]
+)
+# WEST is 32 14 28 29 and GB is 16 11 when letters are read as numbers
+_IBAN = f"98 - (((32142829 % 97) * 100000000000000 + 10000000000000 + k) % 97 * 1000000 + 161100) % 97"
+#: Label, words in front, the value as SQL that both engines read, words behind.
+_SENTENCES = [
+    ("EMAIL_ADDRESS", "write to ", "'u' || k || '.x@mail' || (k % 7) || '.example.org'", ""),
+    ("URL", "see ", "'https://host' || (k % 9) || '.example/p?id=' || k", " there"),
+    ("IP_ADDRESS", "from ", "(k % 256) || '.' || (k * 7 % 256) || '.10.' || (k % 100)", " again"),
+    ("IP_ADDRESS", "from host ", "'2001:db8:0:0:0:ff:' || (1000 + k % 9000) || ':' || (k % 9)", " again"),
+    ("PHONE_NUMBER", "call ", f"'(' || (200 + k % 700) || ') 555-' || {_padded('k % 10000', 4)}", " soon"),
+    ("CREDIT_CARD", "card ", f"'4' || {_padded('k', 15)}", " please"),
+    ("US_SSN", "ssn ", "(100 + k % 500) || '-' || (10 + k % 80) || '-' || (1000 + k % 9000)", ""),
+    ("US_ITIN", "itin ", "'9' || (10 + k % 80) || '-70-' || (1000 + k % 9000)", ""),
+    ("IBAN_CODE", "iban ", f"'GB' || {_padded(_IBAN, 2)} || 'WEST' || (10000000000000 + k)", " here"),
+    ("MICR_CODE", "line ", f"'\u2446' || {_padded('k', 9)} || '\u2446'", " end"),
+    ("MONEY", "due ", f"'$' || (1 + k % 900) || ',' || {_padded('k * 13 % 1000', 3)} || '.50'", " now"),
+    ("MONEY", "due: ", f"'9' || {_padded('k', 9)} || ',000 USD'", " now"),
+    ("DATE_TIME", "on ", "(1950 + k % 70) || '-0' || (1 + k % 9) || '-1' || (k % 10)", ""),
+    ("DOB", "born on ", "'0' || (1 + k % 9) || '/1' || (k % 10) || '/' || (1950 + k % 50)", ""),
+    ("PERSON_AGE", "she is ", "CAST(20 + k % 60 AS STRING)", " years old"),
+    ("LOCATION_ZIP", "Boise, ID ", "CAST(83700 + k % 90 AS STRING)", ""),
+    ("LOCATION_STATE", "lives in Boise, ", "'ID'", " now"),
+    ("NUMERIC_PII", "ref ", "'AB' || (100000 + k)", ""),
+    ("NUMERIC_VALUE", "this is ", "CAST(k AS STRING)", " of them"),
+    ("US_BANK_NUMBER", "account ", "CAST(100000000 + k AS STRING)", " is open"),
+    ("US_ROUTING_TRANSIT_NUMBER", "routing number ", f"{_padded('k * 7919', 8)} || ({_ABA})", ""),
+    ("CC_EXP", "expires ", "'0' || (1 + k % 9) || '/' || (25 + k % 9)", ""),
+    ("CVV", "cvv: ", "CAST(100 + k % 900 AS STRING)", ""),
+    ("PASSWORD", "password: ", "'pw' || k || '!x'", " then"),
+    ("USERNAME", "username is ", "'user_' || k", " then"),
+    ("HEALTHCARE_ID", "MRN ", "CAST(10000000 + k AS STRING)", ""),
+    ("US_PASSPORT", "passport number ", "'A' || (10000000 + k)", ""),
+    ("MEDICAL_LICENSE", "medical license ", "'AB' || (100000 + k)", ""),
+    ("US_DRIVER_LICENSE", "driver license ", "'B' || (100000 + k)", ""),
+]
+#: A long way between the words that announce a value and the value before it.
+_LEAD = "well then " * 30
+
+
+@query(
+    "D1_sentences",
+    " UNION ALL ".join(
+        f"""SELECT k, {i} AS sentence, {len(_LEAD) + len(front)} AS start,
+              {len(_LEAD) + len(front)} + length({value}) AS "end", '{label}' AS label, {value} AS text
+            FROM (SELECT s_suppkey AS k FROM supplier)"""
+        for i, (label, front, value, _) in enumerate(_SENTENCES)
+    ),
+)
+def sentences(spark, sf_dir):
+    """All labels at once on sentences whose values are known by construction."""
+    rows = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k")
+    texts = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("sentence"),
+                F.lit(label).alias("label"),
+                F.concat(F.lit(_LEAD + front), F.expr(value), F.lit(behind)).alias("text"),
+            )
+            for i, (label, front, value, behind) in enumerate(_SENTENCES)
+        ]
+    )
+    made = rows.select("k", F.explode(texts).alias("m")).select("k", "m.*")
+    found = with_spans(made.withColumnRenamed("label", "expected"), builtin())
+    return found.select("k", "sentence", "expected", F.explode("spans").alias("s")).where(
+        "s.label = expected"
+    ).select("k", "sentence", "s.start", "s.end", "s.label", "s.text")

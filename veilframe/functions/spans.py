@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 
-from .arrays import PIECE, empty, fold_emit, indices, let, part, running_starts
+from .arrays import PIECE, banded, empty, fold_emit, indices, let, part, running_starts, touching
 from .sql import Sql, fn, lit, struct, when
 
 CANDIDATE = "struct<start:int,neg_end:int,neg_score:double,label:string,text:string>"
@@ -200,21 +200,24 @@ def resolve(found: Sql) -> Sql:
 
 
 def without_blocked(found: Sql, blocks: Sql) -> Sql:
-    """Drop candidates that lie inside a block match of their own label."""
+    """Drop candidates that lie inside a block match of their own label.
 
+    A candidate meets only the blocks that touch it, not all of them.
+    """
+    starts, ends = (lambda b: b["start"]), (lambda b: -b["neg_end"])
 
-    def outside(bound: Sql) -> Sql:
+    def outside(bands: Sql) -> Sql:
         return fn.filter(
             found,
             lambda c: ~fn.exists(
-                bound,
+                touching(bands, c["start"], -c["neg_end"], starts, ends),
                 lambda b: (b["label"] == c["label"])
                 & (b["start"] <= c["start"])
                 & (b["neg_end"] <= c["neg_end"]),
             ),
         )
 
-    return let(blocks, outside)
+    return let(banded(fn.array_sort(blocks), starts, ends), outside)
 
 
 def to_spans(
