@@ -353,28 +353,44 @@ def utf16_length(text: Sql) -> Sql:
     return (fn.length(fn.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def _wide_characters(text: Sql) -> Sql:
+    """Positions of the characters that take two UTF-16 units, in bands."""
+    pieces = fn.split(text, lit(r"[\x{10000}-\x{10FFFF}]"), -1)
+    begins = running_starts(fn.transform(pieces, lambda p: fn.length(p) + 1))
+    at = fn.transform(fn.slice(begins, 2, fn.size(begins)), lambda b: b - 1)
+    return banded(at, lambda p: p, lambda p: p)
+
+
 def utf16_spans(text: Sql, spans: Sql) -> Sql:
-    """Spans with UTF-16 ``start``/``end``; the code-point offsets are kept beside them."""
-    return fn.transform(
-        spans,
-        lambda s: let(
-            struct(
-                before=utf16_length(fn.substring(text, lit(1), s["start"])),
-                inside=utf16_length(
-                    fn.substring(text, s["start"] + 1, s["end"] - s["start"])
-                ),
-            ),
-            lambda v: struct(
-                start=v["before"],
-                end=v["before"] + v["inside"],
+    """Spans with UTF-16 ``start``/``end``; the code-point offsets are kept beside them.
+
+    An offset grows by one for every wide character before it; a text without any, which
+    is most texts, keeps its offsets.
+    """
+
+    def shifted(bands: Sql, offset: Sql) -> Sql:
+        def add(total: Sql, band: Sql) -> Sql:
+            part_of = fn.size(fn.filter(band["items"], lambda p: p < offset))
+            inside = when(band["high"] < offset, fn.size(band["items"]))
+            return total + inside.when(band["low"] >= offset, 0).otherwise(part_of)
+
+        return fn.aggregate(bands, offset, add)
+
+    def located(bands: Sql) -> Sql:
+        return fn.transform(
+            spans,
+            lambda s: struct(
+                start=shifted(bands, s["start"]),
+                end=shifted(bands, s["end"]),
                 python_start=s["start"],
                 python_end=s["end"],
                 label=s["label"],
                 text=s["text"],
                 score=s["score"],
             ),
-        ),
-    )
+        )
+
+    return let(_wide_characters(text), located)
 
 
 def usage(text: Sql) -> Sql:
