@@ -13,6 +13,7 @@ import pytest
 from tests.llm.data import BASE, ROWS, clashing, docs, prose, text_of
 from veilframe.llm import exact_dedup, ngram_join, quality_lists, sharding, shingles
 from veilframe.llm.components import components
+from veilframe.llm.membership import may_be_among
 
 
 # --- exact copies -----------------------------------------------------------------------
@@ -100,7 +101,7 @@ def family(seed, size, words=150, edits=3):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"split_above": 4, "block": 3}])
+@pytest.mark.parametrize("options", [{}, {"split_above": 4, "sketch_block": 3, "text_block": 3}])
 def test_similar_equals_brute_force(spark, options):
     texts = family(11, 30) + family(12, 12, words=12, edits=1) + family(13, 8, words=4)
     # a passage that unlike texts share
@@ -282,3 +283,17 @@ def test_judged_takes_all_rows(spark):
     odd = spark.createDataFrame([(1, None, None), (None, 0, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality_lists.fit(docs(spark), odd) == []
     assert quality_lists.judged(docs(spark, []), []).count() == 0
+
+
+# --- membership -------------------------------------------------------------------------
+
+
+def test_members_are_never_missed(spark):
+    rows = spark.range(3000).selectExpr("xxhash64(id) AS h", "id AS _part")
+    members = spark.range(0, 3000, 30).selectExpr("xxhash64(id) AS m")
+    found = may_be_among(rows, "h", members, "m", "near").collect()
+    assert len(found) == 3000
+    assert all(r["near"] for r in found if r["_part"] % 30 == 0)
+    assert sum(r["near"] for r in found) < 400
+    none = may_be_among(rows, "h", members.limit(0), "m", "near")
+    assert none.where("near").count() == 0 and none.columns == ["h", "_part", "near"]
