@@ -4,7 +4,8 @@ Texts with equal shingle sets are one class; the join runs over classes.  In eac
 independent runs a tree splits the classes: a bucket picks ``BRANCHES`` of the minimum
 hashes by its own path, and every member goes to a child bucket per picked hash, named by
 the hash's value, so sets that share the sampled token stay together.  Buckets with one
-member end, small ones are compared, large ones are split again.  A pair of similarity s
+member end, small ones are compared, and so are those into which half of the bucket above
+came along, as their members are alike; other large ones are split again.  A pair of similarity s
 meets in a child with probability 1 - (1 - s)**BRANCHES; down a tree of any depth it meets
 with at least the fixed point of q = 1 - (1 - s q)**BRANCHES, which gives the number of
 runs for a target recall.  What is still large at the last level is compared too, in
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import attach, bound_batches, settled, slices, spread_free
 from .components import components
+from .membership import may_be_among
 
 #: Similarity as a fraction, so that comparing is exact.
 SIMILARITY = (4, 5)
@@ -43,8 +45,10 @@ BRANCHES = 2
 #: Buckets of more members are split again, up to this depth.
 SPLIT_ABOVE = 1024
 MAX_DEPTH = 12
-#: Members of a block; a task compares two blocks.
-BLOCK = 256
+#: Members of a block of sketches, and of texts; a task compares two blocks.  A bucket that
+#: is not split again is one block, so no member is sent twice.
+SKETCH_BLOCK = SPLIT_ABOVE
+TEXT_BLOCK = 128
 #: Shingles of a block of texts.
 BLOCK_SHINGLES = 400_000
 #: A sketch estimate so many standard deviations below the similarity still counts.
@@ -118,29 +122,42 @@ def buckets(classes: DataFrame, runs: int, split_above: int = SPLIT_ABOVE) -> Da
     # a run starts from a node of its own
     level = classes.select(
         F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))).alias("node"),
+        F.lit(classes.count()).cast("long").alias("parent"),
         "set",
         "mins",
     )
+    hashed = classes.select("set", "mins", F.xxhash64("set").alias("_hash"))
     closed: list[DataFrame] = []
     for depth in range(1, MAX_DEPTH + 1):
         # no array is empty; the outer form spares Spark's own test for that
         split = F.explode_outer(children("node", "mins")).alias("node")
-        rows = settled(level.select(split, "set"), "nodes")
+        rows = settled(level.select(split, "set", "parent"), "nodes")
         sizes = settled(
-            rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes"
+            rows.groupBy("node")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"))
+            .where("n > 1"),
+            "sizes",
         )
         met = settled(
-            attach(rows, sizes, "node", "n", ["set"], F.col("n"), "n").where("n IS NOT NULL"),
+            attach(
+                rows.drop("parent"), sizes, "node", "n", ["set"], F.struct("n", "parent"), "of"
+            )
+            .where("of IS NOT NULL")
+            .select("node", "set", "of.n", "of.parent"),
             "met",
         )
+        # half of the bucket above came along: its members are alike, and splitting them
+        # again would send them to more buckets without making these much smaller
+        done = (F.col("n") <= split_above) | (F.col("n") * 2 >= F.col("parent"))
         if depth == MAX_DEPTH:
-            closed.append(met)
-            break
-        closed.append(met.where(F.col("n") <= split_above))
-        large = met.where(F.col("n") > split_above).select("node", "set")
+            done = F.lit(True)
+        closed.append(met.where(done).drop("parent"))
+        large = met.where(~done).select("node", "set", F.col("n").alias("parent"))
         if large.limit(1).count() == 0:
             break
-        level = large.join(classes.select("set", "mins"), "set")
+        some = large.select(F.xxhash64("set").alias("_member")).distinct()
+        near = may_be_among(hashed, "_hash", some, "_member", "_near")
+        level = large.join(near.where("_near").select("set", "mins"), "set")
     found = closed[0]
     for more in closed[1:]:
         found = found.unionByName(more)
@@ -325,7 +342,8 @@ def similar(
     similarity: tuple[int, int] = SIMILARITY,
     recall: float = RECALL,
     split_above: int = SPLIT_ABOVE,
-    block: int = BLOCK,
+    sketch_block: int = SKETCH_BLOCK,
+    text_block: int = TEXT_BLOCK,
 ) -> DataFrame:
     """One row per row of ``df``: key, class_id (the least key of its connected component
     of similar texts), copy_id (the least key of its equal sets), n_links (other rows at
@@ -360,7 +378,7 @@ def similar(
     t = shingles.HASHES
     chance = share + (1 - share) / 256
     least = ceil(t * chance - SLACK * (t * chance * (1 - chance)) ** 0.5)
-    pairs = block_pairs(met, F.col("node"), F.ceil(F.col("n") / block)).join(sketches, "set")
+    pairs = block_pairs(met, F.col("node"), F.ceil(F.col("n") / sketch_block)).join(sketches, "set")
     ordered = (
         pairs.select("pair", "set", "block", "alone", "sketch")
         .repartition("pair")
@@ -375,7 +393,7 @@ def similar(
         sized.groupBy("component").agg(
             F.count(F.lit(1)).alias("n"),
             F.greatest(
-                F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)
+                F.ceil(F.count(F.lit(1)) / text_block), F.ceil(F.sum("size") / BLOCK_SHINGLES)
             ).alias("blocks"),
         ),
         "extents",
@@ -383,7 +401,10 @@ def similar(
     placed = settled(
         attach(sized, extents, "component", "n", ["set"], F.col("blocks"), "blocks"), "placed"
     )
-    texts = rows.select(row_hash.alias("row"), "text").join(placed, "row")
+    # of the texts only those of the islands move
+    hashed = rows.select(row_hash.alias("row"), "text")
+    near = may_be_among(hashed, "row", placed.select(F.col("row").alias("member")), "member", "_near")
+    texts = near.where("_near").drop("_near").join(placed, "row")
     compared = (
         block_pairs(texts, F.col("component"), F.col("blocks"))
         .select("pair", "set", "block", "alone", "copies", "text")
@@ -441,12 +462,30 @@ def similar(
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df``, whole, of which one stays for every class of ``similar``: the one
     with the least key, a null key behind all others.  Rows equal in key and text are one."""
-    row, name = spread_free("_row", df.columns), spread_free("_name", df.columns)
-    found = similar(df, key, text, **options)
-    keys = F.struct(F.col(key).isNull().alias("late"), F.col(key).alias("key"), F.col("text_hash").alias("row"))
-    staying = found.groupBy("class_name").agg(F.min(keys).alias(name)).select(F.col(f"{name}.row").alias(row))
+    row, name, near = (spread_free(n, df.columns) for n in ("_row", "_name", "_near"))
+    found = settled(
+        similar(df, key, text, **options).select(
+            "class_name", F.col(key).alias("key"), F.col("text_hash").alias("row")
+        ),
+        "similar",
+    )
+    order = F.struct(F.col("key").isNull().alias("late"), "key", "row")
+    classes = settled(
+        found.groupBy("class_name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "repeated",
+    )
+    # rows of classes with one member pass straight through
+    shared = attach(found, classes, "class_name", "n", ["row"], F.col("first.row"), "stays")
+    members = settled(shared.where("stays IS NOT NULL").select("row", "stays"), "members")
     hashed = df.withColumn(row, F.xxhash64(key, F.coalesce(F.col(text), F.lit(""))))
-    return hashed.join(staying, row, "left_semi").dropDuplicates([row]).select(*df.columns)
+    tested = may_be_among(hashed, row, members.withColumnRenamed("row", "_member"), "_member", near)
+    alone = tested.where(~F.col(near))
+    verdicts = members.groupBy(F.col("row").alias(name)).agg(
+        F.first(F.col("stays") == F.col("row")).alias("_stays")
+    )
+    joined = tested.where(F.col(near)).join(verdicts, F.col(row) == F.col(name), "left")
+    kept = joined.where(F.coalesce("_stays", F.lit(True))).dropDuplicates([row])
+    return alone.select(*df.columns).unionByName(kept.select(*df.columns))
 
 
 def low_bytes(mins: Column | str) -> Column:
