@@ -56,7 +56,7 @@ PAGE = (
 
 def test_lines_of_markup():
     lines = html_extract.lines_of(PAGE)
-    assert [x[0] for x in lines if x[1] == html_extract.IN_ARTICLE] == ["T & x", "abc d", "e < f ©"]
+    assert [x[0] for x in lines if x[1] == html_extract.IN_ARTICLE] == ["T & x", "abc", "d", "e < f ©"]
     assert [x[0] for x in lines if x[1] == html_extract.NO_ARTICLE] == ["out", "< 5"]
 
 
