@@ -216,6 +216,24 @@ def test_shards_are_even(spark):
     assert len(total) == 16 and max(total.values()) - min(total.values()) <= 2
 
 
+@pytest.mark.parametrize("part", [0.05, 1 / 3])
+def test_a_large_group_is_leveled(spark, part):
+    draw = random.Random(5)
+    sizes = [draw.randint(50, 20_000) for _ in range(sharding.DRIVER_ITEMS + 4_000)]
+    sizes.append(int(sum(sizes) * part / (1 - part)))
+    groups = spark.createDataFrame([(f"g{i}", s) for i, s in enumerate(sizes)], "item string, size long")
+    totals = []
+    for tasks in (1, 7):
+        total = Counter()
+        for r in sharding.balanced(groups.repartition(tasks), "item", "size").collect():
+            total[r["shard"]] += sizes[int(r["item"][1:])]
+        totals.append(sorted(total.values()))
+    assert totals[0] == totals[1] and sum(totals[0]) == sum(sizes) and len(totals[0]) == 16
+    if part > 1 / 16:
+        assert totals[0].pop() == sizes[-1]
+    assert totals[0][-1] - totals[0][0] <= 0.001 * sum(totals[0]) / len(totals[0])
+
+
 # --- quality rules ----------------------------------------------------------------------
 
 
