@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilframe import model
 from veilframe.functions.spans import Pattern
@@ -75,6 +76,30 @@ def secret_pattern() -> Pattern:
     return Pattern("SECRET", SECRET, model.SCORE_USER_RULE)
 
 
+#: Labels and rules of a caller's span table; its terms overlap each other.
+GIVEN_RULES = {
+    "SECRET": (SECRET, "true", 0.95),
+    "TERM": ("[a-z]+tion(?: [a-z]+)?", "true", 0.6),
+    "TERM_END": ("[a-z]+ [a-z]+tion", "true", 0.6),
+}
+
+
+def given_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the spans a caller supplies as ``spans``: all matches of some patterns
+    in the whole texts, overlaps and all, last first, and one beyond the end of the text."""
+    rules = [Pattern(label, regex, score) for label, (regex, _, score) in GIVEN_RULES.items()]
+    found = with_spans(documents(spark, sf_dir), [*builtin(MAIN), *rules], overlaps=True)
+    return found.withColumn(
+        "spans",
+        F.expr(
+            "concat(array(named_struct('start', length(text) - 1, 'end', length(text) + 1,"
+            " 'label', 'TERM', 'text', '', 'score', 1.0D)), transform(reverse(spans), x ->"
+            " named_struct('start', x.start, 'end', x.end, 'label', x.label, 'text', x.text,"
+            " 'score', x.score)))"
+        ),
+    )
+
+
 def main_spans(spark: SparkSession, sf_dir: str, labels: Sequence[str] = MAIN) -> DataFrame:
     return with_spans(documents(spark, sf_dir), builtin(labels), language="lang")
 

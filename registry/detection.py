@@ -23,11 +23,13 @@ from veilframe.policy import Policy
 from veilframe.session import spread
 
 from .common import (
+    GIVEN_RULES,
     MAIN,
     RULES,
     SECRET,
     candidates_sql,
     documents,
+    given_spans,
     main_spans,
     matches,
     query,
@@ -252,6 +254,20 @@ def known(spark, sf_dir):
     )
 
 
+@query(
+    "D9_known_entities_whole",
+    resolved_sql(MAIN, GIVEN_RULES)
+    + ' SELECT doc_id, start, stop AS "end", label, value AS text FROM resolved',
+)
+def known_whole(spark, sf_dir):
+    """Supplied spans all over the texts, many of them overlapping."""
+    df = given_spans(spark, sf_dir)
+    kept = df.withColumn("spans", known_entities(col("text"), col("spans")).column())
+    return kept.select("doc_id", reports.exploded("spans").alias("s")).select(
+        "doc_id", "s.start", "s.end", "s.label", "s.text"
+    )
+
+
 @query(
     "D10_language",
     resolved_sql(keys="doc_id, lang")

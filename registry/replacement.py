@@ -40,9 +40,12 @@ from veilframe.policy import Policy
 from veilframe.session import settle, spread
 
 from .common import (
+    GIVEN_RULES,
+    MAIN,
     SECRET,
     SEED,
     documents,
+    given_spans,
     int_sql,
     main_spans,
     matches,
@@ -708,3 +711,24 @@ def redact_given(spark, sf_dir):
     )
 
 
+@query(
+    "D9_redact_known_whole",
+    splice_sql(resolved_sql(MAIN, GIVEN_RULES), token_sql("label", "value")),
+)
+def redact_given_whole(spark, sf_dir):
+    """Caller-supplied entities all over the texts, many of them overlapping."""
+    done = redact_known(given_spans(spark, sf_dir), Policy(seed=SEED))
+    return done.select(
+        "doc_id", "redacted_text", fn.size(col("spans")).column().alias("n_spans")
+    )
+
+
+@query("S13_file_redaction_whole", _REDACTED_SQL)
+def file_redaction_whole(spark, sf_dir):
+    """A document as a file: the whole text is detected and redacted as R1 does."""
+    states = {label: "Redaction" for label in [*_KEEP, "SECRET"]}
+    policy = _policy(default="Off", config=states, claim_off=False)
+    done = redact_frame(documents(spark, sf_dir), policy, key="doc_id")
+    return done.select(
+        "doc_id", "redacted_text", fn.size(col("spans")).column().alias("n_spans")
+    )
