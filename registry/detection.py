@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.spans import Pattern, utf16_spans
 from veilframe.functions.sql import col, fn
-from veilframe.operators import chunking, policies, reports
+from veilframe.operators import chunking, policies, quality, reports
 from veilframe.operators.detect import (
     aba_valid,
     builtin,
@@ -536,3 +536,75 @@ def sentences(spark, sf_dir):
     return found.select("k", "sentence", "expected", F.explode("spans").alias("s")).where(
         "s.label = expected"
     ).select("k", "sentence", "s.start", "s.end", "s.label", "s.text")
+
+
+#: Compressed addresses: words in front, the value as SQL that both engines read, words behind.
+_IPV6_SENTENCES = [
+    ("from ", "'2001:db8::' || (1 + k % 9000)", " again"),
+    ("from [", "'fe80::' || (k % 10) || ':ff:' || (k % 7)", "]:8080"),
+    ("node:", "'fe80::' || (1 + k % 90)", "%eth0"),
+    ("to ", "'::' || (1 + k % 9000)", ", then"),
+    ("net ", "'2001:db8:' || (k % 100) || '::'", "/48"),
+    ("mapped ", "'::ffff:192.0.2.' || (k % 200)", "."),
+    ("tail ", "'64:ff9b::192.0.2.' || (k % 200)", "."),
+    ("all ", "'1:2:3:4:5:6:7:' || (k % 9000)", " of it"),
+    ("seven ", "'1:2:3::5:6:7:' || (k % 9000)", ": yes"),
+]
+#: No addresses: two gaps, five digits, nine groups, times, hardware addresses, code.
+_NO_IPV6 = [
+    "'at 1::2::' || k",
+    "'at 12345::' || (k % 100)",
+    "'at 1:2:3:4:5:6:7:8:' || (k % 100)",
+    "'at 1:2:3:4::5:6:7:' || (k % 100)",
+    "'at 12:30:' || (10 + k % 50)",
+    "'at 00:1a:2b:3c:4d:' || (10 + k % 50)",
+    "'std::deque and std::add::' || (k % 100)",
+]
+
+
+def _ipv6_found(spark, sf_dir):
+    rows = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k")
+    texts = [
+        F.concat(F.lit(_LEAD + front), F.expr(value), F.lit(behind))
+        for front, value, behind in _IPV6_SENTENCES
+    ] + [F.concat(F.lit(_LEAD), F.expr(value)) for value in _NO_IPV6]
+    made = rows.select("k", F.posexplode(F.array(*texts)).alias("sentence", "text"))
+    return with_spans(made, builtin(["IP_ADDRESS"]))
+
+
+_IPV6_SQL = " UNION ALL ".join(
+    f"""SELECT k, {i} AS sentence, {len(_LEAD) + len(front)} AS start,
+          {len(_LEAD) + len(front)} + length({value}) AS "end", {value} AS text
+        FROM (SELECT s_suppkey AS k FROM supplier)"""
+    for i, (front, value, _) in enumerate(_IPV6_SENTENCES)
+)
+
+
+@query("D1_sentences_ipv6", _IPV6_SQL)
+def sentences_ipv6(spark, sf_dir):
+    """Compressed IPv6 addresses, and runs that are none."""
+    found = _ipv6_found(spark, sf_dir).select("k", "sentence", F.explode("spans").alias("s"))
+    return found.select("k", "sentence", "s.start", "s.end", "s.text")
+
+
+@query(
+    "A9_quality_ipv6",
+    f"""WITH gold AS ({_IPV6_SQL})
+        SELECT count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn,
+          count(*) AS entity_count FROM gold""",
+)
+def quality_ipv6(spark, sf_dir):
+    """Scores of the detected addresses against those put into the sentences."""
+    predicted = reports.long_spans(_ipv6_found(spark, sf_dir), ["k", "sentence"])
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    gold = [
+        F.struct(
+            F.lit(i).alias("sentence"),
+            F.lit(len(_LEAD + front)).alias("start"),
+            (F.lit(len(_LEAD + front)) + F.length(F.expr(value))).alias("end"),
+        )
+        for i, (front, value, _) in enumerate(_IPV6_SENTENCES)
+    ]
+    truth = rows.select("k", F.explode(F.array(*gold)).alias("g")).select("k", "g.*")
+    found = quality.scores(predicted, truth, ["k", "sentence"])
+    return found.select("tp", "fp", "fn", "entity_count")

@@ -47,6 +47,21 @@ def labels(row):
     return {s.label: s.text for s in row.spans}
 
 
+def test_compressed_addresses(spark):
+    cases = {
+        "at 2001:db8::1 and fe80::1": ["2001:db8::1", "fe80::1"],
+        "ping ::1.": ["::1"],
+        "[::1]:80 node:fe80::2%eth0": ["::1", "fe80::2"],
+        "net 2001:db8::/32": ["2001:db8::"],
+        "mapped ::ffff:192.0.2.1, plain 192.0.2.1": ["::ffff:192.0.2.1", "192.0.2.1"],
+        "1::2::3 12345::1 1:2:3:4:5:6:7:8:9 12:30:45 00:1a:2b:3c:4d:5e std::deque a::operator": [],
+        "1:" * 200_000 + " " + "a::b:" * 100_000: [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, text string")
+    for row in with_spans(df, builtin(["IP_ADDRESS"])).collect():
+        assert [s.text for s in row.spans] == cases[row.text]
+
+
 def test_builtin_labels(spark):
     cases = {
         "mail a.b@x.com now": ("EMAIL_ADDRESS", "a.b@x.com"),

@@ -78,6 +78,22 @@ def ip_valid(value: Sql, before: Sql, after: Sql) -> Sql:
     return four & standalone(value, before, after)
 
 
+def ipv6_valid(value: Sql, before: Sql, after: Sql) -> Sql:
+    """Eight groups, or fewer with one ``::``; IPv4 at the end stands for two groups."""
+    core = fn.regexp_replace(value, f":{IPV4_OCTET}(?:[.]{IPV4_OCTET}){{3}}$", ":0:0")
+    groups = fn.size(fn.filter(fn.split(core, lit(":")), lambda g: fn.length(g) > 0))
+    full = ~fn.contains(core, lit("::")) & (groups == 8)
+    gaps = fn.length(core) - fn.length(fn.replace(core, lit("::"), lit("")))
+    short = (gaps == 2) & (groups <= 7)
+    return (
+        (full | short)
+        & core.rlike("^[0-9A-Fa-f:]+$")
+        & ~core.rlike("[0-9A-Fa-f]{5}")
+        & ~before.rlike(r"::\z")
+        & standalone(value, before, after)
+    )
+
+
 # --- built-in patterns --------------------------------------------------------------
 
 # Groups repeat without bound and possessively: the matcher then loops instead of recursing,
@@ -180,9 +196,10 @@ _BUILTIN: list[Pattern] = [
     Pattern("IP_ADDRESS", r"(?<![0-9])[0-9]++(?:[.][0-9]++)++", accept=ip_valid, needs=_DIGIT),
     Pattern(
         "IP_ADDRESS",
-        r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}",
-        accept=standalone,
-        needs="[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]",
+        r"(?<![0-9A-Za-z_])(?:(?:::)?+[0-9A-Fa-f]++(?:::?[0-9A-Fa-f]++)++"
+        r"(?:(?:[.][0-9]++){3}(?![.]?[0-9])|::)?+|::[0-9A-Fa-f]++(?:(?:[.][0-9]++){3}(?![.]?[0-9]))?+|[0-9A-Fa-f]++::)",
+        accept=ipv6_valid,
+        needs="::|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]",
     ),
     Pattern(
         "PHONE_NUMBER",
