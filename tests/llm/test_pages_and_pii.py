@@ -204,6 +204,27 @@ def test_votes_find_more(spark):
             assert not some, r
 
 
+def test_candidates_in_dense_texts(spark):
+    key = "AKIA" + "Q7ZK" * 4
+    cases = {
+        '{"mail":"a@b.cc","token":"24be01"}': ["24be01"],
+        f"http://h/p?user=x@y.zz&key={key}&n=10.0.0.1;id=77": [f"key={key}", "id=77"],
+        "password hunter, then rest": ["hunter"],
+        '{"password": "hunter"} a1': ["hunter", "a1"],
+        "🙏 a@b.cc x1 1.2.3.4": ["x1"],
+        "1.2.3.4-x9 plain words only": ["-x9"],
+        "abc== end == x": ["abc=="],
+        "token = hunter": ["hunter"],
+        'key="zz11yy" a@b.cc': ["zz11yy"],
+    }
+    df = docs(spark, list(enumerate(cases)))
+    for r in pii_votes.found(df, "text", "f").collect():
+        got = r["f"]["candidates"]
+        assert [r["text"][c["start"] : c["end"]] for c in got] == cases[r["text"]], r
+        if '"token"' in r["text"] or "password" in r["text"]:
+            assert got[0]["votes"][5] == 1, r
+
+
 def test_em_recovers_reliabilities():
     draw = np.random.default_rng(3)
     truth = draw.random(20_000) < 0.3

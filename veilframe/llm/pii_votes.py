@@ -1,8 +1,9 @@
 """Personal data by weak supervision, in DataFrame functions.
 
 Four kinds have fixed patterns (the base): e-mail addresses, IP addresses, card numbers and
-phone numbers.  Their matches are always kept.  Beyond them every word with a digit or an
-equals sign is a candidate.  Labelers of three sorts vote on each candidate, for, against
+phone numbers.  Their matches are always kept.  In the gaps between them every word with a
+digit or an equals sign is a candidate, and so is any word behind one that announces a
+secret; words end at white space, quotes, commas, braces, ``&`` and ``;``.  Labelers of three sorts vote on each candidate, for, against
 or not at all: regular expressions over the word, gazetteers of words and prefixes, and
 the context in front of it.  Expectation-maximisation over the counts of vote patterns
 estimates how reliable each labeler is, without any label, and gives every pattern a
@@ -26,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.arrays import (
-    banded,
     empty,
     fold_emit,
     indices,
     let,
     running_starts,
-    touching,
 )
 from veilframe.functions.spans import cut, mark_safe, splice
 from veilframe.functions.sql import Sql, col, fn, lit, struct, when
@@ -53,7 +52,10 @@ PATTERNS = {
 #: What a text must hold for a pattern to match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 SPACE = r"\x20\x09-\x0D"
-WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9=]*+[0-9=][^{SPACE}]*+"
+#: White space and signs that end a candidate.
+BREAK = rf"{SPACE}\"'`,{{}}&;"
+#: Stands for the characters of base spans while candidates are cut.
+FILLER = "\ufdd0"
 CONTEXT = 24
 SPAN = "struct<kind:string,start:int,end:int>"
 CANDIDATE = "struct<kind:string,start:int,end:int,votes:array<int>,looks:array<int>>"
@@ -69,6 +71,13 @@ HARMLESS = (
     "volume step copyright"
 ).split()
 KEY_PREFIXES = "AKIA ASIA ghp_ gho_ sk- pk_ xox AIza eyJ".split()
+_ANNOUNCED = "(?i:" + "|".join(ANNOUNCE) + ")"
+_SIGN = f"[^{BREAK}{FILLER}]"
+#: Signs alone are no word: they stand between a word and what it announces.
+WORD = (
+    rf"(?<!{_SIGN})(?!=++(?!{_SIGN}))(?:[^{BREAK}{FILLER}0-9=]*+[0-9=]{_SIGN}*+"
+    rf"|(?<=(?<![A-Za-z0-9_]){_ANNOUNCED}[{BREAK}:=]{{1,4}})[^{BREAK}{FILLER}:=]{_SIGN}*+)"
+)
 
 
 def digits(value: Sql) -> Sql:
@@ -126,7 +135,8 @@ def _votes(value: Sql, before: Sql) -> list[Sql]:
     bare = fn.rtrim(lit(".,;:!?)"), value)
     size = fn.length(digits(value))
     last = fn.lower(fn.regexp_extract(before, lit(rf"([^{SPACE}]*)[{SPACE}]*$"), lit(1)))
-    word = fn.rtrim(lit(".,;:"), last)
+    named = fn.lower(fn.regexp_extract(before, lit(rf"([^{BREAK}:=]*)[{BREAK}:=]*$"), lit(1)))
+    word = fn.ltrim(lit("?("), fn.rtrim(lit(".)"), named))
 
     def vote(up: Sql, down: Sql | None = None) -> Sql:
         voted = when(up, 1)
@@ -186,7 +196,8 @@ def _looks(value: Sql, before: Sql) -> list[Sql]:
 
 
 def candidates(text: Sql, base: Sql) -> Sql:
-    """Words with a digit or ``=`` that no base span touches, with votes and looks."""
+    """Words with a digit or ``=`` and announced words in the gaps between base spans, with
+    votes and looks."""
 
     def locate(pieces: Sql) -> Sql:
         def at(starts: Sql) -> Sql:
@@ -194,44 +205,39 @@ def candidates(text: Sql, base: Sql) -> Sql:
                 value, before = pieces[i], fn.right(pieces[i - 1], CONTEXT)
                 # a candidate right behind another has its last word in front of it
                 front = when(
-                    (i > 1) & (fn.length(fn.trim(before)) == 0),
+                    (i > 1) & ~before.rlike(rf"[^{BREAK}]"),
                     fn.concat(fn.right(pieces[i - 2], CONTEXT), before),
                 ).otherwise(before)
                 bare = fn.length(fn.rtrim(lit(".,;:!?"), value))
                 return struct(
-                    kind=when(value.rlike("[A-Za-z=]"), "secret").otherwise("number"),
+                    kind=when(value.rlike("[A-Za-z=]|^[^0-9]*$"), "secret").otherwise("number"),
                     start=starts[i],
                     end=starts[i] + bare,
                     votes=fn.array(*_votes(value, front)),
                     looks=fn.array(*_looks(value, front)),
                 )
 
-            return let(
-                banded(base, lambda b: b["start"], lambda b: b["end"]),
-                lambda bands: fn.transform(
-                    fn.filter(
-                        indices(fn.size(pieces) - 1, step=2, first=1),
-                        lambda i: (fn.length(pieces[i]) >= 2)
-                        & (
-                            fn.size(
-                                touching(
-                                    bands,
-                                    starts[i],
-                                    starts[i] + fn.length(pieces[i]),
-                                    lambda b: b["start"],
-                                    lambda b: b["end"],
-                                )
-                            )
-                            == 0
-                        ),
-                    ),
-                    one,
-                ),
+            def is_candidate(i: Sql) -> Sql:
+                # the name of a value that is a base span or quoted, such as "?user="
+                names = pieces[i].rlike("^[^0-9=]*=$") & pieces[i + 1].rlike(rf"^[\"'{FILLER}]")
+                return (fn.length(fn.rtrim(lit(".,;:!?"), pieces[i])) >= 1) & (
+                    fn.length(pieces[i]) >= 2
+                ) & ~names
+
+            return fn.transform(
+                fn.filter(indices(fn.size(pieces) - 1, step=2, first=1), is_candidate), one
             )
 
         return let(running_starts(fn.transform(pieces, lambda p: fn.length(p))), at)
 
-    return when(text.rlike("[0-9=]"), let(cut(text, WORD), locate)).otherwise(empty(CANDIDATE))
+    def gaps(m: Sql) -> Sql:
+        return splice(
+            text, m, fn.transform(m, lambda s: fn.repeat(lit(FILLER), s["end"] - s["start"]))
+        )
+
+    held = text.rlike(f"[0-9=]|{_ANNOUNCED}")
+    cuts = when(fn.size(base) == 0, text).otherwise(let(merged(base), gaps))
+    return when(held, let(cut(cuts, WORD), locate)).otherwise(empty(CANDIDATE))
 
 
 def found(df: DataFrame, text: str, out: str) -> DataFrame:
