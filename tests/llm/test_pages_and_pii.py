@@ -60,6 +60,20 @@ def test_lines_of_markup():
     assert [x[0] for x in lines if x[1] == html_extract.NO_ARTICLE] == ["out", "< 5"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content has-sidebar"><p>menu</p><article><p>own</p><div class="share">x</div></article></div>',
+        '<main><article class="with-comments">own<div id="comments"><article>x</article></div></article></main>',
+        '<body><article class="post with-comments"><p>own</p></article><div id="comments">x</div>',
+        '<div class="has-sidebar"><main id="content-sidebar"><h1>own</h1></main></div><nav><article>x</article></nav>',
+    ],
+)
+def test_names_do_not_hide_the_only_article(page):
+    lines = html_extract.lines_of(page)
+    assert [x[0] for x in lines if x[1] == html_extract.IN_ARTICLE] == ["own"]
+
+
 @pytest.mark.parametrize("broken", ["<", "<p", '<a href="', "<!--", "<script>", "&", "&am", "<>", "</", "<p \"'>", "\0"])
 def test_broken_markup(broken):
     assert [x[0] for x in html_extract.lines_of(f"<p>one</p>{broken}")][0] == "one"
