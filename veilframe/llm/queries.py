@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.sql import col, fn
 
 from . import (
+    conversation_repair,
     exact_dedup,
     html_extract,
     ngram_join,
@@ -17,8 +18,10 @@ from . import (
     piece_bpe,
     quality_lists,
     sharding,
+    token_alignment,
     token_counts,
     token_files,
+    toxicity,
 )
 from .common import settled, shared_path
 
@@ -185,3 +188,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_lists.fit(docs, table(spark, sf_dir, "labels"))
     found = quality_lists.judged(docs, rules)
     return found.select("doc_id", *quality_lists.COUNTS, "base_failed", "kept")
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by two tokenizers, aligned over its bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    byte_bpe, piece_bpe = map(
+        public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    )
+    return token_alignment.align(docs, byte_bpe, piece_bpe)
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged, and repaired at the least cost."""
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"), damage=True)
+
+
+@query("op13_toxic_segments")
+def op13_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, model)
+    return found.select(
+        "doc_id",
+        (toxicity.fold("doc_id") == 0).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+    )

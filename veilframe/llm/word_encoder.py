@@ -69,13 +69,15 @@ def spelled(word: str) -> str:
 
 
 class WordEncoder:
-    """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
+    """Ids of texts as bytes of little-endian unsigned 32-bit integers.  With ``ordinary``
+    the strings of special tokens inside texts are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = ordinary
         self.library.no_padding()
         self.library.no_truncation()
         with open(path, encoding="utf-8") as file:
@@ -194,11 +196,11 @@ def cuts_at_spaces(spec: dict) -> bool:
     )
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, ordinary: bool = False) -> WordEncoder:
+    """One encoder per worker process, file and way to take special tokens."""
+    if (path, ordinary) not in _ENCODERS:
+        _ENCODERS[path, ordinary] = WordEncoder(path, ordinary)
+    return _ENCODERS[path, ordinary]
