@@ -56,8 +56,8 @@ PAGE = (
 
 def test_lines_of_markup():
     lines = html_extract.lines_of(PAGE)
-    assert [x[0] for x in lines if x[1] == html_extract.IN_ARTICLE] == ["T & x", "abc", "d", "e < f ©"]
-    assert [x[0] for x in lines if x[1] == html_extract.NO_ARTICLE] == ["out", "< 5"]
+    assert [x.text for x in lines if x.place == html_extract.IN_ARTICLE] == ["T & x", "abc", "d", "e < f ©"]
+    assert [x.text for x in lines if x.place == html_extract.NO_ARTICLE] == ["out", "< 5"]
 
 
 @pytest.mark.parametrize(
@@ -71,7 +71,7 @@ def test_lines_of_markup():
 )
 def test_names_do_not_hide_the_only_article(page):
     lines = html_extract.lines_of(page)
-    assert [x[0] for x in lines if x[1] == html_extract.IN_ARTICLE] == ["own"]
+    assert [x.text for x in lines if x.place == html_extract.IN_ARTICLE] == ["own"]
 
 
 @pytest.mark.parametrize("broken", ["<", "<p", '<a href="', "<!--", "<script>", "&", "&am", "<>", "</", "<p \"'>", "\0"])
@@ -112,7 +112,6 @@ def test_extract(spark):
     assert len(found) == len(pages())
     for i in range(12):
         assert found[i]["text"] == f"story {i} begins and story {i} ends"
-        assert found[i]["n_shared"] == 4
     want = {
         20: "quoted", 21: "quoted own", 22: "alone", 23: "no address", 24: "", 25: "",
         26: "same", 27: "same", 28: "twin", 29: "more", None: "short",
@@ -120,6 +119,61 @@ def test_extract(spark):
     assert {k: found[k]["text"] for k in want} == want
     assert found[30]["n_chars"] == len(prose(3, 20_000))
     assert html_extract.extract(df.limit(0)).count() == 0
+    verdicts = [r for r in html_extract.compared(df).collect() if r["n_lines"] == 6]
+    assert len(verdicts) == 12 and all(r["n_shared"] == 4 and r["changed"] for r in verdicts)
+
+
+def texts_of(spark, htmls, host="h.example"):
+    rows = [(i, f"http://{host}/{i:03}", html) for i, html in enumerate(htmls)]
+    found = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return [r["text"] for r in sorted(found.collect(), key=lambda r: r["page_id"])]
+
+
+def test_a_telling_word_within_a_name_needs_the_comparison(spark):
+    ask = '<p class="search-result">ask us</p>'
+    pages = [
+        f'<article><p class="search-result">the text {i}</p>{ask}<div class="comments-intro">intro {i}</div></article>'
+        for i in range(3)
+    ]
+    assert texts_of(spark, pages) == [f"the text {i} intro {i}" for i in range(3)]
+    # alone on its host nothing is shared, so nothing goes for its name
+    assert texts_of(spark, pages[:1]) == ["the text 0 ask us intro 0"]
+
+
+def test_links_of_an_article_go_if_shared(spark):
+    links = '<p><a href="/a">Share this</a> <a href="/b">Print</a></p>'
+    pages = [f'<article><p>story {i}</p><p><a href="/{i}">see {i}</a></p><p>quoted</p>{links}</article>' for i in range(2)]
+    assert texts_of(spark, pages) == [f"story {i} see {i} quoted" for i in range(2)]
+
+
+def test_one_of_several_articles(spark):
+    replies = '<section id="responses"><article>a reader says</article></section>'
+    teaser = '<article class="teaser">other story</article>'
+    story = "<article><h1>Title</h1><p>The story itself is long.</p></article>"
+    assert texts_of(spark, [story + replies]) == ["Title The story itself is long."]
+    assert texts_of(spark, [teaser + story]) == ["Title The story itself is long."]
+    # text that the partner has as well counts half
+    box = "<article>a box that all pages have, with many words in it</article>"
+    pages = [f"{box}<article>the story number {i} in short form</article>" for i in range(2)]
+    assert texts_of(spark, pages) == [f"the story number {i} in short form" for i in range(2)]
+
+
+def test_white_space_of_a_block(spark):
+    assert texts_of(spark, ["<p> a\xa0&nbsp;\u2003b\x1cc\td </p>"]) == ["a b c d"]
+
+
+def test_very_long_page_with_a_partner(spark):
+    long = [f"<p>{w}</p>" for w in prose(6, 4_000).split()]
+    one = "".join(long) + "<p>only here</p>"
+    two = "".join(long[:2_000]) + "<p>and here</p>" + "".join(long[2_000:])
+    assert texts_of(spark, [one, two]) == ["only here", "and here"]
+
+
+def test_text_moves_only_where_the_comparison_changes_it(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = html_extract.compared(pages).collect()
+    assert sum(r["copies"] for r in found) == pages.count()
+    assert sum(r["n_shared"] for r in found) > 0
 
 
 def test_pairs_do_not_depend_on_partitions(spark):

@@ -2,19 +2,31 @@
 
 A page becomes lines, one per block element, with what its markup says about them.  Within
 a host the pages are sorted by URL path, and each is paired with the neighbour whose path
-has the longest common beginning with its own; pages of equal content count as one page,
+has the longest common beginning with its own; pages of equal lines count as one page,
 so a page is never compared with a copy of itself.  The lines of a pair are aligned by
-their longest common subsequence, and lines that a page shares with its partner are
-deleted: they belong to the template, not to the page.
-
-Two things stand above the comparison.  Lines in elements that are never article text
-(menus, footers, adverts, forms, comments, ...) go whether shared or not, since menus and
-adverts often differ from page to page.  And lines inside an ``article`` or ``main``
-element stay although shared, since articles quote and repeat each other; where a page has
-such an element, nothing outside it is its article.  A class or id name alone does not exclude
-an ``article`` or ``main``, or one inside the element so named, if the page would be left
-without any.  If a page has no such element and all
-its lines are shared, they stay: deleting all would leave no text.
+their longest common subsequence, and lines that a page shares with its partner belong to
+the template.
+
+What the markup says for certain stands above the comparison: elements that are never
+article text (menus, footers, forms, elements named ``comments``, ...) go, since menus and
+adverts often differ from page to page; and plain lines of an ``article`` stay although
+shared, since articles quote and repeat each other.  The comparison decides the rest:
+
+* without an ``article`` or ``main`` shared lines go (if all are shared, they stay);
+* an element whose class or id only holds a telling word (``search-result``) loses its lines
+  if they are shared, or are mostly links;
+* lines of an article that are mostly links go if they are shared;
+* of several articles the one with the most text is taken, where shared text counts half.
+
+A class or id name alone does not exclude an ``article`` or ``main``, or one inside the
+element so named, if the page would be left without any.
+
+Texts move as little as they can: keys, sizes and marks of lines are compared, one row per
+page; a page's text is cut where the page lies, and only pages whose text the comparison
+changes (found by a bit filter that is broadcast) meet their marks in a join.
+
+White space is what Python's ``str.split`` takes for it: Unicode white space, no-break
+spaces among it, and the four ASCII separators.
 
 Results for special rows: null or empty html gives the empty text; a null URL is a host of
 its own, without path; equal pages give equal texts; a page alone on its host is judged by
@@ -27,13 +39,15 @@ import hashlib
 import html as entities
 import os.path
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, bound_batches, plain, settled
+from .membership import may_be_among
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -75,6 +89,7 @@ NAMES = frozenset(
     "disqus reply replies respond login search toolbar skip".split()
 )
 IN_ARTICLE, ELSEWHERE, NO_ARTICLE = 2, 1, 0
+WEAK, STRONG = 1, 2
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -100,39 +115,74 @@ def _is_other(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
 
 
-def _is_named_other(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether class and id name something else than the article."""
+def _naming(tag: str, attributes: dict[str, str], in_article: bool) -> int:
+    """What class and id say: STRONG if one of their names consists of words for something
+    else than the article, WEAK if one only holds such a word, else 0."""
     if tag in ("html", "body", "header") or not attributes:
-        return False
-    named = set(WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return bool(named & NAMES) or ("header" in named and not in_article)
+        return 0
+    found = 0
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = set(WORDS.findall(name))
+        telling = {w for w in words if w in NAMES or (w == "header" and not in_article)}
+        if telling:
+            found = max(found, STRONG if telling == words else WEAK)
+    return found
 
 
-def lines_of(page: str) -> list[tuple[str, int, str]]:
-    """(text, place, tags) of the blocks of a page in order; place is IN_ARTICLE, ELSEWHERE
-    (not article text by its markup) or NO_ARTICLE (the markup does not say)."""
+class Line(NamedTuple):
+    """A block of a page: its text; IN_ARTICLE, ELSEWHERE (not article text by its markup)
+    or NO_ARTICLE (the markup does not say); the tags it hangs in; whether a name holds a
+    telling word; whether it is mostly links; the number of its article, 0 for none."""
+
+    text: str
+    place: int
+    tags: str
+    weak: bool
+    links: bool
+    article: int
+
+
+def lines_of(page: str) -> list[Line]:
+    """The blocks of a page in order."""
     found, hidden = _lines(page, False)
-    if hidden and not any(place == IN_ARTICLE for _, place, _ in found):
+    if hidden and not any(x.place == IN_ARTICLE for x in found):
         found, _ = _lines(page, True)
     return found
 
 
-def _lines(page: str, unnamed: bool) -> tuple[list[tuple[str, int, str]], bool]:
+class _Open(NamedTuple):
+    """An open element and what it hands down."""
+
+    tag: str
+    other: bool = False
+    article: bool = False
+    hard: bool = False  # other by more than names
+    weak: bool = False
+    link: bool = False
+    number: int = 0
+
+
+def _lines(page: str, unnamed: bool) -> tuple[list[Line], bool]:
     """The lines, and whether names alone exclude an article; with ``unnamed`` they do not."""
-    found: list[tuple[str, int, str]] = []
-    # tag, other, in article, other by more than names
-    stack: list[tuple[str, bool, bool, bool]] = []
+    found: list[Line] = []
+    stack: list[_Open] = []
+    outside = _Open("")
     parts: list[str] = []
+    linked = numbers = 0
     hidden = False
 
     def end_block() -> None:
+        nonlocal linked
         if parts:
-            text = " ".join("".join(parts).split())
+            raw = "".join(parts)
+            text = " ".join(raw.split())
             parts.clear()
             if text:
-                other, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                place = ELSEWHERE if other else IN_ARTICLE if article else NO_ARTICLE
-                found.append((text, place, "/".join(s[0] for s in stack if s[0] in BLOCKS)))
+                top = stack[-1] if stack else outside
+                place = ELSEWHERE if top.other else IN_ARTICLE if top.article else NO_ARTICLE
+                tags = "/".join(s.tag for s in stack if s.tag in BLOCKS)
+                found.append(Line(text, place, tags, top.weak, 2 * linked > len(raw), top.number))
+        linked = 0
 
     at, size = 0, len(page)
     while at < size:
@@ -142,6 +192,8 @@ def _lines(page: str, unnamed: bool) -> tuple[list[tuple[str, int, str]], bool]:
         if begin > at:
             text = page[at:begin]
             parts.append(entities.unescape(text) if "&" in text else text)
+            if stack and stack[-1].link:
+                linked += len(parts[-1])
         if begin == size:
             break
         tag = TAG.match(page, begin) or BROKEN.match(page, begin)
@@ -157,55 +209,131 @@ def _lines(page: str, unnamed: bool) -> tuple[list[tuple[str, int, str]], bool]:
             end_block()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+                if stack[i].tag == name:
                     del stack[i:]
                     break
             continue
         attributes = _attributes(tag[3]) if tag[3].strip(" /\t\r\n") else {}
-        other, article, hard = stack[-1][1:] if stack else (False, False, False)
+        up = stack[-1] if stack else outside
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else size
             continue
         if name in VOID:
             continue
-        mine = name in ARTICLE or attributes.get("role", "").lower() in ("main", "article")
-        inside = article and other  # such as the comments of an article
-        hard = hard or _is_other(name, attributes, article or mine)
-        other = other or hard or _is_named_other(name, attributes, article or mine)
+        role = attributes.get("role", "").lower()
+        mine = name in ARTICLE or role in ("main", "article")
+        inside = up.article and up.other  # such as the comments of an article
+        naming = _naming(name, attributes, up.article or mine)
+        hard = up.hard or _is_other(name, attributes, up.article or mine)
+        other = up.other or hard or naming == STRONG
         if mine and other and not hard and not inside:
             hidden, other = True, not unnamed
-        stack.append((name, other, article or (mine and not other), hard))
+        number = up.number
+        if name == "article" or role == "article":
+            numbers += 1
+            number = numbers
+        # names above an article say nothing about it
+        weak = (up.weak and not mine) or (naming == WEAK and not mine)
+        stack.append(
+            _Open(name, other, up.article or (mine and not other), hard, weak, up.link or name == "a", number)
+        )
     end_block()
     return found, hidden
 
 
+def chosen(lines: Sequence[tuple[int, bool, bool, int, int]], shared: Sequence[bool]) -> list[bool]:
+    """Which lines (place, weak, links, article, size) are the page's text, given which it
+    shares with its partner."""
+
+    def stays(i: int) -> bool:
+        _, weak, links, _, _ = lines[i]
+        return not (shared[i] and (weak or links)) and not (weak and links)
+
+    places = [x[0] for x in lines]
+    inside = [i for i, place in enumerate(places) if place == IN_ARTICLE]
+    if inside:
+        weight: dict[int, int] = {}
+        for i in inside:
+            number, size = lines[i][3], lines[i][4]
+            weight[number] = weight.get(number, 0) + size * (1 if shared[i] else 2)
+        numbers = [n for n in weight if n] or [0]
+        best = max(numbers, key=lambda n: (weight[n], -n))
+        inside = [i for i in inside if lines[i][3] in (0, best)]
+        taken = [i for i in inside if stays(i)] or inside
+    else:
+        loose = [i for i, place in enumerate(places) if place == NO_ARTICLE]
+        taken = [i for i in loose if not shared[i] and stays(i)] or loose
+    keep = [False] * len(lines)
+    for i in taken:
+        keep[i] = True
+    return keep
+
+
 def _key(text: str, tags: str) -> int:
     digest = hashlib.blake2b(f"{tags}\0{text}".encode("utf-8", "replace"), digest_size=8)
     return int.from_bytes(digest.digest(), "little", signed=True)
 
 
-def lines(html: Column | str) -> Column:
-    """Struct of texts, places and keys of a page's lines; the key stands for a line's text
-    and where it hangs in the page."""
+def _shape(line: Line) -> int:
+    """What ``chosen`` needs of a line as one integer."""
+    return (((line.article << 1 | line.links) << 1 | line.weak) << 2 | line.place) << 32 | len(line.text)
+
+
+def _unshape(value: int) -> tuple[int, bool, bool, int, int]:
+    marks = value >> 32
+    return marks & 3, bool(marks >> 2 & 1), bool(marks >> 3 & 1), marks >> 4, value & 0xFFFFFFFF
+
+
+def shapes(html: Column | str) -> Column:
+    """Struct of keys and shapes of a page's lines; a key stands for a line's text and where
+    it hangs in the page."""
 
     bound_batches()
 
-    @F.pandas_udf("texts array<string>, places array<int>, keys array<long>")
+    @F.pandas_udf("keys array<long>, shapes array<long>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pages = [lines_of(p) for p in plain(batch)]
             yield pd.DataFrame(
                 {
-                    "texts": [[x[0] for x in p] for p in pages],
-                    "places": [[x[1] for x in p] for p in pages],
-                    "keys": [[_key(x[0], x[2]) for x in p] for p in pages],
+                    "keys": [[_key(x.text, x.tags) for x in p] for p in pages],
+                    "shapes": [[_shape(x) for x in p] for p in pages],
                 }
             )
 
     return cut(html)
 
 
+def _text(page: str, keep: Sequence[bool] | None) -> str:
+    lines = lines_of(page)
+    if keep is None:
+        keep = chosen([_unshape(_shape(x)) for x in lines], [False] * len(lines))
+    return " ".join(x.text for x, k in zip(lines, keep, strict=True) if k)
+
+
+def text_by_markup(html: Column | str) -> Column:
+    """A page's text where nothing is shared."""
+
+    @F.pandas_udf("string")
+    def cut(pages: pd.Series) -> pd.Series:
+        return pd.Series([_text(p, None) for p in plain(pages)], dtype=object)
+
+    return cut(html)
+
+
+def text_of(html: Column | str, keep: Column | str) -> Column:
+    """A page's text: the lines that ``keep`` marks, all the markup leaves where it is null."""
+
+    @F.pandas_udf("string")
+    def cut(pages: pd.Series, keep: pd.Series) -> pd.Series:
+        return pd.Series(
+            [_text(p, k) for p, k in zip(plain(pages), keep, strict=True)], dtype=object
+        )
+
+    return cut(html, keep)
+
+
 # --- longest common subsequence ---------------------------------------------------------
 
 
@@ -269,19 +397,23 @@ def shared(mine: list[int], other: list[int]) -> list[bool]:
     return flags
 
 
-def shared_with(mine: Column | str, other: Column | str) -> Column:
-    """``shared`` of two columns of keys; null as ``other`` shares nothing."""
+def decided(keys: Column | str, other: Column | str, shapes: Column | str) -> Column:
+    """Struct of a page against its partner (null: none): number of shared lines, whether
+    that changes its text, and if so which lines stay."""
 
-    @F.pandas_udf("array<boolean>")
-    def flags(mine: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                [False] * len(a) if b is None else shared(a.tolist(), b.tolist())
-                for a, b in zip(mine, other, strict=True)
-            ]
-        )
+    @F.pandas_udf("n_shared long, changed boolean, keep array<boolean>")
+    def compare(keys: pd.Series, other: pd.Series, shapes: pd.Series) -> pd.DataFrame:
+        out = []
+        for mine, its, shape in zip(keys, other, shapes, strict=True):
+            lines = [_unshape(x) for x in shape.tolist()]
+            none = [False] * len(lines)
+            flags = none if its is None else shared(mine.tolist(), its.tolist())
+            keep = chosen(lines, flags)
+            changed = keep != chosen(lines, none)
+            out.append((sum(flags), changed, keep if changed else None))
+        return pd.DataFrame(out, columns=["n_shared", "changed", "keep"])
 
-    return flags(mine, other)
+    return compare(keys, other, shapes)
 
 
 # --- pairs ------------------------------------------------------------------------------
@@ -357,65 +489,93 @@ def pairs(pages: DataFrame) -> DataFrame:
     )
 
 
-def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, url, text, n_chars, n_lines, n_shared) of every row of ``df``."""
+def _addressed(df: DataFrame, url: str, html: str) -> DataFrame:
+    """``df`` as (url, html, host, path, page): ``page`` stands for host and html."""
     address = F.coalesce(F.col(url), F.lit(""))
     after_host = F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
     host = F.lower(
         F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1)
     )
-    cut = settled(
-        df.select(
-            F.col(key),
-            F.col(url),
-            host.alias("host"),
-            F.regexp_replace(after_host, "/+$", "").alias("path"),
-            lines(F.coalesce(F.col(html), F.lit(""))).alias("lines"),
-        ).withColumn(
-            # pages of a host with the same lines are one page
-            "item",
-            F.sha2(
-                F.concat_ws("\n", "host", F.array_join("lines.keys", " "), F.concat_ws("\n", "lines.texts")), 256
-            ),
-        ),
-        "lines",
-    )
+    return df.withColumns(
+        {
+            "host": host,
+            "path": F.regexp_replace(after_host, "/+$", ""),
+            "html": F.coalesce(F.col(html), F.lit("")),
+        }
+    ).withColumn("page", F.unhex(F.substring(F.sha2(F.concat_ws("\n", "host", "html"), 256), 1, 32)))
+
+
+def compared(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Every distinct page (page, copies, n_lines, n_shared, changed, keep) of ``df`` against
+    its partner, as a written table: ``keep`` marks the lines that stay where the comparison
+    changes the page's text."""
     pages = settled(
-        cut.groupBy("item").agg(
+        _addressed(df.select(F.col(url).alias("url"), F.col(html).alias("html")), "url", "html")
+        .select("page", "host", "path", shapes("html").alias("lines"))
+        .withColumn("item", F.sha2(F.concat_ws("\n", "host", F.array_join("lines.keys", " ")), 256))
+        .groupBy("page")
+        .agg(
+            F.first("item").alias("item"),
             F.min("host").alias("host"),
             F.min("path").alias("path"),
-            F.first("lines.keys").alias("keys"),
+            F.first("lines").alias("lines"),
             F.count(F.lit(1)).alias("copies"),
         ),
         "pages",
     )
-    partners = pairs(pages.select("item", "host", "path"))
-    others = pages.select(F.col("item").alias("partner"), F.col("keys").alias("other"))
-    flags = settled(
-        pages.join(partners, "item")
+    # pages of a host with the same lines are one page
+    items = settled(
+        pages.groupBy("item").agg(
+            F.min("host").alias("host"),
+            F.min("path").alias("path"),
+            F.first("lines.keys").alias("keys"),
+            F.first("lines.shapes").alias("shapes"),
+            F.count(F.lit(1)).alias("pages"),
+        ),
+        "items",
+    )
+    partners = pairs(items.select("item", "host", "path"))
+    others = items.select(F.col("item").alias("partner"), F.col("keys").alias("other"))
+    verdicts = settled(
+        items.join(partners, "item")
         .join(others, "partner", "left")
-        .select("item", "copies", shared_with("keys", "other").alias("flags")),
-        "flags",
+        .select(
+            "item",
+            "pages",
+            F.size("keys").cast("long").alias("n_lines"),
+            decided("keys", "other", "shapes").alias("verdict"),
+        ),
+        "verdicts",
+    )
+    met = attach(
+        pages.select("page", "item", "copies"), verdicts, "item", "pages", ["page"],
+        F.struct("n_lines", "verdict"), "of",
+    )
+    return settled(
+        met.select("page", "copies", "of.n_lines", "of.verdict.n_shared", "of.verdict.changed", "of.verdict.keep"),
+        "compared",
     )
-    found = attach(cut, flags, "item", "copies", [key, "path"], F.col("flags"), "flags")
-    rows = F.arrays_zip(
-        F.col("lines.texts").alias("text"),
-        F.col("lines.places").alias("place"),
-        F.col("flags").alias("shared"),
+
+
+def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, url, text, n_chars) of every row of ``df``."""
+    changed = compared(df, url, html).where("changed").select(
+        "page", F.xxhash64("page").alias("hashed"), "copies", "keep"
     )
-    some = found.withColumn("rows", rows)
-    article = F.filter("rows", lambda r: r["place"] == IN_ARTICLE)
-    open_rows = F.filter("rows", lambda r: r["place"] == NO_ARTICLE)
-    own = F.filter(open_rows, lambda r: ~r["shared"])
-    chosen = (
-        F.when(F.size(article) > 0, article).when(F.size(own) > 0, own).otherwise(open_rows)
+    rows = _addressed(
+        df.select(F.col(key).alias("id"), F.col(url).alias("address"), F.col(html).alias("html")),
+        "address",
+        "html",
+    ).select("id", "address", "html", "page", F.xxhash64("page").alias("hash"))
+    tested = may_be_among(rows, "hash", changed, "hashed", "maybe")
+    alone = tested.where("NOT maybe").select("id", "address", text_by_markup("html").alias("text"))
+    marked = attach(
+        tested.where("maybe"), changed, "page", "copies", ["id", "address"], F.col("keep"), "keep"
     )
-    text = F.array_join(F.transform(chosen, lambda r: r["text"]), " ")
-    return some.select(
-        key,
-        url,
-        text.alias("text"),
-        F.length(text).cast("long").alias("n_chars"),
-        F.size("rows").cast("long").alias("n_lines"),
-        F.size(F.filter("rows", lambda r: r["shared"])).cast("long").alias("n_shared"),
+    joined = alone.unionByName(marked.select("id", "address", text_of("html", "keep").alias("text")))
+    return joined.select(
+        F.col("id").alias(key),
+        F.col("address").alias(url),
+        "text",
+        F.length("text").cast("long").alias("n_chars"),
     )
