@@ -370,12 +370,10 @@ def invalid_policy_rows(spark, sf_dir):
         F.array().cast("array<string>").alias("block"),
     )
     problems = policies.invalid_rows(rows).groupBy("dataset", "label").agg(
-        F.max(F.col("problem").contains("key")).alias("k"),
-        F.max(F.col("problem").contains("value")).alias("v"),
-    )
-    return problems.select(
-        "dataset", "label", F.expr("CASE WHEN v THEN 'key and value' ELSE 'key' END").alias("problem")
+        F.array_sort(F.collect_set("code")).alias("codes")
     )
+    column = F.transform("codes", lambda c: F.when(c == "label", "key").otherwise("value"))
+    return problems.select("dataset", "label", F.array_join(column, " and ").alias("problem"))
 
 
 @query(

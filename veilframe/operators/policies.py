@@ -119,18 +119,22 @@ def edited(policies: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def invalid_rows(policies: DataFrame, custom: DataFrame | None = None) -> DataFrame:
-    """Rows whose label or state is unknown; empty means valid."""
+    """Rows whose label or state is unknown; empty means valid.
+
+    ``code`` (``label`` or ``state``) names the column at fault and is fixed; ``problem``
+    is its message.
+    """
     spark = policies.sparkSession
     known = spark.createDataFrame([(x,) for x in [DEFAULT_ROW, *model.LABELS]], "label string")
     if custom is not None:
         known = known.unionByName(custom.select("label"))
-    unknown = policies.join(known, "label", "left_anti").withColumn(
-        "problem", F.lit("unknown label")
-    )
+    unknown = policies.join(known, "label", "left_anti").withColumn("code", F.lit("label"))
     bad_state = policies.where(
         F.col("state").isNotNull() & ~F.col("state").isin(model.STATES)
-    ).withColumn("problem", F.lit("unknown state"))
-    return unknown.unionByName(bad_state)
+    ).withColumn("code", F.lit("state"))
+    return unknown.unionByName(bad_state).withColumn(
+        "problem", F.concat(F.lit("unknown "), F.col("code"))
+    )
 
 
 def enabled(dataset_entities: DataFrame, dataset: str, label: str) -> DataFrame:
