@@ -565,6 +565,36 @@ def border_entities(spark, sf_dir):
     )
 
 
+@query(
+    "G3_border_entities_one_group",
+    f"""WITH t AS (SELECT conv_id * 64 + turn AS ord, text FROM conversations),
+        j AS (SELECT 1 AS grp, string_agg(text, chr(10) ORDER BY ord) AS text FROM t),
+        o AS (SELECT ord, coalesce(sum(length(text) + 1) OVER (ORDER BY ord
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(text) AS n, text FROM t),
+        e AS (SELECT start, start + length(value) AS stop, value FROM ({matches(_BORDER, 'j', 'grp')}))
+        SELECT o.ord, CAST(greatest(e.start - o.a, 0) AS BIGINT) AS start,
+          CAST(least(e.stop, o.a + o.n) - o.a AS BIGINT) AS "end", e.value AS text,
+          {token_sql("'LAW'", 'e.value')} AS new_text
+        FROM e JOIN o ON e.start < o.a + o.n AND e.stop > o.a""",
+)
+def border_entities_one_group(spark, sf_dir):
+    """All turns as one group, with a pattern that crosses rows: only ends of rows meet."""
+    policy = Policy(
+        default="Off",
+        config={"LAW": "Redaction"},
+        allow={"LAW": [_BORDER]},
+        claim_off=False,
+        seed=SEED,
+    )
+    df = table(spark, sf_dir, "conversations").select(
+        F.lit("constant").alias("g"), (F.col("conv_id") * 64 + F.col("turn")).alias("ord"), "text"
+    )
+    rows = conversation.redact_rows(df, policy, ["g"], "ord")
+    return rows.select("ord", reports.exploded("spans").alias("s")).select(
+        "ord", "s.start", "s.end", "s.text", "s.new_text"
+    )
+
+
 _FORTY_ROWS = r"(?:[^\n]*\n){40}[^\n]*"
 
 

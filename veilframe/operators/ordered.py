@@ -57,3 +57,46 @@ def dense_index(
 ) -> DataFrame:
     """Position 0, 1, 2, ... of a row within its group, in ``order``."""
     return prefix_sum(df, keys, order, F.lit(1).cast("bigint"), out, **cut)
+
+
+def prefix_max(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    values: dict[str, Column],
+    bits: int = BLOCK_BITS,
+    depth: int = 2,
+) -> DataFrame:
+    """``df`` plus, per name in ``values``, the greatest value of the earlier rows of the same
+    group, null where there is none; cut into blocks like ``prefix_sum``."""
+    keys = list(keys)
+    before = (Window.unboundedPreceding, -1)
+    if depth == 0:
+        window = Window.partitionBy(*keys).orderBy(order).rowsBetween(*before)
+        return df.withColumns({name: F.max(value).over(window) for name, value in values.items()})
+    block = f"_block{depth}"
+    cut = df.withColumn(block, F.shiftright(F.col(order).cast("bigint"), bits))
+    totals = cut.groupBy(*keys, block).agg(
+        *[F.max(value).alias(f"_top_{name}") for name, value in values.items()]
+    )
+    heads = prefix_max(
+        totals,
+        keys,
+        block,
+        {f"_head{depth}_{name}": F.col(f"_top_{name}") for name in values},
+        bits,
+        depth - 1,
+    ).drop(*[f"_top_{name}" for name in values])
+    window = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(*before)
+    local = cut.withColumns(
+        {f"_local{depth}_{name}": F.max(value).over(window) for name, value in values.items()}
+    )
+    same = [local[k].eqNullSafe(heads[k]) for k in keys]
+    joined = local.join(heads, [*same, local[block] == heads[block]], "left")
+    return joined.select(
+        *[local[c] for c in df.columns],
+        *[
+            F.greatest(F.col(f"_local{depth}_{name}"), F.col(f"_head{depth}_{name}")).alias(name)
+            for name in values
+        ],
+    )
