@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter, defaultdict
+from functools import cache
 
 import public_tokenizers
 import pytest
@@ -27,11 +28,15 @@ def sides():
     return a, sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
+ALPHABET = token_alignment.byte_alphabet()
+
+
+@cache
 def spelled_a(a, i):
-    alphabet = token_alignment.byte_alphabet()
-    return bytes(alphabet[c] for c in a.id_to_token(i))
+    return bytes(ALPHABET[c] for c in a.id_to_token(i))
 
 
+@cache
 def spelled_b(b, i):
     piece = b.id_to_piece(i)
     return bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode()
@@ -111,6 +116,24 @@ def test_overlaps_are_all_pairs_that_share_a_byte():
     assert len(left) == len(want)
 
 
+def test_segments_are_encoded_as_in_the_text(sides):
+    side_a = token_alignment._side(token_alignment.ByteTokens, JSON)
+    side_b = token_alignment._side(token_alignment.PieceTokens, MODEL)
+    texts = [t for t in strange_texts(1500) if t and "▁" not in t] + [" ", "   ", "a ", " a", "\n a", "a\n  b ", "a  b"]
+    a, b = token_alignment.encoded(texts, side_a, side_b)
+    for i, text in enumerate(texts):
+        assert a.ids[a.doc == i].tolist() == sides[0].encode(" " + text, add_special_tokens=False).ids
+        assert b.ids[b.doc == i].tolist() == sides[1].encode(text)
+
+
+def test_byte_tokens_of_all_characters(sides):
+    side = token_alignment._side(token_alignment.ByteTokens, JSON)
+    places = [c for c in range(1, 0x110000, 7) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)}" for c in places]
+    found = sides[0].encode_batch([" " + t for t in texts], add_special_tokens=False)
+    assert all(side.encode_all(t) == f.ids for t, f in zip(texts, found, strict=True))
+
+
 def test_clashing_columns_and_empty_table(spark, sides):
     assert results(token_alignment.align(clashing(spark), JSON, MODEL)) == brute(ROWS, sides)
     assert token_alignment.align(docs(spark, []), JSON, MODEL).columns == FIELDS
