@@ -153,6 +153,25 @@ def gazetteer(spark, sf_dir):
     )
 
 
+@query(
+    "D3_gazetteer_passages",
+    f"""WITH terms AS (SELECT DISTINCT list_transform(regexp_extract_all(text, {quoted(_WORD)}), lambda x: lower(x)) AS t FROM benchmark),
+        w AS (SELECT doc_id, i, start, start + length(value) AS stop, lower(value) AS value
+              FROM ({matches(_WORD)})),
+        d AS (SELECT doc_id, list(value ORDER BY i) AS words, list(stop ORDER BY i) AS stops FROM w GROUP BY doc_id),
+        n AS (SELECT doc_id, start, value, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM w)
+        SELECT n.doc_id, 'LAW' AS label, n.start, d.stops[n.k + len(t.t) - 1] AS "end"
+        FROM n JOIN terms t ON t.t[1] = n.value JOIN d ON d.doc_id = n.doc_id
+        WHERE d.words[n.k : n.k + len(t.t) - 1] = t.t""",
+)
+def gazetteer_passages(spark, sf_dir):
+    """Terms of dozens of words: passages as entities."""
+    gaz = table(spark, sf_dir, "benchmark").select(F.lit("LAW").alias("label"), F.col("text").alias("term"))
+    return gazetteer_hits(documents(spark, sf_dir), gaz).select(
+        "doc_id", "label", "start", "end"
+    )
+
+
 _ALLOW = {"PRODUCT": [r"[Tt]hnt[a-z]*"], "NRP": [r"erlich|enlich[a-z]+", r"elle[a-z]+"]}
 _BLOCK = {"PRODUCT": [r"Thnt[a-z]+ of"], "NRP": [r"elle[a-z]+[.]"]}
 
