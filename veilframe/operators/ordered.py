@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 #: Rows per block, as a power of two: small enough for rows that carry texts.
 BLOCK_BITS = 13
 
@@ -100,3 +102,33 @@ def prefix_max(
             for name in values
         ],
     )
+
+
+#: Bits of a row's place within its partition in Spark's increasing ids.
+_PLACE_BITS = 33
+
+
+def numbered(
+    df: DataFrame, out: str = "row_number", order: Sequence[str | Column] = (), start: int = 0
+) -> DataFrame:
+    """``df`` plus ``out``: consecutive numbers from ``start``, in reading order or in
+    ``order``, which the rows are then sorted by over all machines.
+
+    First every row gets its partition and place, in a durable copy, so a task that runs
+    again later meets the same places; then the partitions' sizes, one row each, are added up
+    and broadcast.  Without ``order`` nothing is shuffled but those sizes.
+    """
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = settle(df.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", _PLACE_BITS)
+    place = F.col("_place").bitwiseAND((1 << _PLACE_BITS) - 1)
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    # a row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(
+        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base")
+    )
+    joined = marked.join(F.broadcast(bases), part == F.col("_part"))
+    number = F.col("_base") + place + F.lit(start)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], number.alias(out))

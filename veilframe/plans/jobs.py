@@ -79,11 +79,11 @@ def redact_files(
     policy: Policy,
     dictionaries: Sequence[Pattern] = (),
 ) -> None:
-    """Text files in, redacted text files out, one folder per file name.
+    """Text files in, redacted text files out, each under its path below the folder.
 
     The result per file is the same as redacting its text directly.
     """
-    files = texts.read_texts(spark, path)
+    files = texts.read_texts(spark, path, below=True)
     done = redact_frame(files, policy, "text", "file_name", dictionaries)
     texts.write_files(done, out_path, "file_name", "redacted_text")
 

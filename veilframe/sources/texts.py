@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,17 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import model
+from ..operators.ordered import numbered
+from . import files
 
 _CORRUPT = "_corrupt_record"
 
 
-def read_texts(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """(file_name, text): one row per file, or per line."""
-    df = spark.read.text(path, wholetext=whole)
-    return df.select(
-        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file_name"),
-        F.col("value").alias("text"),
-    )
+def read_texts(
+    spark: SparkSession, path: str, whole: bool = True, below: bool = False
+) -> DataFrame:
+    """(file_name, text): one row per file, or per line.
+
+    ``below`` reads the folders under ``path`` too; a file's name is then its path from
+    there, so that files of one base name in two folders stay apart.  Spark's readers do not
+    see empty files.
+    """
+    if not below:
+        df = spark.read.text(path, wholetext=whole)
+        name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+        return df.select(name.alias("file_name"), F.col("value").alias("text"))
+    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=whole)
+    return df.select(path_below("_metadata.file_path", path).alias("file_name"), F.col("value").alias("text"))
+
+
+def path_below(file_path: str, root: str) -> Column:
+    """A file's path from ``root``, as its name was before it became a URI."""
+    folder = re.sub(r"^[a-z][a-z0-9+.-]*:/*(?=/)", "", root.rstrip("/")) + "/"
+    plain = F.url_decode(F.replace(F.col(file_path), F.lit("+"), F.lit("%2B")))
+    return F.substring_index(plain, folder, -1)
 
 
 def from_strings(spark: SparkSession, texts: Sequence[str | None]) -> DataFrame:
@@ -125,11 +143,9 @@ def write_csv(
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold annotations: JSON lines, blank lines skipped, names defaulted and suffixed.
 
-    The default name counts lines from the start of the file, so a file's rows are
-    numbered by reading order.
+    The default name counts the rows of all files, in the order of their paths and lines.
     """
-    rows = spark.read.schema(model.GOLD_SCHEMA).json(path)
-    return named_files(rows, "test_file_")
+    return _counted_rows(spark.read.schema(model.GOLD_SCHEMA).json(path), "test_file_")
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:
@@ -137,9 +153,30 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
     return read_texts(spark, path).withColumnRenamed("file_name", "fileName")
 
 
+def read_training_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Training texts as JSON lines (text, and fileName where one is given): (fileName, text),
+    missing names counted like those of gold annotations."""
+    rows = spark.read.schema("fileName string, text string").json(path)
+    return _counted_rows(rows, "training_file_")
+
+
+def _counted_rows(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows of files with default names by their place: Spark reads large files first, so the
+    place is that of the file's path, the split and the row in it."""
+    placed = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    order = ["_file", "_block", "_row"]
+    return named_files(numbered(placed, "_order", order), prefix, "_order").drop("_order", *order)
+
+
 def named_files(df: DataFrame, prefix: str, order: str | None = None) -> DataFrame:
-    """Fill missing file names with ``{prefix}{i}.txt`` and enforce the suffix."""
-    rows = df if order is not None else with_row_order(df, "_order")
+    """Fill missing file names with ``{prefix}{i}.txt`` and enforce the suffix; i is the row's
+    consecutive number, or ``order``."""
+    rows = df if order is not None else numbered(df, "_order")
     index = F.col(order or "_order")
     name = F.coalesce(F.col("fileName"), F.concat(F.lit(prefix), index.cast("string")))
     suffixed = F.when(name.endswith(".txt"), name).otherwise(F.concat(name, F.lit(".txt")))
@@ -158,10 +195,8 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_files(df: DataFrame, path: str, file: str = "file_name", text: str = "text") -> None:
-    """One folder per file name holding its redacted text."""
-    df.select(F.col(file).alias("file_name"), F.col(text).alias("value")).write.mode(
-        "errorifexists"
-    ).partitionBy("file_name").text(path)
+    """One file per row, under its name below ``path``."""
+    files.write(df, path, file, text)
 
 
 def base_name(key: str) -> Column:
