@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilframe.functions.sql import col, fn
 from veilframe.operators import conversation, json_text, markup, reports, transcript
 from veilframe.operators.chunking import chunks, split_markdown
-from veilframe.operators.detect import with_spans
+from veilframe.operators.detect import rules, with_spans
 from veilframe.policy import Policy
-from veilframe.session import spread
+from veilframe.session import checkpoint_dir, spread
 from veilframe.sources import parsed
+from veilframe.streaming import conversations
 
 from .common import (
     SEED,
@@ -595,6 +598,70 @@ def border_entities_one_group(spark, sf_dir):
     )
 
 
+@query(
+    "G1_stream_conversations",
+    f"""WITH j AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+        o AS (SELECT conv_id, turn, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(text) AS n, text FROM conversations),
+        e AS (SELECT conv_id, start, start + length(value) AS stop, value FROM ({matches(_BORDER, 'j', 'conv_id')})),
+        h AS (SELECT o.conv_id, o.turn, o.text, greatest(e.start - o.a, 0) AS start,
+                least(e.stop, o.a + o.n) - o.a AS stop, {token_sql("'LAW'", 'e.value')} AS new_text
+              FROM e JOIN o ON e.conv_id = o.conv_id AND e.start < o.a + o.n AND e.stop > o.a),
+        p AS (SELECT conv_id, turn, start, stop, substr(text, CAST(coalesce(lag(stop) OVER w, 0) + 1 AS BIGINT),
+                CAST(start - coalesce(lag(stop) OVER w, 0) AS BIGINT)) || new_text AS piece
+              FROM h WINDOW w AS (PARTITION BY conv_id, turn ORDER BY start)),
+        b AS (SELECT conv_id, turn, string_agg(piece, '' ORDER BY start) AS head, max(stop) AS stop, count(*) AS n
+              FROM p GROUP BY ALL)
+        SELECT c.conv_id, c.turn, coalesce(b.head || substr(c.text, CAST(b.stop + 1 AS BIGINT)), c.text) AS redacted_text,
+          coalesce(b.n, 0) AS n_spans, CAST(length(c.text) AS BIGINT) AS n_chars
+        FROM conversations c LEFT JOIN b USING (conv_id, turn)""",
+)
+def stream_conversations(spark, sf_dir):
+    """The turns as a stream in four shuffled micro-batches, redacted with the context of
+    their conversation; entities may cross turns."""
+    policy = Policy(
+        default="Off", config={"LAW": "Redaction"}, allow={"LAW": [_BORDER]}, claim_off=False, seed=SEED
+    )
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/veilframe-stream-{uuid.uuid4().hex}"
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        "text",
+        F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, turn)").alias("ts"),
+    )
+    batch = F.pmod(F.xxhash64("turn", "conv_id"), F.lit(4))
+    turns.repartition(4, batch).write.parquet(f"{folder}/in")
+    # a row that moves the watermark beyond all others closes the conversations
+    spark.sql(
+        "SELECT CAST(null AS bigint) AS conv_id, 0L AS turn, '' AS text, timestamp'2025-01-01' AS ts"
+    ).write.mode("append").parquet(f"{folder}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    conversations.use_state_store(spark)
+    try:
+        source = (
+            spark.readStream.schema(turns.schema)
+            .option("maxFilesPerTrigger", 1)
+            .parquet(f"{folder}/in")
+            .withWatermark("ts", "1 day")
+        )
+        pieces = conversations.redact_conversations(source, policy, ["conv_id"], "turn", "ts", "1 hour")
+        query = (
+            pieces.writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    stored = spark.read.parquet(f"{folder}/out").where("conv_id IS NOT NULL AND NOT late")
+    return conversations.assembled(stored, ["conv_id"], "turn").select(
+        "conv_id", "turn", "redacted_text", F.size("spans").alias("n_spans"), "n_chars"
+    )
+
+
 _FORTY_ROWS = r"(?:[^\n]*\n){40}[^\n]*"
 
 
@@ -723,11 +790,14 @@ def intervals(spark, sf_dir):
     return _intervals(spark, sf_dir)
 
 
-def _intervals(spark, sf_dir):
-    from veilframe.operators.detect import rules
-
+def _spoken(spark, sf_dir):
+    """Transcripts with spans and aligned words."""
     found = with_spans(_transcripts(spark, sf_dir), rules({"NRP": [_SPOKEN]}))
-    return transcript.intervals(transcript.with_aligned_words(found))
+    return transcript.with_aligned_words(found)
+
+
+def _intervals(spark, sf_dir):
+    return transcript.intervals(_spoken(spark, sf_dir))
 
 
 @query(
@@ -744,8 +814,8 @@ def _intervals(spark, sf_dir):
 )
 def mute_list(spark, sf_dir):
     """Padded by 250 ms, kept within one minute, overlapping intervals merged."""
-    found = _intervals(spark, sf_dir).withColumn("duration", F.lit(60000.0))
-    return transcript.merged(transcript.padded(found, "duration"))
+    found = _spoken(spark, sf_dir).withColumn("duration", F.lit(60000.0))
+    return transcript.mute_list(found, "duration")
 
 
 @query(

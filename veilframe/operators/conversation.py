@@ -303,6 +303,25 @@ def _hits(spans: Sql, news: Sql, by: Sql) -> Sql:
 _HITS = SPAN.replace("path:string>", "path:string,new_text:string>")
 
 
+def searched(
+    units: DataFrame,
+    keys: Sequence[str],
+    policy: Policy,
+    across: Sequence[Pattern],
+    separator: str,
+    document: Sql,
+) -> DataFrame:
+    """The pieces of ``units`` (keys, ``_rows``) with the spans that touch them: (keys, _at,
+    original_text, _hits), offsets within the piece."""
+    found = detection.with_spans(
+        joined_pieces(units, separator), across, "_joined", "_spans", extra="_extra"
+    )
+    found = found.withColumn("_spans", policy.keep(col("_spans")).column()).withColumn(
+        "_news", new_texts(policy, col("_spans"), document).column()
+    )
+    return rows_of_groups(found, keys, "_at")
+
+
 def _across_rows(
     df: DataFrame,
     policy: Policy,
@@ -344,13 +363,7 @@ def _across_rows(
     units = parts.groupBy(*keys, F.col("_p.unit").alias("_unit")).agg(
         F.array_sort(F.collect_list(piece)).alias("_rows")
     )
-    found = detection.with_spans(
-        joined_pieces(units, separator), across, "_joined", "_spans", extra="_extra"
-    )
-    found = found.withColumn("_spans", policy.keep(col("_spans")).column()).withColumn(
-        "_news", new_texts(policy, col("_spans"), document).column()
-    )
-    lines = rows_of_groups(found, [*keys, "_unit"], "_at")
+    lines = searched(units, [*keys, "_unit"], policy, across, separator, document)
     begin = col("_at.begin")
     moved = _hits(col("_hits"), fn.transform(col("_hits"), lambda h: h["new_text"]), begin)
     by_row = (
