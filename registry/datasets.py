@@ -157,6 +157,25 @@ def distinct_texts(spark, sf_dir):
     )
 
 
+@query(
+    "A6_first_seen",
+    _BY_SOURCE
+    + """ , f AS (SELECT source, label, value, min(doc_id * 1048576 + start) AS pos FROM resolved GROUP BY ALL)
+        SELECT source, label, row_number() OVER (PARTITION BY source, label ORDER BY pos) - 1 AS position,
+          value AS text FROM f""",
+)
+def first_seen(spark, sf_dir):
+    """Distinct texts of each label in the order in which a source's documents show them."""
+    spans = main_spans(spark, sf_dir).select("doc_id", "source", reports.exploded("spans").alias("s"))
+    found = spans.select(
+        "source",
+        F.col("s.label").alias("label"),
+        F.col("s.text").alias("text"),
+        (F.col("doc_id") * 1048576 + F.col("s.start")).alias("at"),
+    )
+    return reports.first_seen(found, ["source"], "at")
+
+
 @query(
     "A8_file_sizes",
     resolved_sql()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilframe import pools
@@ -37,7 +39,8 @@ from veilframe.options import (
     PhoneOptions,
 )
 from veilframe.policy import Policy
-from veilframe.session import settle, spread
+from veilframe.session import checkpoint_dir, settle, spread
+from veilframe.sources import files, texts
 
 from .common import (
     GIVEN_RULES,
@@ -140,7 +143,7 @@ def build_vault(spark, sf_dir):
 
 @query("R3_unredact", "SELECT doc_id, text AS unredacted_text FROM documents")
 def unredact(spark, sf_dir):
-    done = _redacted(spark, sf_dir).select("doc_id", "redacted_text", "spans")
+    done = settle(_redacted(spark, sf_dir).select("doc_id", "redacted_text", "spans"))
     store = settle(vault.vault_of(done))
     back = vault.unredact(done.select("doc_id", "redacted_text"), store, "doc_id")
     return back.select("doc_id", "unredacted_text")
@@ -148,8 +151,11 @@ def unredact(spark, sf_dir):
 
 @query("R3_unredact_large_vault", "SELECT doc_id, text AS unredacted_text FROM documents")
 def unredact_large(spark, sf_dir):
-    """The join taken when the vault is too large to broadcast: hot tokens apart."""
-    done = _redacted(spark, sf_dir).select("doc_id", "redacted_text", "spans")
+    """The join taken when the originals are too many for a dictionary, on a table stored in
+    buckets: tokens are shuffled, texts are not."""
+    done = vault.store_bucketed(
+        _redacted(spark, sf_dir).select("doc_id", "redacted_text", "spans"), "doc_id"
+    )
     store = settle(vault.vault_of(done))
     back = vault.unredact(
         done.select("doc_id", "redacted_text"), store, "doc_id", broadcast=False
@@ -732,3 +738,60 @@ def file_redaction_whole(spark, sf_dir):
     return done.select(
         "doc_id", "redacted_text", fn.size(col("spans")).column().alias("n_spans")
     )
+
+
+@query(
+    "S13_files_written",
+    f"""SELECT (doc_id % 7) || '/' || (doc_id // 7) || '.txt' AS file_name, redacted_text AS text
+        FROM ({_REDACTED_SQL})""",
+)
+def files_written(spark, sf_dir):
+    """Every document as a file: redacted, written under its name, and read back from there.
+    Files of one base name lie in several folders."""
+    states = {label: "Redaction" for label in [*_KEEP, "SECRET"]}
+    policy = _policy(default="Off", config=states, claim_off=False)
+    done = redact_frame(documents(spark, sf_dir), policy, key="doc_id")
+    name = F.concat_ws("", F.col("doc_id") % 7, F.lit("/"), F.expr("doc_id div 7"), F.lit(".txt"))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/veilframe-files-{uuid.uuid4().hex}"
+    texts.write_files(done.withColumn("file_name", name), folder, "file_name", "redacted_text")
+    return files.read(spark, folder)
+
+
+@query(
+    "S7_default_names",
+    """SELECT coalesce(CASE WHEN lang = 'en' THEN 'doc' || doc_id END,
+              'training_file_' || (row_number() OVER (ORDER BY doc_id) - 1)) || '.txt' AS "fileName",
+              length(text) AS n_chars FROM documents""",
+)
+def default_names(spark, sf_dir):
+    """Documents as JSON lines in several files; those without a name are counted."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/veilframe-lines-{uuid.uuid4().hex}"
+    named = F.when(F.col("lang") == "en", F.concat(F.lit("doc"), F.col("doc_id")))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", named.alias("fileName"), "text"
+    ).repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
+    docs.write.json(folder)
+    return texts.read_training_rows(spark, folder).select(
+        "fileName", F.length("text").alias("n_chars")
+    )
+
+
+_CSV = """'"' || replace(source, '"', '""') || '","' || replace(text, '"', '""') || '"'"""
+
+
+@query(
+    "S4_csv_lines",
+    f"SELECT doc_id, {_CSV} AS line, source AS source_back, text AS text_back FROM documents",
+)
+def csv_lines(spark, sf_dir):
+    """Whole texts, line ends and quotes in them, as quoted CSV and back."""
+    options = {k: str(v) for k, v in texts.csv_options(null_marker=None).items()}
+    options |= {"quoteAll": "true", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    lines = table(spark, sf_dir, "documents").select(
+        "doc_id", F.to_csv(F.struct("source", "text"), options).alias("line")
+    )
+    limits = {"maxCharsPerColumn": "-1"}
+    back = F.from_csv("line", "source string, text string", options | limits)
+    return lines.withColumn("b", back).select(
+        "doc_id", "line", F.col("b.source").alias("source_back"), F.col("b.text").alias("text_back")
+    )

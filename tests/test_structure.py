@@ -328,7 +328,6 @@ def test_gazetteer_both_ways(spark, monkeypatch):
     import veilframe.operators.gazetteer as module
 
     monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(module, "MAX_INLINE_TERMS", 0)
     assert result() == want
 
 

@@ -105,6 +105,44 @@ def fold_emit(
     return let(items, fold_pieces)
 
 
+def fold_emit_long(
+    items: Sql,
+    zero: Sql,
+    step: Callable[[Sql, Sql], Sql],
+    out_type: str,
+) -> Sql:
+    """``fold_emit`` for rows of tens of thousands of items: pieces are folded in groups of
+    ``PIECE``, so that what a piece emits is copied twice and not once per later piece."""
+
+    def fold_group(group: Sql, state: Sql) -> Sql:
+        return fn.aggregate(
+            group,
+            struct(state=state, out=empty(f"array<{out_type}>")),
+            lambda acc, piece: let(
+                fold_piece(piece, acc["state"], step, out_type),
+                lambda r: struct(
+                    state=r["state"], out=fn.concat(acc["out"], fn.array(r["out"]))
+                ),
+            ),
+            lambda acc: struct(state=acc["state"], out=fn.flatten(acc["out"])),
+        )
+
+    def fold_groups(bound: Sql) -> Sql:
+        return fn.aggregate(
+            pieces_of(pieces_of(bound)),
+            struct(state=zero, out=empty(f"array<{out_type}>")),
+            lambda acc, group: let(
+                fold_group(group, acc["state"]),
+                lambda r: struct(
+                    state=r["state"], out=fn.concat(acc["out"], fn.array(r["out"]))
+                ),
+            ),
+            lambda acc: fn.flatten(acc["out"]),
+        )
+
+    return let(items, fold_groups)
+
+
 def running_starts(lengths: Sql) -> Sql:
     """Exclusive prefix sum of an int array: where each element begins."""
 

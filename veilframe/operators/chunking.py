@@ -85,7 +85,7 @@ def _split_section(text: Sql, section: Sql, level: int) -> Sql:
 def _cut_long(text: Sql, section: Sql, limit: int) -> Sql:
     """A section without usable headers: cut at newlines, else hard."""
     size = section["end"] - section["start"]
-    rounds = fn.ceil(size / 1).cast("int")
+    rounds = size.cast("int")
 
     def step(at: Sql, _: Sql) -> Sql:
         window = fn.substring(text, section["start"] + at + 1, limit)
@@ -196,6 +196,43 @@ def entity_texts(spans: Sql) -> Sql:
     )
 
 
+def moved_borders(borders: Sql, spans: Sql) -> Sql:
+    """Where ascending offsets of the original stand in the redacted text; inside a replaced
+    span, at the replacement's end, so that a span cut in two goes whole to the chunk where
+    it starts.
+
+    One fold over borders and spans in order carries the last replacement.
+    """
+    event = "struct<at:int,kind:int,end:int,new_end:int>"
+    marks = fn.concat(
+        fn.transform(
+            borders,
+            lambda b: struct(
+                at=b, kind=lit(0), end=lit(None).cast("int"), new_end=lit(None).cast("int")
+            ),
+        ),
+        fn.coalesce(
+            fn.transform(
+                spans,
+                lambda s: struct(at=s["start"], kind=lit(1), end=s["end"], new_end=s["new_end"]),
+            ),
+            empty(event),
+        ),
+    )
+
+    def step(last: Sql, e: Sql) -> Sql:
+        moved = (
+            when(last["end"].is_null(), e["at"])
+            .when(last["end"] > e["at"], last["new_end"])
+            .otherwise(e["at"] + last["new_end"] - last["end"])
+        )
+        return when(e["kind"] == 1, struct(state=e, emit=empty("int"))).otherwise(
+            struct(state=last, emit=fn.array(moved))
+        )
+
+    return fold_emit(fn.array_sort(marks.cast(f"array<{event}>")), lit(None).cast(event), step, "int")
+
+
 def chunks(
     df: DataFrame,
     policy: Policy,
@@ -218,30 +255,21 @@ def chunks(
     starts, ends = (lambda s: s["start"]), (lambda s: s["end"])
     bands = banded(col(spans), starts, ends)
     cut = split_markdown(df, text, max_chars).withColumn("_bands", bands.column())
+    if redacted:
+        borders = fn.flatten(
+            fn.transform(col("sections"), lambda s: fn.array(s["start"], s["end"]))
+        )
+        cut = cut.withColumn("_moved", moved_borders(borders, col(spans)).column())
 
     def near(start: Sql, end: Sql) -> Sql:
         # closed on both sides: widen the half-open range by one
         return touching(col("_bands"), start - 1, end + 1, starts, ends)
 
-    def moved(at: Sql) -> Sql:
-        """Offset in the redacted text; inside a replaced span, the replacement's end,
-        so that a span cut in two goes whole to the chunk where it starts."""
-        before = fn.filter(col(spans), lambda s: s["start"] < at)
-        last = fn.try_element_at(before, -1)
-        return let(
-            last,
-            lambda s: when(s.is_null(), at)
-            .when(s["end"] > at, s["new_end"])
-            .otherwise(at + s["new_end"] - s["end"]),
-        )
-
-    def chunk(section: Sql) -> Sql:
+    def chunk(section: Sql, i: Sql) -> Sql:
         start, end = section["start"], section["end"]
         if redacted:
-            ranged = let(
-                struct(a=moved(start), b=moved(end)),
-                lambda r: fn.substring(col(redacted), r["a"] + 1, r["b"] - r["a"]),
-            )
+            first, last = col("_moved")[i * 2], col("_moved")[i * 2 + 1]
+            ranged = fn.substring(col(redacted), first + 1, last - first)
         else:
             ranged = fn.substring(col(text), start + 1, end - start)
 

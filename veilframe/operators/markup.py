@@ -17,6 +17,7 @@ from ..functions.arrays import (
     banded,
     empty,
     fold_emit,
+    fold_emit_long,
     indices,
     let,
     part,
@@ -224,45 +225,64 @@ def reading_text(places: Sql) -> Sql:
     )
 
 
+_COUNTS = "array<struct<name:string,n:int>>"
+
+
 def paths(parts: Sql, html: bool = True) -> Sql:
-    """1-based path of every segment, e.g. ``/html[1]/body[1]/p[2]`` (+ ``/@name``)."""
-    state = "struct<stack:array<string>,seen:array<string>,attribute:string>"
+    """1-based path of every segment, e.g. ``/html[1]/body[1]/p[2]`` (+ ``/@name``).
+
+    Every open element counts its children by name; the counts go when it closes, so a step
+    costs the depth and the number of names, not the elements seen before.
+    """
+    state = f"struct<stack:array<struct<step:string,counts:{_COUNTS}>>,attribute:string>"
 
     def step(s: Sql, p: Sql) -> Sql:
         name = fn.lower(tag_name(p["text"])) if html else tag_name(p["text"])
-        here = fn.array_join(s["stack"], "")
+        stack = s["stack"]
+        here = fn.array_join(fn.transform(stack, lambda x: x["step"]), "")
         opening = p["text"].rlike("^<[A-Za-z_:]")
         closing = p["text"].rlike("^</")
         ends_empty = p["text"].rlike(r"/>\z")
         if html:
             ends_empty = ends_empty | (opening & name.isin(VOID))
-        child = fn.concat(here, "/", name)
-        nth = fn.size(fn.filter(s["seen"], lambda x: x == child)) + 1
-        pushed = struct(
-            stack=fn.concat(
-                s["stack"], fn.array(fn.concat("/", name, "[", nth.cast("string"), "]"))
-            ),
-            seen=fn.concat(s["seen"], fn.array(child)),
-            attribute=_attribute_name(p["text"]),
-        )
+
+        def counted(top: Sql) -> Sql:
+            """The stack with one more child ``name`` of its top, and its number."""
+            own = fn.filter(top["counts"], lambda c: c["name"] == name)
+            nth = when(fn.size(own) > 0, own[0]["n"] + 1).otherwise(lit(1))
+            others = fn.filter(top["counts"], lambda c: c["name"] != name)
+            grown = struct(
+                step=top["step"],
+                counts=fn.concat(others, fn.array(struct(name=name, n=nth))),
+            )
+            return struct(
+                stack=fn.concat(fn.slice(stack, 1, fn.size(stack) - 1), fn.array(grown)), nth=nth
+            )
+
+        def pushed(top: Sql) -> Sql:
+            def with_child(c: Sql) -> Sql:
+                child = struct(
+                    step=fn.concat("/", name, "[", c["nth"].cast("string"), "]"),
+                    counts=empty("struct<name:string,n:int>"),
+                )
+                after = when(ends_empty, c["stack"]).otherwise(
+                    fn.concat(c["stack"], fn.array(child))
+                )
+                return struct(stack=after, attribute=_attribute_name(p["text"]))
+
+            return let(counted(top), with_child)
+
+        # the document itself is never closed
         popped = struct(
-            stack=fn.slice(s["stack"], 1, fn.greatest(fn.size(s["stack"]) - 1, 0)),
-            seen=s["seen"],
+            stack=fn.slice(stack, 1, fn.greatest(fn.size(stack) - 1, 1)),
             attribute=lit(None).cast("string"),
         )
-        renamed = struct(
-            stack=s["stack"], seen=s["seen"], attribute=_attribute_name(p["text"])
-        )
+        renamed = struct(stack=stack, attribute=_attribute_name(p["text"]))
         after = (
             when(_is_value(p["kind"]) | p["text"].rlike("^="), s)
             .when(closing, popped)
-            .when(opening & ends_empty, let(pushed, lambda x: struct(
-                stack=s["stack"], seen=x["seen"], attribute=x["attribute"])))
-            .when(opening, pushed)
-            .when(ends_empty, struct(
-                stack=fn.slice(s["stack"], 1, fn.greatest(fn.size(s["stack"]) - 1, 0)),
-                seen=s["seen"],
-                attribute=lit(None).cast("string")))
+            .when(opening, let(fn.element_at(stack, -1), pushed))
+            .when(ends_empty, popped)
             .otherwise(renamed)
         )
         path = when(
@@ -270,10 +290,11 @@ def paths(parts: Sql, html: bool = True) -> Sql:
         ).otherwise(here)
         return struct(state=after, emit=fn.array(path))
 
+    document = struct(step=lit(""), counts=empty("struct<name:string,n:int>"))
     zero = fn.named_struct(
-        "stack", empty("string"), "seen", empty("string"), "attribute", lit(None).cast("string")
+        "stack", fn.array(document), "attribute", lit(None).cast("string")
     )
-    return fold_emit(parts, zero.cast(state), step, "string")
+    return fold_emit_long(parts, zero.cast(state), step, "string")
 
 
 def _attribute_name(markup: Sql) -> Sql:

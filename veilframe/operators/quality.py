@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import prefix_max
+
 
 def _rates(tp: Column, n_predicted: Column, n_gold: Column) -> list[Column]:
     precision = F.try_divide(tp, n_predicted)
@@ -62,23 +64,33 @@ def overlap_recall(
 ) -> DataFrame:
     """(document, n_gold, n_hit): gold spans that some predicted span overlaps.
 
-    Both sides become one array per document and are compared inside the row, so no pair
-    is ever emitted.
+    One sweep over both lists: predicted spans stand where they begin, gold spans where they
+    end, and a gold span is hit if the furthest end of the predicted spans that begin before
+    its own end lies behind its start.  The furthest end is carried in blocks, so a document
+    may hold any share of the spans.
     """
     keys = [document] + ([label] if label else [])
-    span = F.struct("start", "end")
-    ours = predicted.groupBy(*keys).agg(F.sort_array(F.collect_set(span)).alias("_p"))
-    theirs = gold.groupBy(*keys).agg(F.sort_array(F.collect_set(span)).alias("_g"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    hit = F.filter(
-        "_g",
-        lambda g: F.exists(
-            F.coalesce(F.col("_p"), none),
-            lambda p: (p["start"] < g["end"]) & (p["end"] > g["start"]),
-        ),
+    ours = predicted.select(*keys, "start", "end").distinct()
+    theirs = gold.select(*keys, "start", "end").distinct()
+    # at one place gold spans come first: a predicted span that begins there is no overlap
+    events = ours.select(
+        *keys, (F.col("start").cast("bigint") * 2 + 1).alias("_at"), F.col("end").alias("_far"), F.lit(None).cast("int").alias("_gold")
+    ).unionByName(
+        theirs.select(
+            *keys,
+            (F.col("end").cast("bigint") * 2).alias("_at"),
+            F.lit(None).cast(ours.schema["end"].dataType).alias("_far"),
+            F.col("start").alias("_gold"),
+        )
     )
-    return theirs.join(ours, keys, "left").select(
-        *keys, F.size("_g").alias("n_gold"), F.size(hit).alias("n_hit")
+    swept = prefix_max(events, keys, "_at", {"_furthest": F.col("_far")})
+    return (
+        swept.where(F.col("_gold").isNotNull())
+        .groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).cast("int").alias("n_gold"),
+            F.count_if(F.col("_furthest") > F.col("_gold")).cast("int").alias("n_hit"),
+        )
     )
 
 

@@ -14,7 +14,7 @@ from ..functions.synth import synthesize
 from ..functions.tokens import token
 from ..options import generator_of
 from ..policy import Policy
-from .ordered import prefix_sum
+from .ordered import dense_index, prefix_sum
 
 #: Characters of context on each side of an occurrence, and records per page.
 CONTEXT_CHARS = 50
@@ -238,3 +238,19 @@ def file_sizes(
         F.octet_length(text).alias("bytes"),
         F.base64(F.unhex(F.md5(text))).alias("hash"),
     )
+
+
+def first_seen(
+    found: DataFrame, keys: list[str], order: str, label: str = "label", text: str = "text"
+) -> DataFrame:
+    """(keys, label, position, text): the distinct texts of each label in the order in which
+    they are first seen, from 0.
+
+    ``order`` is a non-negative integer that tells the spans of a group apart.  Repeats are
+    reduced to their least position before the shuffle, and positions are counted in blocks,
+    so any group and label may hold any share of the spans.
+    """
+    first = found.groupBy(*keys, label, text).agg(F.min(order).alias("_first"))
+    return dense_index(first, [*keys, label], "_first", "position").select(
+        *keys, label, "position", text
+    )

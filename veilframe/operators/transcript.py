@@ -113,18 +113,15 @@ def with_aligned_words(df: DataFrame) -> DataFrame:
     ).drop("_words")
 
 
-def intervals(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataFrame:
-    """(key, span, start, end) in milliseconds for every span that touches a word.
+_INTERVAL = "struct<span:int,start:double,end:double>"
 
-    A partly covered word is muted whole; spans that touch no word drop out.
-    """
+
+def _found_intervals(spans: Sql, bands: Sql) -> Sql:
+    """(span, start, end) of every span that touches a word, in order."""
     starts, ends = (lambda w: w["char_start"]), (lambda w: w["char_end"])
-    step = df.select(
-        key, spans, banded(col("words"), starts, ends).column().alias("_bands")
-    )
 
     def interval(s: Sql, i: Sql) -> Sql:
-        hit = touching(col("_bands"), s["start"], s["end"], starts, ends)
+        hit = touching(bands, s["start"], s["end"], starts, ends)
         return let(
             hit,
             lambda h: struct(
@@ -134,14 +131,56 @@ def intervals(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataF
             ),
         )
 
-    found = fn.filter(
-        fn.transform(col(spans), interval), lambda x: x["start"].is_not_null()
+    return fn.filter(fn.transform(spans, interval), lambda x: x["start"].is_not_null())
+
+
+def _with_bands(df: DataFrame, key: str, spans: str, *more: str) -> DataFrame:
+    starts, ends = (lambda w: w["char_start"]), (lambda w: w["char_end"])
+    return df.select(
+        key, spans, *more, banded(col("words"), starts, ends).column().alias("_bands")
     )
-    return step.select(key, F.explode(found.column()).alias("_i")).select(
+
+
+def intervals(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataFrame:
+    """(key, span, start, end) in milliseconds for every span that touches a word.
+
+    A partly covered word is muted whole; spans that touch no word drop out.
+    """
+    found = _found_intervals(col(spans), col("_bands"))
+    return _with_bands(df, key, spans).select(key, F.explode(found.column()).alias("_i")).select(
         key, "_i.span", "_i.start", "_i.end"
     )
 
 
+def mute_list(
+    df: DataFrame,
+    duration: str,
+    key: str = "doc_id",
+    spans: str = "spans",
+    before: float | None = None,
+    after: float | None = None,
+) -> DataFrame:
+    """(key, start, end): intervals widened, kept inside the recording (``duration`` in
+    milliseconds) and joined where they overlap or touch.  All inside the row: a recording is
+    never dealt anew."""
+    low = PAD_BEFORE if before is None else before
+    high = PAD_AFTER if after is None else after
+    found = _found_intervals(col(spans), col("_bands"))
+    wide = fn.transform(
+        found,
+        lambda i: struct(
+            start=fn.greatest(i["start"] - lit(float(low)), lit(0.0)),
+            end=fn.least(i["end"] + lit(float(high)), col(duration).cast("double")),
+        ),
+    )
+    # one expression inside the explode: a projection between would be merged into the lambda
+    # and find the bands again for every span
+    joined = _joined(fn.array_sort(wide)).column()
+    return _with_bands(df, key, spans, duration).select(key, F.explode(joined).alias("_m")).select(
+        key, "_m.start", "_m.end"
+    )
+
+
 def padded(
     df: DataFrame,
     duration: str,
@@ -157,15 +196,8 @@ def padded(
     )
 
 
-def merged(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Overlapping or touching intervals of a recording joined into one.
-
-    Intervals of one recording are few and bounded by its words, so they are folded as
-    one array per recording.
-    """
-    grouped = df.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_i")
-    )
+def _joined(ordered: Sql) -> Sql:
+    """Sorted intervals, overlapping or touching ones joined, in one fold."""
     kind = "struct<start:double,end:double>"
 
     def step(open_: Sql, item: Sql) -> Sql:
@@ -180,10 +212,16 @@ def merged(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
     nothing = struct(start=lit(None).cast("double"), end=lit(None).cast("double"))
     # a far sentinel closes the last open interval
-    closing = fn.concat(
-        col("_i"),
-        fn.array(struct(start=lit("Infinity").cast("double"), end=lit("Infinity").cast("double"))),
+    far = struct(start=lit("Infinity").cast("double"), end=lit("Infinity").cast("double"))
+    return fold_emit(fn.concat(ordered, fn.array(far)), nothing, step, kind)
+
+
+def merged(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Overlapping or touching intervals of a recording joined into one, for intervals that
+    come as rows; ``mute_list`` does it where the recording lies."""
+    grouped = df.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_i")
+    )
+    return grouped.select(key, F.explode(_joined(col("_i")).column()).alias("_m")).select(
+        key, "_m.start", "_m.end"
     )
-    return grouped.select(
-        key, F.explode(fold_emit(closing, nothing, step, kind).column()).alias("_m")
-    ).select(key, "_m.start", "_m.end")
