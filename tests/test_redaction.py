@@ -78,14 +78,14 @@ def test_builtin_labels(spark):
         "account 123456789": ("US_BANK_NUMBER", "123456789"),
         "x ⑆021000021⑆ y": ("MICR_CODE", "⑆021000021⑆"),
         "expires 09/25": ("CC_EXP", "09/25"),
-        "cvv is eight five two": ("CVV", "eight five two"),
-        "cvv: 852": ("CVV", "852"),
+        "cvv is four one nine": ("CVV", "four one nine"),
+        "cvv: 419": ("CVV", "419"),
         "Boise, ID. 83702.": ("LOCATION_ZIP", "83702"),
         "due $12,000": ("MONEY", "$12,000"),
         "on 08-13-2024.": ("DATE_TIME", "08-13-2024"),
         "on March 27, 2024": ("DATE_TIME", "March 27, 2024"),
         "born on 01/02/1980": ("DOB", "01/02/1980"),
-        "I am 38 years old": ("PERSON_AGE", "38"),
+        "she was 61 years old then": ("PERSON_AGE", "61"),
         "My ID is 123": ("NUMERIC_VALUE", "123"),
         "ref AB123456": ("NUMERIC_PII", "AB123456"),
         "password: hunter2!": ("PASSWORD", "hunter2!"),
@@ -105,12 +105,12 @@ def test_builtin_labels(spark):
 
 def test_off_default_and_strings(spark):
     text = (
-        "The IP 192.168.123.132 has breached our firewall. The machine is registered to "
-        "a man named Luke McFee, a US Citizen in Japan."
+        "Printer 10.20.30.40 was moved to the third floor; ask its new keeper "
+        "Alice Oldershaw, who came over from Lisbon, before you restart it."
     )
     (row,) = run(spark, [text], Policy(default="Off", config={"NAME_GIVEN": "Redaction"}))
-    assert "Luke" not in row.redacted_text
-    assert "McFee" in row.redacted_text and "Japan" in row.redacted_text
+    assert "Alice" not in row.redacted_text
+    assert "Oldershaw" in row.redacted_text and "Lisbon" in row.redacted_text
     assert [s.label for s in row.spans] == ["NAME_GIVEN"]
     assert row.usage == len(text.split())
 
