@@ -6,8 +6,8 @@ and adds them in opposite order, the largest number of one to the smallest of th
 until one is left.  An item is a group (all rows of one text) with at least 1/``DRIVER_ITEMS``
 of all bytes, or the sum of the smaller groups that a hash puts together, a small part of a
 shard.  The driver differences all items together, so that small groups level large ones;
-only these sums reach it, never rows, and they do not depend on the number of tasks.  With
-``DRIVER_ITEMS`` groups or fewer each is an item.
+only these sums reach it, never rows, and they do not depend on the number of tasks, nor
+does the rule on the number of groups.
 
 Results for special rows: a null text counts as empty, as one group with empty texts, and
 its size is 1; a null key is a row like any other; equal rows share a shard and have slots
@@ -95,8 +95,9 @@ def balanced(groups: DataFrame, item: str, size: str, shards: int = SHARDS) -> D
     """Shard (item, shard) of every group; ``item`` is a string, unique."""
     most = max(DRIVER_ITEMS, SHARD_ITEMS * shards)
     folds = max(TASK_ITEMS, SHARD_ITEMS * shards)
-    n, total = groups.agg(F.count(F.lit(1)), F.sum(size)).first()
-    least = 0 if n <= most else -(-total // most)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    # by size, not by number: a table is treated alike however many groups it has
+    least = -(-total // most)
     fold = F.concat(F.lit("~"), F.pmod(F.xxhash64(item), F.lit(folds)))
     part = F.when(F.col(size) >= least, F.concat(F.lit("="), F.col(item))).otherwise(fold)
     parts = groups.select(F.col(item).alias("item"), F.col(size).alias("size"), part.alias("part"))
