@@ -420,16 +420,21 @@ def merged(spans: Sql) -> Sql:
     return fold_emit(fn.concat(ordered, behind), struct(start=0, end=0, kind=""), step, span)
 
 
-def redact(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with every span in ``text`` replaced by its kind in brackets; all other
-    characters and all other columns stay, and a null text stays null."""
-    own = spread_free("_found", df.columns)
+def redact_found(df: DataFrame, model: Model, column: str, text: str = "text") -> DataFrame:
+    """``df`` with the spans of ``column``, which ``found`` has made, in ``text`` replaced by
+    their kinds in brackets; all other characters and columns stay, a null text stays null."""
     clean = let(
-        merged(all_spans(col(own), model)),
+        merged(all_spans(col(column), model)),
         lambda m: splice(
             col(text),
             m,
             fn.transform(m, lambda s: fn.concat(lit("["), fn.upper(s["kind"]), lit("]"))),
         ),
     )
-    return found(df, text, own).withColumn(text, clean.column()).select(*df.columns)
+    return df.withColumn(text, clean.column())
+
+
+def redact(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``df`` with every span in ``text`` replaced, without a column beside."""
+    own = spread_free("_found", df.columns)
+    return redact_found(found(df, text, own), model, own, text).select(*df.columns)
