@@ -1,4 +1,12 @@
-"""A corpus pipeline: quality rules, exact copies, near copies, personal data, packing."""
+"""A corpus pipeline: quality rules, exact copies, near copies, personal data, packing.
+
+Results for special rows, stage by stage: a null or empty text has no words and is rejected
+by the quality rules; were it kept, it would be an exact copy of every other empty text, alone
+among near copies, without personal data, and one end id in the packing.  Rows that are equal
+in all columns are exact copies; a null doc_id is the smallest.  An empty table passes through
+every stage.  Columns beyond those of documents are kept as they are by all stages but the
+last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import exact_dedup, ngram_join, packing, pii_votes, quality_lists
-from veilframe.llm.common import settled, shared_path
+from veilframe.llm.common import settled, shared_path, spread_free
 
 #: The end of a document in a sequence.
 END_ID = 2
@@ -30,9 +38,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets in the texts become the name of their kind."""
-    spans = settled(pii_votes.found(docs, "text", "found").select("found"), "spans")
-    return pii_votes.redact(docs, pii_votes.fit(spans, "found"))
+    """Personal data and secrets in the texts become the name of their kind.  The texts are
+    searched once: what is found is kept beside them."""
+    own = spread_free("found", docs.columns)
+    rows = settled(pii_votes.found(docs, "text", own), "spans")
+    return pii_votes.redact_found(rows, pii_votes.fit(rows, own), own).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
