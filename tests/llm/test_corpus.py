@@ -54,8 +54,18 @@ def test_dedup_has_no_python(spark):
 def test_full_filter_gives_the_same(spark, monkeypatch):
     want = sorted(map(str, exact_dedup.flagged(docs(spark)).collect()))
     monkeypatch.setattr(exact_dedup, "MIN_BITS", 1 << 15)
-    monkeypatch.setattr(exact_dedup, "filter_bits", lambda rows: 2)
-    assert sorted(map(str, exact_dedup.flagged(docs(spark)).collect())) == want
+    kept = sorted(map(str, exact_dedup.deduplicated(clashing(spark)).collect()))
+    for size in ((2, 1), (1 << 15, 4), (2, 2)):
+        monkeypatch.setattr(exact_dedup, "filter_size", lambda rows, size=size: size)
+        assert sorted(map(str, exact_dedup.flagged(docs(spark)).collect())) == want
+        assert sorted(map(str, exact_dedup.deduplicated(clashing(spark)).collect())) == kept
+
+
+def test_filters_grow_with_the_rows():
+    for rows in (0, 1, 10**6, 10**8, 10**11):
+        bits, ranges = exact_dedup.filter_size(rows)
+        assert exact_dedup.MIN_BITS <= bits <= exact_dedup.MAX_BITS
+        assert rows * exact_dedup.BITS_PER_ROW <= bits * ranges < max(4 * rows * exact_dedup.BITS_PER_ROW, 1 << 16)
 
 
 # --- near copies ------------------------------------------------------------------------

@@ -1,15 +1,18 @@
 """Exact de-duplication by two passes over a Bloom filter of the texts' hashes.
 
-Pass one sends the positions of every hash (two per text, eight bytes each, no text) to
-their part of the filter and keeps the bits that at least two rows set.  Pass two looks up
-both positions of every row: a row with a bit unset holds a text that no other row holds
-and passes straight through; only the rest, the possibly repeated, is shuffled and
-compared by SHA-256 of the whole text.  A false positive costs one row's shuffle, never a
-wrong answer.  All of it is DataFrame functions.
-
-The filter has ``BITS_PER_ROW`` bits per row, as a power of two, up to ``MAX_BITS``, which
-bounds what is broadcast (64 MB at 2**29 bits).  Beyond that it grows denser and more rows
-take the shuffled way; results are the same at every size.
+Pass one tells which bits of the filter at least two rows set.  A filter per task would have
+to be sent whole by every task, so its set bits are sent instead: two numbers of eight bytes
+for each row, no text and no hash, counted per task before the shuffle and joined into the
+filter's parts after it.  Pass two looks up both bits of every row where it lies: a row with a bit
+that no other row sets holds a text that no other row holds and passes straight through;
+only the rest, the possibly repeated, is shuffled and compared by SHA-256 of the whole text.
+A false positive costs one row's shuffle, never a wrong answer.  All of it is DataFrame
+functions.
+
+The filter has ``BITS_PER_ROW`` bits per row, as a power of two.  One filter has at most
+``MAX_BITS`` (64 MB broadcast at 2**29 bits); a table that needs more is first written in
+ranges of another hash, and every range has a filter of its own, one after the other.  So
+the filter is as sparse for billions of rows as for thousands.
 
 Results for special rows: a null text counts as empty, so null and empty texts are copies
 of each other; a null key is the smallest; rows equal in key and text are one kept row and
@@ -19,10 +22,13 @@ that no input column has.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import attach, settled, spread_free
+from .common import attach, settled, shared_path, spread_free
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 29
@@ -35,11 +41,15 @@ def whole_text(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def filter_bits(rows: int) -> int:
-    bits = MIN_BITS
-    while bits < min(rows * BITS_PER_ROW, MAX_BITS):
-        bits *= 2
-    return bits
+def filter_size(rows: int) -> tuple[int, int]:
+    """Bits of a filter, and number of ranges that have one each."""
+    bits, ranges = MIN_BITS, 1
+    while bits * ranges < rows * BITS_PER_ROW:
+        if bits < MAX_BITS:
+            bits *= 2
+        else:
+            ranges *= 2
+    return bits, ranges
 
 
 def positions(text: Column, bits: int) -> Column:
@@ -64,8 +74,24 @@ def repeated_bits(places: DataFrame) -> DataFrame:
 
 def possibly_repeated(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` plus ``out``: false if no other row has the same text, for certain."""
+    bits, ranges = filter_size(df.select(F.count(F.lit(1))).first()[0])
+    if ranges == 1:
+        return _tested(df, text, out, bits)
+    part = spread_free("_range", df.columns)
+    path = shared_path(df.sparkSession, "ranges")
+    at = F.pmod(F.xxhash64(F.lit(2), whole_text(text)), F.lit(ranges)).cast("int")
+    df.withColumn(part, at).write.partitionBy(part).parquet(path)
+    written = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField(part, IntegerType())])).parquet(path)
+    found = [
+        settled(_tested(written.where(F.col(part) == r).drop(part), text, out, bits), "tested")
+        for r in range(ranges)
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _tested(df: DataFrame, text: str, out: str, bits: int) -> DataFrame:
+    """``possibly_repeated`` by one filter."""
     whole = whole_text(text)
-    bits = filter_bits(df.select(F.count(F.lit(1))).first()[0])
     places = df.select(F.explode(positions(whole, bits)).alias("at"))
     parts = settled(repeated_bits(places), "filter")
     own = {n: spread_free(n, df.columns) for n in ("_place", "_part", "_bitmap")}
