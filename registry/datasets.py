@@ -137,11 +137,10 @@ _MAP_POLICY = Policy(
 )
 def entity_mappings(spark, sf_dir):
     """Files without entities stay in the report."""
-    rows = reports.mappings(main_spans(spark, sf_dir), _MAP_POLICY, ["doc_id"])
-    files = table(spark, sf_dir, "documents").select("doc_id")
-    return reports.files_with_mappings(files, rows, "doc_id").drop(
-        "row_number", "column_index", "score"
+    rows = reports.mappings(
+        main_spans(spark, sf_dir), _MAP_POLICY, ["doc_id"], keep_empty=True
     )
+    return rows.drop("row_number", "column_index", "score")
 
 
 @query(
@@ -470,11 +469,7 @@ def scorable_files(spark, sf_dir):
     f"WITH {_FILES} SELECT status, count(*) AS n, min(file_id) AS first_file FROM files GROUP BY status",
 )
 def files_by_status(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    parts = [
-        manifest.by_status(files, s) for s in ("Completed", "Queued", "Running", "Failed")
-    ]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    every = manifest.by_status(_files(spark, sf_dir), "Completed", "Queued", "Running", "Failed")
     return every.groupBy("status").agg(
         F.count(F.lit(1)).alias("n"), F.min("file_id").alias("first_file")
     )
@@ -489,6 +484,16 @@ def dataset_summary(spark, sf_dir):
     return manifest.summary(_files(spark, sf_dir))
 
 
+@query(
+    "A7_open_files",
+    f"""WITH {_FILES} SELECT dataset, CASE WHEN status = 'Failed' THEN 'failed' ELSE 'waiting' END AS kind,
+          file_id, file_name FROM files WHERE status IN ('Queued', 'Running', 'Failed')""",
+)
+def open_files(spark, sf_dir):
+    """The files of a dataset's summary that wait or failed, by id and name."""
+    return manifest.open_files(_files(spark, sf_dir))
+
+
 # --- policy tables --------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ from veilframe.functions.synth import (
     synthesize,
 )
 from veilframe.functions.tokens import token
-from veilframe.operators import reports, vault
+from veilframe.operators import policies, reports, vault
 from veilframe.operators.detect import builtin, with_spans
 from veilframe.operators.linking import group_entities
 from veilframe.operators.redact import (
@@ -795,3 +795,17 @@ def csv_lines(spark, sf_dir):
     return lines.withColumn("b", back).select(
         "doc_id", "line", F.col("b.source").alias("source_back"), F.col("b.text").alias("text_back")
     )
+
+
+@query("C1_stored_policy", _REDACTED_SQL)
+def stored_policy(spark, sf_dir):
+    """A policy written as rows and read back drives the redaction: lists, states and seed."""
+    states = {label: "Redaction" for label in _KEEP}
+    policy = _policy(default="Off", config=states | {"SECRET": "Redaction"}, claim_off=False)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/veilframe-policy-{uuid.uuid4().hex}"
+    policies.to_rows(spark, "documents", policy).write.parquet(path)
+    read = policies.from_rows(spark.read.parquet(path), "documents")
+    done = redact_frame(documents(spark, sf_dir), read, key="doc_id")
+    return done.select(
+        "doc_id", "redacted_text", fn.size(col("spans")).column().alias("n_spans")
+    )

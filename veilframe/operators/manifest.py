@@ -75,10 +75,20 @@ def unknown_files(manifest: DataFrame, file_ids: DataFrame) -> DataFrame:
     return file_ids.join(manifest.select("file_id"), "file_id", "left_anti")
 
 
-def by_status(manifest: DataFrame, status: str) -> DataFrame:
-    if status not in model.FILE_STATES:
-        raise ValueError(f"unknown status {status}")
-    return manifest.where(F.col("status") == status)
+def by_status(manifest: DataFrame, *statuses: str) -> DataFrame:
+    """Files in any of the states, in one scan."""
+    unknown = set(statuses) - set(model.FILE_STATES)
+    if unknown or not statuses:
+        raise ValueError(f"unknown status {', '.join(sorted(unknown)) or '(none)'}")
+    return manifest.where(F.col("status").isin(list(statuses)))
+
+
+def open_files(manifest: DataFrame) -> DataFrame:
+    """(dataset, kind, file_id, file_name): one row per file that waits or has failed, the
+    part of a dataset's summary that names files."""
+    kind = F.when(F.col("status") == "Failed", "failed").otherwise("waiting")
+    found = by_status(manifest, "Queued", "Running", "Failed")
+    return found.select("dataset", kind.alias("kind"), "file_id", "file_name")
 
 
 def scorable(files: DataFrame, status: str = "status") -> DataFrame:
@@ -134,7 +144,7 @@ def dropped(datasets: DataFrame, name: str) -> DataFrame:
 def summary(manifest: DataFrame) -> DataFrame:
     """(dataset, status, n_files); with ``num_columns`` for the widest file.
 
-    File ids stay in the manifest (``by_status``) instead of being collected into a cell.
+    Files that wait or failed are rows of their own (``open_files``), not a cell.
     """
     return manifest.groupBy("dataset", "status").agg(
         F.count(F.lit(1)).alias("n_files"), F.max("n_columns").alias("num_columns")

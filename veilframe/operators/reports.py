@@ -164,10 +164,12 @@ def mappings(
     spans: str = "spans",
     row_number: str | None = None,
     column_index: str | None = None,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Entity mappings: each span with its token, its synthetic value and the output.
 
-    Nulls where a label's state does not produce that value.
+    Nulls where a label's state does not produce that value.  With ``keep_empty`` a row
+    without spans stays, with nulls: the files of the report need no second scan.
     """
     text, label = col("_s.text"), col("_s.label")
     state = policy.state(label)
@@ -186,7 +188,12 @@ def mappings(
     synthetic = synthetic.otherwise(synthesize(text, "", None, policy.seed))
     tokenised = token(label, text, policy.seed, policy.token_width)
     places = [c for c in (row_number, column_index) if c]
-    found = df.select(*keys, *places, exploded(spans).alias("_s"))
+    if keep_empty:
+        whole = F.explode_outer(fn.filter(col(spans), lambda s: lit(True)).column())
+        found = df.select(*keys, *places, whole.alias("_s"))
+        state = when(col("_s.label").is_not_null(), state)
+    else:
+        found = df.select(*keys, *places, exploded(spans).alias("_s"))
     found = found.withColumn("_state", state.column())
     redacts = col("_state") == model.REDACTION
     made_up = col("_state").isin([s for s in model.STATES if s.endswith("Synthesis")])
