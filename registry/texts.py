@@ -233,6 +233,31 @@ def redact_html(spark, sf_dir):
     return _html_done(spark, sf_dir).select("page_id", F.md5("redacted_text").alias("md5"))
 
 
+@query(
+    "T6_straddling_and_attributes",
+    f"""SELECT c_custkey, '<p title="x">Dear ' || {token_sql("'NRP'", "c_name")} || '<b></b>, <a href="mailto:'
+          || {token_sql("'EMAIL_ADDRESS'", "lower(c_mktsegment) || c_custkey || '@mail.example'")}
+          || '">write</a></p>' AS redacted_text FROM customer""",
+)
+def straddling(spark, sf_dir):
+    """Names that inline tags cut in three, and addresses in attributes."""
+    html = (
+        "'<p title=\"x\">Dear ' || substr(c_name, 1, 5) || '<b>' || substr(c_name, 6, 6) || '</b>'"
+        " || substr(c_name, 12) || ', <a href=\"mailto:' || lower(c_mktsegment) || c_custkey"
+        " || '@mail.example\">write</a></p>'"
+    )
+    policy = Policy(
+        default="Off",
+        config={"NRP": "Redaction", "EMAIL_ADDRESS": "Redaction"},
+        allow={"NRP": ["Customer#[0-9]+"]},
+        seed=SEED,
+        claim_off=False,
+    )
+    pages = table(spark, sf_dir, "customer").select("c_custkey", F.expr(html).alias("html"))
+    done = markup.redact_markup(pages, policy, "html", "c_custkey")
+    return done.select("c_custkey", "redacted_text")
+
+
 # --- parsed documents -----------------------------------------------------------------
 
 
