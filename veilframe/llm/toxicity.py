@@ -52,6 +52,8 @@ STEMS = (7, 6, 5)
 FLAT, WEIGHT = 0.5, 50.0
 #: Standard errors that an entry's log-odds are shrunk by.
 SHRINK = 1.5
+#: Standard errors that an entry needs before the prior is known; fewer than it needs then.
+TELLING = 1.25
 #: Drift per word beyond the mean score of clean text.
 DRIFT = 0.2
 #: Expected number of chance segments up to which a segment is significant.
@@ -309,13 +311,21 @@ def fit(
         - F.log((F.col("n") - F.col("y") + FLAT) / (n_clean - F.col("n") + F.col("y") + FLAT))
     )
     error = F.sqrt(1 / (F.col("y") + FLAT) + 1 / (F.col("n") - F.col("y") + FLAT))
-    telling = total.where((F.col("n") > 1) & (apart > error)).select("entry")
-    found = counts.join(telling, "entry").toPandas()
-    names = sorted(found["entry"].unique())
-    at = {name: i for i, name in enumerate(names)}
+    telling = total.where((F.col("n") > 1) & (apart > TELLING * error)).select("entry")
+    cells = [(toxic, part) for toxic in (0, 1) for part in range(1, FOLDS)]
+    one = [(F.col("toxic") == toxic) & (F.col("fold") == part) for toxic, part in cells]
+    found = (
+        counts.join(telling, "entry")
+        .groupBy("entry")
+        .agg(*[F.sum(F.when(cell, F.col("n")).otherwise(0)).cast("int").alias(f"n{i}") for i, cell in enumerate(one)])
+        .orderBy("entry")
+        .toArrow()
+    )
+    names = found.column("entry").to_pylist()
     held = np.zeros((2, FOLDS, len(names)))
-    for entry, part, toxic, n in found[["entry", "fold", "toxic", "n"]].itertuples(index=False):
-        held[toxic, part, at[entry]] = n
+    for i, (toxic, part) in enumerate(cells):
+        held[toxic, part] = found.column(f"n{i}").to_numpy()
+    del found
     words, n_words = corpus_shares(docs, text, names)
     share = words / max(1, n_words)
 
