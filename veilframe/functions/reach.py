@@ -211,34 +211,39 @@ class Automaton:
         return found
 
     def read(
-        self, text: str, separator: str, entry: int, kept: Sequence[tuple[int, int]] = ()
-    ) -> tuple[int, int, bool, int]:
-        """(first cut, last cut, carried, open) of a row's text.
-
-        ``entry`` is what may go on into the row; ``kept`` are intervals that must not be
-        cut.  Without a cut both are -1.  ``carried`` says that what came in outlives the row
-        and its separator, ``open`` is what may go on behind them.
+        self, text: str, separator: str, kept: Sequence[tuple[int, int]] = ()
+    ) -> tuple[int, int, int, bool, bool]:
+        """(first, last, entered, carried, open) of a row's text.
+
+        ``first`` and ``last`` are its outer cuts if nothing comes in over the border before
+        it, ``entered`` the first one if anything may; -1 without any.  ``kept`` are intervals
+        that are not cut.  ``carried`` says that what comes in may outlive the row and its
+        separator, ``open`` that something of its own may.
         """
-        first = last = -1
-        mine, came = 0, entry
+        first = last = entered = -1
+        mine, came = 0, self.entry
         blocked = sorted(kept)
         at_block, until = 0, -1
         for at in range(len(text) + 1):
             while at_block < len(blocked) and blocked[at_block][0] < at:
                 until = max(until, blocked[at_block][1])
                 at_block += 1
-            if not mine and not came and at >= until:
+            if not mine and at >= until:
                 last = at
                 if first < 0:
                     first = at
+                if entered < 0 and not came:
+                    entered = at
             if at < len(text):
                 char = text[at]
                 mine = self.step(mine | self.start, char)
-                came = self.step(came, char) if came else 0
+                if came:
+                    came = self.step(came, char)
         for char in separator:
             mine = self.step(mine | self.start, char)
-            came = self.step(came, char) if came else 0
-        return first, last, bool(came), mine | came
+            if came:
+                came = self.step(came, char)
+        return first, last, entered, bool(came), bool(mine)
 
 
 @cache

@@ -30,6 +30,7 @@ from ..functions.arrays import banded, empty, running_starts, touching
 from ..functions.spans import SPAN, Pattern, splice, with_new_offsets
 from ..functions.sql import Sql, col, fn, lit, struct, when
 from ..policy import Policy
+from ..session import settle
 from . import detect as detection
 from .ordered import prefix_max, prefix_sum
 from .redact import new_texts, patterns_for
@@ -186,9 +187,7 @@ def cuts_of(text: Column, kept: Column, regexes: Sequence[str], separator: str)
             for value, spans in zip(texts, intervals, strict=True):
                 value = value or ""
                 pairs = [] if spans is None else [(s["start"], s["end"]) for s in spans]
-                first, last, _, going = machine.read(value, separator, 0, pairs)
-                entered, _, carried, _ = machine.read(value, separator, machine.entry, pairs)
-                out.append((first, last, entered, carried, bool(going)))
+                out.append(machine.read(value, separator, pairs))
             yield pd.DataFrame(out, columns=["first", "last", "entered", "carried", "open"])
 
     return read(text, kept)
@@ -341,8 +340,12 @@ def _across_rows(
     # what a row's head is joined to begins in the last row before it that has a cut, or
     # behind the last closed border
     anchor = F.struct(F.col(order).alias("at"), F.col("_closed").alias("closed"))
+    # the ends are read once per block level: kept, as they are short and the texts are not
+    short = settle(
+        pieces.select(*keys, order, "_head", "_tail", "_closed", F.col("_middle").isNotNull().alias("_cut"))
+    )
     ends = prefix_max(
-        pieces.select(*keys, order, "_head", "_tail", "_closed", F.col("_middle").isNotNull().alias("_cut")),
+        short,
         keys,
         order,
         {"_unit": F.when(F.col("_cut") | F.col("_closed"), anchor)},
