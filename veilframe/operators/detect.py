@@ -332,7 +332,7 @@ MAX_INLINE_TERMS = 1000
 def dictionary(label: str, terms: Sequence[str], ignore_case: bool = False) -> Pattern:
     """Single-word dictionary: capitalised (or any) words looked up in a hash set."""
     if len(terms) > MAX_INLINE_TERMS:
-        raise ValueError("word list too long for a plan: use gazetteer_spans instead")
+        raise ValueError("word list too long for a plan: use the gazetteer instead")
     keys = [t.lower() if ignore_case else t for t in terms]
 
     def known(value: Sql, before: Sql, after: Sql) -> Sql:
@@ -356,10 +356,6 @@ def default_dictionaries() -> list[Pattern]:
     ]
 
 
-def block_matches(text: Sql, block: Mapping[str, Sequence[str]] | None) -> Sql:
-    return let(mark_safe(text), lambda safe: candidates(safe, rules(block)))
-
-
 def detect(
     text: Sql | str,
     patterns: Sequence[Pattern],
@@ -458,7 +454,6 @@ def whole_value(value: Sql, label: str) -> Sql:
 __all__ = [
     "BUILTIN",
     "aba_valid",
-    "block_matches",
     "builtin",
     "default_dictionaries",
     "detect",

@@ -7,7 +7,6 @@ error, policy_hash)``; every operation takes the stored table and returns the ne
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,10 +208,3 @@ def quarantined(results: DataFrame, error: str = "error") -> DataFrame:
     return results.withColumn(
         "status", F.when(F.col(error).isNotNull(), "Failed").otherwise(READY)
     )
-
-
-def required(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
-    return df

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import Pattern
-from ..functions.sql import col
 from ..operators import vault as vaults
 from ..operators.conversation import redact_rows
 from ..operators.redact import redact_frame
@@ -136,7 +135,6 @@ def python_detector(
 
 
 __all__ = [
-    "col",
     "python_detector",
     "redact_csv",
     "redact_files",
