@@ -537,7 +537,9 @@ _LEAD = "well then " * 30
 )
 def sentences(spark, sf_dir):
     """All labels at once on sentences whose values are known by construction."""
-    rows = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k")
+    rows = spread(
+        table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k", task_rows=2_000
+    )
     texts = F.array(
         *[
             F.struct(
@@ -550,7 +552,7 @@ def sentences(spark, sf_dir):
     )
     made = rows.select("k", F.explode(texts).alias("m")).select("k", "m.*")
     found = with_spans(made.withColumnRenamed("label", "expected"), builtin())
-    return found.select("k", "sentence", "expected", F.explode("spans").alias("s")).where(
+    return found.select("k", "sentence", "expected", reports.exploded("spans").alias("s")).where(
         "s.label = expected"
     ).select("k", "sentence", "s.start", "s.end", "s.label", "s.text")
 

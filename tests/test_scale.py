@@ -12,6 +12,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from registry import QUERIES
 from veilframe.functions.sql import col
 from veilframe.operators import chunking, markup, ordered, quality, reports, vault
 from veilframe.operators.gazetteer import gazetteer_hits, with_gazetteer
@@ -235,3 +236,8 @@ def test_moved_borders(spark):
     df = spark.createDataFrame([([0, 3, 3, 8, 8, 14], spans), ([0, 4], None)], "b array<int>, s array<struct<start:int,end:int,new_start:int,new_end:int>>")
     rows = df.select(chunking.moved_borders(col("b"), col("s")).column().alias("m")).collect()
     assert sorted(r.m for r in rows) == [[0, 4], [0, 9, 9, 12, 12, 15]]
+
+
+def test_sentences_are_searched_once(spark, sf_dir):
+    plan = QUERIES["D1_sentences"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]

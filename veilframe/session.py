@@ -40,14 +40,20 @@ def settle(df: DataFrame) -> DataFrame:
 SPREAD_MAX_SPLITS = 64
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, task_rows: int | None = None) -> DataFrame:
     """Give CPU-heavy work on a small input a task per core.
 
     Only for scans of fewer splits than cores, and of at most ``SPREAD_MAX_SPLITS``
-    (8 GB at the default split size): larger inputs are read as they lie.
+    (8 GB at the default split size): larger inputs are read as they lie.  For narrow rows
+    that cost much, ``task_rows`` bounds the rows of a task instead, whatever the splits.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(cores, SPREAD_MAX_SPLITS):
+    splits = df.rdd.getNumPartitions()
+    if task_rows is not None:
+        # files hold their number of rows: no column is read
+        wanted = max(cores, -(-df.count() // task_rows))
+        return df if splits >= wanted else df.repartition(wanted, *keys)
+    if splits >= min(cores, SPREAD_MAX_SPLITS):
         return df
     return df.repartition(cores, *keys)
 
