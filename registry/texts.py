@@ -32,6 +32,9 @@ _NUMBERS = Policy(
 )
 _NUM_TOKEN = "'NUMERIC_VALUE'"
 
+#: Small documents made of table rows: rows of a task.
+_TASK_ROWS = 100_000
+
 # --- JSON -----------------------------------------------------------------------------
 
 _NESTED = (
@@ -134,6 +137,10 @@ _XML = (
 )
 
 
+def _customers(spark, sf_dir):
+    return spread(table(spark, sf_dir, "customer"), "c_custkey", task_rows=_TASK_ROWS)
+
+
 @query(
     "T5_redact_xml",
     f"""SELECT c_custkey, '<?xml version="1.0"?><c:rec xmlns:c="urn:99"><!-- 5 --><c:id n="'
@@ -142,7 +149,7 @@ _XML = (
         || {token_sql(_NUM_TOKEN, 'CAST(c_nationkey AS VARCHAR)')} || ' B</name></c:rec>' AS redacted_text FROM customer""",
 )
 def redact_xml(spark, sf_dir):
-    df = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_XML).alias("xml"))
+    df = _customers(spark, sf_dir).select("c_custkey", F.expr(_XML).alias("xml"))
     done = markup.redact_markup(df, _NUMBERS, "xml", "c_custkey", html=False)
     return done.select("c_custkey", "redacted_text")
 
@@ -154,7 +161,7 @@ def redact_xml(spark, sf_dir):
        UNION ALL SELECT c_custkey, '/c:rec[1]/name[2]', CAST(c_nationkey AS VARCHAR), length(c_mktsegment) + 1 FROM customer""",
 )
 def xml_paths(spark, sf_dir):
-    df = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_XML).alias("xml"))
+    df = _customers(spark, sf_dir).select("c_custkey", F.expr(_XML).alias("xml"))
     done = markup.redact_markup(df, _NUMBERS, "xml", "c_custkey", html=False)
     return done.select("c_custkey", reports.exploded("spans").alias("s")).select(
         "c_custkey", "s.path", "s.text", "s.start"
@@ -253,7 +260,7 @@ def straddling(spark, sf_dir):
         seed=SEED,
         claim_off=False,
     )
-    pages = table(spark, sf_dir, "customer").select("c_custkey", F.expr(html).alias("html"))
+    pages = _customers(spark, sf_dir).select("c_custkey", F.expr(html).alias("html"))
     done = markup.redact_markup(pages, policy, "html", "c_custkey")
     return done.select("c_custkey", "redacted_text")
 

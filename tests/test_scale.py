@@ -238,6 +238,15 @@ def test_moved_borders(spark):
     assert sorted(r.m for r in rows) == [[0, 4], [0, 9, 9, 12, 12, 15]]
 
 
+# --- small documents made of table rows ---------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["T5_xml_paths", "T5_redact_xml", "T6_straddling_and_attributes"])
+def test_markup_of_a_table_in_one_split_uses_all_cores(spark, sf_dir, name):
+    done = QUERIES[name](spark, sf_dir)
+    assert done.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_sentences_are_searched_once(spark, sf_dir):
     plan = QUERIES["D1_sentences"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]

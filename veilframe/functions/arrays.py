@@ -52,9 +52,14 @@ def pieces_of(items: Sql) -> Sql:
     """An array in parts of ``PIECE``."""
     return let(
         items,
-        lambda bound: fn.transform(
-            indices(fn.size(bound), PIECE),
-            lambda i: part(bound, i, fn.least(fn.size(bound) - i, PIECE)),
+        lambda bound: when(
+            fn.size(bound) <= PIECE,
+            fn.filter(fn.array(bound), lambda whole: fn.size(whole) > 0),
+        ).otherwise(
+            fn.transform(
+                indices(fn.size(bound), PIECE),
+                lambda i: part(bound, i, fn.least(fn.size(bound) - i, PIECE)),
+            )
         ),
     )
 
@@ -71,7 +76,12 @@ def fold_piece(
         struct(state=zero, out=empty(out_type)),
         lambda acc, item: let(
             step(acc["state"], item),
-            lambda r: struct(state=r["state"], out=fn.concat(acc["out"], r["emit"])),
+            lambda r: struct(
+                state=r["state"],
+                out=when(fn.size(r["emit"]) > 0, fn.concat(acc["out"], r["emit"])).otherwise(
+                    acc["out"]
+                ),
+            ),
         ),
     )
 
@@ -143,6 +153,49 @@ def fold_emit_long(
     return let(items, fold_groups)
 
 
+def fold_some(
+    items: Sql,
+    zero: Sql,
+    step: Callable[[Sql, Sql], tuple[Sql, Sql, Sql]],
+    out_type: str,
+) -> Sql:
+    """``fold_emit_long`` of at most one row per item: ``step(state, item)`` returns the next
+    state, whether the item emits, and what.
+
+    ``let`` copies its result with all that is in it; here nothing is bound per item.
+    """
+
+    def next_of(acc: Sql, item: Sql) -> Sql:
+        state, emits, row = step(acc["state"], item)
+        return struct(
+            state=state,
+            out=when(emits, fn.concat(acc["out"], fn.array(row))).otherwise(acc["out"]),
+        )
+
+    def folded(piece: Sql, state: Sql) -> Sql:
+        return fn.aggregate(piece, struct(state=state, out=empty(out_type)), next_of)
+
+    def joined(parts: Sql, state: Sql, fold: Callable[[Sql, Sql], Sql]) -> Sql:
+        return fn.aggregate(
+            parts,
+            struct(state=state, out=empty(f"array<{out_type}>")),
+            lambda acc, part_: let(
+                fold(part_, acc["state"]),
+                lambda r: struct(
+                    state=r["state"], out=fn.concat(acc["out"], fn.array(r["out"]))
+                ),
+            ),
+            lambda acc: struct(state=acc["state"], out=fn.flatten(acc["out"])),
+        )
+
+    def whole(bound: Sql) -> Sql:
+        groups = pieces_of(pieces_of(bound))
+        long = joined(groups, zero, lambda group, state: joined(group, state, folded))["out"]
+        return when(fn.size(bound) <= PIECE, folded(bound, zero)["out"]).otherwise(long)
+
+    return let(items, whole)
+
+
 def running_starts(lengths: Sql) -> Sql:
     """Exclusive prefix sum of an int array: where each element begins."""
 

@@ -17,7 +17,7 @@ from ..functions.arrays import (
     banded,
     empty,
     fold_emit,
-    fold_emit_long,
+    fold_some,
     indices,
     let,
     part,
@@ -129,41 +129,27 @@ def reading(parts: Sql, html: bool = True) -> Sql:
     kind = "struct<seg:int,at:int,text:string>"
     numbered = fn.transform(parts, lambda p, i: struct(seg=i, kind=p["kind"], text=p["text"]))
 
-    def step(state: Sql, p: Sql) -> Sql:
-        # state: position, and whether block markup was seen since the last text
+    def step(state: Sql, p: Sql) -> tuple[Sql, Sql, Sql]:
+        # state: position, whether block markup was seen since the last text, and whether an
+        # inline tag is open that attributes have cut
         at = state["at"] + when(state["broken"] & (state["at"] > 0), 1).otherwise(0)
-        return (
-            when(
-                p["kind"] == "text",
-                struct(
-                    state=struct(at=at + fn.length(p["text"]), broken=False, closing=False),
-                    emit=fn.array(struct(seg=p["seg"], at=at, text=p["text"])),
-                ),
-            )
-            .when(
-                (p["kind"] == "inline") | (p["kind"] == "attribute"),
-                struct(state=state, emit=empty(kind)),
-            )
-            .when(
-                _inline_opening(p) if html else lit(False),
-                struct(
-                    state=struct(at=state["at"], broken=state["broken"], closing=True),
-                    emit=empty(kind),
-                ),
-            )
-            .when(
-                state["closing"] & ~p["text"].rlike("^<"),
-                struct(state=state, emit=empty(kind)),
-            )
-            .otherwise(
-                struct(
-                    state=struct(at=state["at"], broken=True, closing=False),
-                    emit=empty(kind),
-                )
-            )
+        opens = _inline_opening(p) if html else lit(False)
+        kept = p["kind"].isin(["inline", "attribute"])
+        inside = ~opens & state["closing"] & ~fn.startswith(p["text"], "<")
+        text = p["kind"] == "text"
+        after = struct(
+            at=when(text, at + fn.length(p["text"])).otherwise(state["at"]),
+            broken=when(text, False)
+            .when(kept | opens | inside, state["broken"])
+            .otherwise(True),
+            closing=when(text, False)
+            .when(kept, state["closing"])
+            .when(opens, True)
+            .otherwise(inside),
         )
+        return after, text, struct(seg=p["seg"], at=at, text=p["text"])
 
-    visible = fold_emit(numbered, struct(at=0, broken=False, closing=False), step, kind)
+    visible = fold_some(numbered, struct(at=0, broken=False, closing=False), step, kind)
 
     def attributes(v: Sql) -> Sql:
         last = fn.element_at(v["visible"], -1)
@@ -234,67 +220,66 @@ def paths(parts: Sql, html: bool = True) -> Sql:
     Every open element counts its children by name; the counts go when it closes, so a step
     costs the depth and the number of names, not the elements seen before.
     """
-    state = f"struct<stack:array<struct<step:string,counts:{_COUNTS}>>,attribute:string>"
-
-    def step(s: Sql, p: Sql) -> Sql:
-        name = fn.lower(tag_name(p["text"])) if html else tag_name(p["text"])
-        stack = s["stack"]
-        here = fn.array_join(fn.transform(stack, lambda x: x["step"]), "")
-        opening = p["text"].rlike("^<[A-Za-z_:]")
-        closing = p["text"].rlike("^</")
-        ends_empty = p["text"].rlike(r"/>\z")
-        if html:
-            ends_empty = ends_empty | (opening & name.isin(VOID))
-
-        def counted(top: Sql) -> Sql:
-            """The stack with one more child ``name`` of its top, and its number."""
-            own = fn.filter(top["counts"], lambda c: c["name"] == name)
-            nth = when(fn.size(own) > 0, own[0]["n"] + 1).otherwise(lit(1))
-            others = fn.filter(top["counts"], lambda c: c["name"] != name)
-            grown = struct(
-                step=top["step"],
-                counts=fn.concat(others, fn.array(struct(name=name, n=nth))),
-            )
-            return struct(
-                stack=fn.concat(fn.slice(stack, 1, fn.size(stack) - 1), fn.array(grown)), nth=nth
-            )
 
-        def pushed(top: Sql) -> Sql:
-            def with_child(c: Sql) -> Sql:
-                child = struct(
-                    step=fn.concat("/", name, "[", c["nth"].cast("string"), "]"),
-                    counts=empty("struct<name:string,n:int>"),
-                )
-                after = when(ends_empty, c["stack"]).otherwise(
-                    fn.concat(c["stack"], fn.array(child))
-                )
-                return struct(stack=after, attribute=_attribute_name(p["text"]))
-
-            return let(counted(top), with_child)
-
-        # the document itself is never closed
-        popped = struct(
-            stack=fn.slice(stack, 1, fn.greatest(fn.size(stack) - 1, 1)),
-            attribute=lit(None).cast("string"),
+    def move(p: Sql) -> Sql:
+        """What a segment does to the open elements."""
+        text = p["text"]
+        name = fn.lower(tag_name(text)) if html else tag_name(text)
+        ends_empty = text.rlike(r"/>\z")
+        void = ends_empty | name.isin(VOID) if html else ends_empty
+        does = (
+            when(p["kind"] == "attribute", "value")
+            .when((p["kind"] == "text") | fn.startswith(text, "="), "none")
+            .when(fn.startswith(text, "</"), "close")
+            .when(text.rlike("^<[A-Za-z_:]"), when(void, "empty").otherwise("open"))
+            .when(ends_empty, "close")
+            .otherwise("name")
+        )
+        return let(
+            does,
+            lambda d: struct(
+                does=d,
+                name=when(d.isin(["empty", "open"]), name),
+                attribute=when(d.isin(["empty", "open", "name"]), _attribute_name(text)),
+            ),
+        )
+
+    def step(s: Sql, p: Sql) -> tuple[Sql, Sql, Sql]:
+        stack, top = s["stack"], fn.element_at(s["stack"], -1)
+        own = fn.filter(top["counts"], lambda c: c["name"] == p["name"])
+        others = fn.filter(top["counts"], lambda c: c["name"] != p["name"])
+        nth = fn.coalesce(fn.get(own, 0)["n"], 0) + 1
+        grown = struct(
+            path=top["path"],
+            counts=fn.concat(others, fn.array(struct(name=p["name"], n=nth))),
+        )
+        child = struct(
+            path=fn.concat(top["path"], "/", p["name"], "[", nth.cast("string"), "]"),
+            counts=empty("struct<name:string,n:int>"),
         )
-        renamed = struct(stack=stack, attribute=_attribute_name(p["text"]))
-        after = (
-            when(_is_value(p["kind"]) | p["text"].rlike("^="), s)
-            .when(closing, popped)
-            .when(opening, let(fn.element_at(stack, -1), pushed))
-            .when(ends_empty, popped)
-            .otherwise(renamed)
+        below = fn.slice(stack, 1, fn.size(stack) - 1)
+        after = struct(
+            # the document itself is never closed
+            stack=when(p["does"].isin(["value", "none", "name"]), stack)
+            .when(p["does"] == "open", fn.concat(below, fn.array(grown, child)))
+            .when(p["does"] == "empty", fn.concat(below, fn.array(grown)))
+            .when(fn.size(stack) > 1, below)
+            .otherwise(stack),
+            attribute=when(p["does"].isin(["value", "none"]), s["attribute"]).otherwise(
+                p["attribute"]
+            ),
         )
         path = when(
-            p["kind"] == "attribute", fn.concat(here, "/@", s["attribute"])
-        ).otherwise(here)
-        return struct(state=after, emit=fn.array(path))
+            p["does"] == "value", fn.concat(top["path"], "/@", s["attribute"])
+        ).otherwise(top["path"])
+        return after, lit(True), path
 
-    document = struct(step=lit(""), counts=empty("struct<name:string,n:int>"))
+    state = f"struct<stack:array<struct<path:string,counts:{_COUNTS}>>,attribute:string>"
+    document = struct(path=lit(""), counts=empty("struct<name:string,n:int>"))
     zero = fn.named_struct(
         "stack", fn.array(document), "attribute", lit(None).cast("string")
     )
-    return fold_emit_long(parts, zero.cast(state), step, "string")
+    return fold_some(fn.transform(parts, move), zero.cast(state), step, "string")
 
 
 def _attribute_name(markup: Sql) -> Sql:
@@ -330,10 +315,10 @@ def redact_markup(
     # spans that touch a value, clipped to it; the replacement goes to the first
     starts, ends = (lambda p: p["s"]["start"]), (lambda p: p["s"]["end"])
 
-    def hits_in(place: Sql) -> Sql:
+    def hits_in(bands: Sql, place: Sql) -> Sql:
         begin, end = place["at"], place["at"] + fn.length(place["text"])
         return fn.transform(
-            touching(col("_bands"), begin, end, starts, ends),
+            touching(bands, begin, end, starts, ends),
             lambda p: struct(
                 start=fn.greatest(p["s"]["start"] - begin, 0),
                 end=fn.least(p["s"]["end"], end) - begin,
@@ -346,14 +331,17 @@ def redact_markup(
         )
 
     pairs = fn.zip_with(col("_found"), col("_news"), lambda s, n: struct(s=s, n=n))
-    found = found.withColumn("_pairs", pairs.column())
-    found = found.withColumn("_bands", banded(col("_pairs"), starts, ends).column())
-    changed = fn.filter(
-        fn.transform(
-            col("_places"),
-            lambda p: struct(seg=p["seg"], text=p["text"], hits=hits_in(p)),
+    # what lambdas use is bound: the optimizer may put the expression of a column in its place,
+    # and a lambda would evaluate that for each element
+    changed = let(
+        banded(pairs, starts, ends),
+        lambda bands: fn.filter(
+            fn.transform(
+                col("_places"),
+                lambda p: struct(seg=p["seg"], text=p["text"], hits=hits_in(bands, p)),
+            ),
+            lambda c: fn.size(c["hits"]) > 0,
         ),
-        lambda c: fn.size(c["hits"]) > 0,
     )
     found = found.withColumn("_changed", fn.array_sort(changed).column())
     rewritten = fn.transform(
@@ -373,21 +361,24 @@ def redact_markup(
         fn.array(fn.size(col("_parts"))),
     )
     found = found.withColumn("_edges", edges.column())
-    runs = fn.transform(
-        indices(fn.size(col("_edges")) - 1),
-        lambda i: fn.concat(
-            fn.array_join(
-                fn.transform(
-                    part(
-                        col("_parts"),
-                        col("_edges")[i] + 1,
-                        col("_edges")[i + 1] - col("_edges")[i] - 1,
+    runs = let(
+        struct(parts=col("_parts"), edges=col("_edges"), rewritten=col("_rewritten")),
+        lambda v: fn.transform(
+            indices(fn.size(v["edges"]) - 1),
+            lambda i: fn.concat(
+                fn.array_join(
+                    fn.transform(
+                        part(
+                            v["parts"],
+                            v["edges"][i] + 1,
+                            v["edges"][i + 1] - v["edges"][i] - 1,
+                        ),
+                        lambda p: p["text"],
                     ),
-                    lambda p: p["text"],
+                    "",
                 ),
-                "",
+                fn.coalesce(fn.get(v["rewritten"], i)["text"], ""),
             ),
-            fn.coalesce(fn.get(col("_rewritten"), i)["text"], ""),
         ),
     )
     new_document = when(
@@ -397,22 +388,25 @@ def redact_markup(
     found = found.withColumn(
         "_paths", when(fn.size(col("_found")) > 0, path_of).otherwise(empty("string")).column()
     )
-    spans = fn.flatten(
-        fn.transform(
-            col("_changed"),
-            lambda c: fn.transform(
-                fn.filter(c["hits"], lambda h: h["first"]),
-                lambda h: struct(
-                    start=h["start"],
-                    end=h["start"] + fn.length(h["text"]),
-                    label=h["label"],
-                    text=h["text"],
-                    score=h["score"],
-                    path=fn.get(col("_paths"), c["seg"]),
-                    new_text=h["new_text"],
+    spans = let(
+        col("_paths"),
+        lambda known: fn.flatten(
+            fn.transform(
+                col("_changed"),
+                lambda c: fn.transform(
+                    fn.filter(c["hits"], lambda h: h["first"]),
+                    lambda h: struct(
+                        start=h["start"],
+                        end=h["start"] + fn.length(h["text"]),
+                        label=h["label"],
+                        text=h["text"],
+                        score=h["score"],
+                        path=fn.get(known, c["seg"]),
+                        new_text=h["new_text"],
+                    ),
                 ),
-            ),
-        )
+            )
+        ),
     )
     helpers = [c for c in found.columns if c.startswith("_")]
     return found.withColumns(
