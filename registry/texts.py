@@ -52,7 +52,7 @@ _NESTED = (
        UNION ALL SELECT o_orderkey, '$.ok', 'boolean', 'true' FROM orders""",
 )
 def json_leaves(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
+    df = spread(table(spark, sf_dir, "orders"), "o_orderkey", task_rows=_TASK_ROWS).select(
         "o_orderkey", F.expr(_NESTED).alias("json")
     )
     return json_text.explode_leaves(df, "json", "o_orderkey")
@@ -64,7 +64,7 @@ def json_leaves(spark, sf_dir):
         FROM events""",
 )
 def redact_json(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "events"), "event_id").select("event_id", "props")
+    df = spread(table(spark, sf_dir, "events"), "event_id", task_rows=_TASK_ROWS).select("event_id", "props")
     done = json_text.redact_json(df, _NUMBERS, "props", "event_id")
     return done.select("event_id", "redacted_text")
 
@@ -80,7 +80,7 @@ _ORDER_DAY = token_sql("'DATE_TIME'", "CAST(o_orderkey AS VARCHAR)")
 )
 def json_path_allow(spark, sf_dir):
     """Path rules give whole values a label; the smallest of several labels wins."""
-    df = spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
+    df = spread(table(spark, sf_dir, "orders"), "o_orderkey", task_rows=_TASK_ROWS).select(
         "o_orderkey", F.expr(_NESTED).alias("json")
     )
     policy = Policy(
@@ -107,7 +107,7 @@ def json_path_allow(spark, sf_dir):
 def json_ignore_paths(spark, sf_dir):
     from dataclasses import replace
 
-    df = spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
+    df = spread(table(spark, sf_dir, "orders"), "o_orderkey", task_rows=_TASK_ROWS).select(
         "o_orderkey", F.expr(_NESTED).alias("json")
     )
     policy = replace(_NUMBERS, path_ignore=["$..key"])
@@ -122,7 +122,7 @@ def json_ignore_paths(spark, sf_dir):
          '$.k' AS path, 0 AS start FROM events""",
 )
 def json_span_paths(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "events"), "event_id").select("event_id", "props")
+    df = spread(table(spark, sf_dir, "events"), "event_id", task_rows=_TASK_ROWS).select("event_id", "props")
     done = json_text.redact_json(df, _NUMBERS, "props", "event_id")
     return done.select("event_id", reports.exploded("spans").alias("s")).select(
         "event_id", "s.label", "s.text", "s.path", "s.start"

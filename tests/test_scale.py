@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from registry import QUERIES
 from veilframe.functions.sql import col
-from veilframe.operators import chunking, markup, ordered, quality, reports, vault
+from veilframe.operators import chunking, json_text, markup, ordered, quality, reports, vault
 from veilframe.operators.gazetteer import gazetteer_hits, with_gazetteer
 from veilframe.operators.redact import redact_frame
 from veilframe.plans import jobs
@@ -247,6 +247,40 @@ def test_markup_of_a_table_in_one_split_uses_all_cores(spark, sf_dir, name):
     assert done.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize(
+    "name", ["T1_json_leaves", "T1_redact_json", "T2_json_path_allow", "T3_json_ignore_paths", "T4_json_span_paths"]
+)
+def test_rows_of_a_json_task_are_bounded(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr("registry.texts._TASK_ROWS", 40, raising=False)
+    assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 25
+
+
+def in_lambdas(df, name):
+    """Expressions of the class ``name`` inside lambdas of the optimized plan."""
+    found, plans = [], [df._jdf.queryExecution().optimizedPlan()]
+
+    def walk(e, inside):
+        kind = e.getClass().getSimpleName()
+        if inside and kind == name:
+            found.append(e.toString()[:200])
+        for i in range(e.children().size()):
+            walk(e.children().apply(i), inside or kind == "LambdaFunction")
+
+    while plans:
+        plan = plans.pop()
+        for i in range(plan.expressions().size()):
+            walk(plan.expressions().apply(i), False)
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
+def test_lambdas_hold_no_detection(spark):
+    """The optimizer may put an expression in place of its column, in a lambda once an element."""
+    policy = Policy(default="Off", config={"LAW": "Redaction"}, allow={"LAW": ["[0-9]+"]}, claim_off=False)
+    df = spark.createDataFrame([(1, '{"a": [1, "2 x", {"b": "3"}]}')], "id int, json string")
+    assert not in_lambdas(json_text.redact_json(df, policy, "json", "id").select("redacted_text"), "RegExpReplace")
+
+
 def test_sentences_are_searched_once(spark, sf_dir):
     plan = QUERIES["D1_sentences"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]

@@ -17,8 +17,9 @@ from .. import model
 from ..functions.arrays import (
     banded,
     empty,
-    fold_emit,
+    fold_some,
     indices,
+    let,
     part,
     running_starts,
     touching,
@@ -35,7 +36,10 @@ from .redact import new_texts, patterns_for
 _ESCAPE = r"(?s)\\."
 _STRING = r'"[^"]*+"'
 _NUMBER = r"-?[0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?"
-_TOKEN = rf"{_STRING}[ \t\r\n]*:|{_STRING}|{_NUMBER}|true|false|null|[\[\]{{}},]"
+_BLANK = r"[ \t\r\n]*+"
+_VALUE = rf"{_STRING}(?!{_BLANK}:)|{_NUMBER}|true|false|null|[\[\]{{}}]"
+# a value or bracket with the key before it; a key without a value stands alone
+_TOKEN = rf"((?:{_STRING}{_BLANK}:{_BLANK})?+)({_VALUE})|({_STRING}{_BLANK}:)"
 
 LEAF = "struct<path:string,kind:string,value:string,start:int,end:int>"
 
@@ -52,100 +56,113 @@ def encode(text: Sql) -> Sql:
 
 
 def _kind(token: Sql) -> Sql:
+    first = fn.left(token, 1)
     return (
-        when(fn.startswith(token, '"') & fn.endswith(token, ":"), "key")
-        .when(fn.startswith(token, '"'), "string")
-        .when(token.rlike("^[-0-9]"), "number")
-        .when(token.isin(["true", "false"]), "boolean")
-        .when(token == "null", "null")
-        .otherwise("sign")
+        when(first == '"', "string")
+        .when(first.isin(["{", "[", "}", "]", ""]), first)
+        .when(first == "n", "null")
+        .when(first.isin(["t", "f"]), "boolean")
+        .otherwise("number")
     )
 
 
+def _component(key: Sql) -> Sql:
+    """A key as a step of a path."""
+    named = when(key.rlike(r"^[\p{L}\p{N}_-]+$"), fn.concat(".", key)).otherwise(
+        fn.concat("['", key, "']")
+    )
+    return fn.coalesce(named, "")
+
+
+_STATE = "struct<end:int,here:string,base:string,at:int,up:array<struct<base:string,at:int>>>"
+
+
 def leaves(text: Sql) -> Sql:
     """Primitive values of a JSON text in document order."""
     masked = fn.regexp_replace(mark_safe(text), _ESCAPE, STANDIN * 2)
-    marked = fn.regexp_replace(masked, f"(?s)(?:{_TOKEN})", f"{MARK}$0{MARK}")
-    pieces = fn.split(marked, MARK, -1)
-
-    def tokens(v: Sql) -> Sql:
-        def token(i: Sql) -> Sql:
-            raw = when(
-                fn.contains(v["p"][i], STANDIN),
-                fn.substring(text, v["s"][i] + 1, fn.length(v["p"][i])),
-            ).otherwise(v["p"][i])
-            return struct(text=raw, start=v["s"][i], kind=_kind(v["p"][i]))
+    marked = fn.regexp_replace(masked, f"(?s)(?:{_TOKEN})", f"{MARK}$1$3{MARK}$2{MARK}")
 
-        return fn.transform(indices(fn.size(v["p"]) - 1, step=2, first=1), token)
+    def plain(literal: Sql) -> Sql:
+        return fn.substring(literal, 2, fn.length(literal) - 2)
 
-    def with_top(state: Sql, component: Sql, index: Sql) -> Sql:
-        depth = fn.size(state["path"])
-        return struct(
-            path=fn.concat(fn.slice(state["path"], 1, depth - 1), fn.array(component)),
-            at=fn.concat(fn.slice(state["at"], 1, depth - 1), fn.array(index)),
-        )
+    def tokens(pieces: Sql) -> Sql:
+        # gap, key, value, gap, key, value, ..., gap; all commas outside strings are in gaps
+        def token(i: Sql) -> Sql:
+            gap, key, value = pieces[i], pieces[i + 1], pieces[i + 2]
+            literal = fn.concat(fn.substring_index(key, '"', 2), '"')
+            bare = let(plain(literal), _component)
+            return struct(
+                gap=fn.length(gap),
+                commas=fn.length(gap) - fn.length(fn.replace(gap, ",", "")),
+                escaped=fn.contains(key, STANDIN),
+                key=when(fn.contains(key, STANDIN), literal).when(key != "", bare),
+                begin=fn.length(gap) + fn.length(key),
+                size=fn.length(value),
+                kind=_kind(value),
+                value=value,
+            )
 
-    def pushed(state: Sql, component: str, index: int) -> Sql:
-        return struct(
-            path=fn.concat(state["path"], fn.array(lit(component))),
-            at=fn.concat(state["at"], fn.array(lit(index))),
+        return fn.transform(indices(fn.size(pieces) - 1, step=3), token)
+
+    def original(literal: Sql, start: Sql) -> Sql:
+        return decode(fn.substring(text, start + 1, fn.length(literal)))
+
+    def step(state: Sql, t: Sql) -> tuple[Sql, Sql, Sql]:
+        # state: where the next gap begins, the path here, that of the open container, the
+        # index in it (-1: an object), and path and index of the containers around it.
+        # One case per field: binding the new state would copy all of it at every token.
+        depth = fn.size(state["up"])
+        inside = depth > 0
+        keyed = t["key"].is_not_null() & inside
+        counted = (t["commas"] > 0) & (state["at"] >= 0)
+        key = when(
+            t["escaped"],
+            let(original(t["key"], state["end"] + t["gap"]), _component),
+        ).otherwise(t["key"])
+        at = when(keyed, -1).when(counted, state["at"] + t["commas"]).otherwise(state["at"])
+        here = (
+            when(keyed, fn.concat(state["base"], key))
+            .when(
+                counted,
+                fn.concat(state["base"], "[", (state["at"] + t["commas"]).cast("string"), "]"),
+            )
+            .otherwise(state["here"])
         )
-
-    def step(state: Sql, t: Sql) -> Sql:
-        depth = fn.size(state["path"])
-        top = fn.get(state["at"], depth - 1)
-        key = decode(fn.regexp_replace(t["text"], "[ \\t\\r\\n]*:\\z", ""))
-        component = when(
-            key.rlike(r"^[\p{L}\p{N}_-]+$"), fn.concat(".", key)
-        ).otherwise(fn.concat("['", key, "']"))
-        popped = struct(
-            path=fn.slice(state["path"], 1, fn.greatest(depth - 1, 0)),
-            at=fn.slice(state["at"], 1, fn.greatest(depth - 1, 0)),
+        opens, closes = t["kind"].isin(["{", "["]), t["kind"].isin(["}", "]"]) & inside
+        outer = fn.element_at(state["up"], -1)
+        after = struct(
+            end=state["end"] + t["begin"] + t["size"],
+            here=when(t["kind"] == "[", fn.concat(here, "[0]"))
+            .when(closes, state["base"])
+            .otherwise(here),
+            base=when(opens, here).when(closes, outer["base"]).otherwise(state["base"]),
+            at=when(t["kind"] == "{", -1)
+            .when(t["kind"] == "[", 0)
+            .when(closes, outer["at"])
+            .otherwise(at),
+            up=when(
+                opens, fn.concat(state["up"], fn.array(struct(base=state["base"], at=at)))
+            )
+            .when(closes, fn.slice(state["up"], 1, depth - 1))
+            .otherwise(state["up"]),
         )
-        following = when(
-            top >= 0,
-            with_top(
-                state,
-                fn.concat("[", (top + 1).cast("string"), "]"),
-                top + 1,
-            ),
-        ).otherwise(state)
-        after = (
-            when((t["kind"] == "key") & (depth > 0), with_top(state, component, lit(-1)))
-            .when(t["text"] == "{", pushed(state, "", -1))
-            .when(t["text"] == "[", pushed(state, "[0]", 0))
-            .when(t["text"].isin(["}", "]"]), popped)
-            .when(t["text"] == ",", following)
-            .otherwise(state)
+        begin = state["end"] + t["begin"]
+        string = when(fn.contains(t["value"], STANDIN), original(t["value"], begin)).otherwise(
+            plain(t["value"])
         )
         leaf = struct(
-            path=fn.concat("$", fn.array_join(state["path"], "")),
+            path=here,
             kind=t["kind"],
-            value=when(t["kind"] == "string", decode(t["text"]))
+            value=when(t["kind"] == "string", string)
             .when(t["kind"] == "null", lit(None).cast("string"))
-            .otherwise(t["text"]),
-            start=t["start"],
-            end=t["start"] + fn.length(t["text"]),
-        )
-        emits = t["kind"].isin(["string", "number", "boolean", "null"])
-        return struct(
-            state=after, emit=when(emits, fn.array(leaf)).otherwise(empty(LEAF))
+            .otherwise(t["value"]),
+            start=begin,
+            end=begin + t["size"],
         )
+        return after, t["kind"].isin(["string", "number", "boolean", "null"]), leaf
 
-    zero = struct(path=empty("string"), at=empty("int"))
-    bound = fn.element_at(
-        fn.transform(
-            fn.array(
-                struct(
-                    p=pieces,
-                    s=running_starts(fn.transform(pieces, lambda x: fn.length(x))),
-                )
-            ),
-            tokens,
-        ),
-        1,
-    )
-    return fold_emit(bound, zero, step, LEAF)
+    zero = struct(end=0, here="$", base="$", at=-1, up=fn.array()).cast(_STATE)
+    return fold_some(let(fn.split(marked, MARK, -1), tokens), zero, step, LEAF)
 
 
 def path_regex(path: str) -> str:
@@ -236,12 +253,11 @@ def redact_json(
     )
 
     starts, ends = (lambda s: s["start"]), (lambda s: s["end"])
-    found = found.withColumn("_bands", banded(col("_spans"), starts, ends).column())
 
-    def own_spans(leaf: Sql, begin: Sql) -> Sql:
+    def own_spans(bands: Sql, leaf: Sql, begin: Sql) -> Sql:
         end = begin + fn.length(leaf["value"])
         inside = fn.filter(
-            touching(col("_bands"), begin, end, starts, ends),
+            touching(bands, begin, end, starts, ends),
             lambda s: (s["start"] >= begin) & (s["end"] <= end),
         )
         detected = fn.transform(
@@ -272,14 +288,18 @@ def redact_json(
             .otherwise(detected)
         )
 
-    hits = fn.filter(
-        fn.zip_with(
-            col("_leaves"),
-            col("_at"),
-            lambda leaf, at: struct(leaf=leaf, spans=policy.keep(own_spans(leaf, at))),
-        ),
-        lambda h: fn.size(h["spans"]) > 0,
-    )
+    def hits_in(bands: Sql) -> Sql:
+        return fn.filter(
+            fn.zip_with(
+                col("_leaves"),
+                col("_at"),
+                lambda leaf, at: struct(leaf=leaf, spans=policy.keep(own_spans(bands, leaf, at))),
+            ),
+            lambda h: fn.size(h["spans"]) > 0,
+        )
+
+    # bound: in a lambda the optimizer may put the detection itself in place of its column
+    hits = let(banded(col("_spans"), starts, ends), hits_in)
     found = found.withColumn("_hits", hits.column())
     document = col(key) if key else None
     found = found.withColumn(
@@ -288,8 +308,8 @@ def redact_json(
     counts = fn.transform(col("_hits"), lambda h: fn.size(h["spans"]))
     found = found.withColumn("_first", running_starts(counts).column())
 
-    def rewritten(h: Sql, i: Sql) -> Sql:
-        news = part(col("_news"), col("_first")[i], fn.size(h["spans"]))
+    def rewritten(v: Sql, h: Sql, i: Sql) -> Sql:
+        news = part(v["news"], v["first"][i], fn.size(h["spans"]))
         value = splice(h["leaf"]["value"], h["spans"], news)
         number = h["leaf"]["kind"] == "number"
         keeps = number & value.rlike(r"^-?(?:0|[1-9][0-9]*)(?:[.][0-9]+)?$")
@@ -299,7 +319,11 @@ def redact_json(
             text=when(keeps, value).otherwise(encode(value)),
         )
 
-    found = found.withColumn("_changes", fn.transform(col("_hits"), rewritten).column())
+    changes = let(
+        struct(news=col("_news"), first=col("_first")),
+        lambda v: fn.transform(col("_hits"), lambda h, i: rewritten(v, h, i)),
+    )
+    found = found.withColumn("_changes", changes.column())
     out = splice(
         col(text), col("_changes"), fn.transform(col("_changes"), lambda c: c["text"])
     )
