@@ -202,6 +202,14 @@ def running_starts(lengths: Sql) -> Sql:
     def add(total: Sql, size: Sql) -> Sql:
         return total + size
 
+    def within(piece: Sql, first: Sql) -> Sql:
+        summed = fn.aggregate(
+            piece,
+            fn.array(first),
+            lambda acc, size: fn.concat(acc, fn.array(fn.element_at(acc, -1) + size)),
+        )
+        return fn.slice(summed, 1, fn.size(piece))
+
     def starts_of(v: Sql) -> Sql:
         totals = fn.transform(v, lambda p: fn.aggregate(p, lit(0), add))
         bases = fold_emit(
@@ -211,19 +219,14 @@ def running_starts(lengths: Sql) -> Sql:
             "int",
         )
 
-        def within(piece: Sql, first: Sql) -> Sql:
-            summed = fn.aggregate(
-                piece,
-                fn.array(first),
-                lambda acc, size: fn.concat(
-                    acc, fn.array(fn.element_at(acc, -1) + size)
-                ),
-            )
-            return fn.slice(summed, 1, fn.size(piece))
-
         return fn.flatten(fn.zip_with(v, bases, within))
 
-    return let(pieces_of(lengths), starts_of)
+    def starts(bound: Sql) -> Sql:
+        return when(fn.size(bound) <= PIECE, within(bound, lit(0))).otherwise(
+            let(pieces_of(bound), starts_of)
+        )
+
+    return let(lengths, starts)
 
 
 def chars(text: Sql) -> Sql:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 
-from .arrays import PIECE, banded, empty, fold_emit, indices, let, part, running_starts, touching
+from .arrays import PIECE, banded, empty, fold_emit, fold_some, indices, let, part, running_starts, touching
 from .sql import Sql, fn, lit, struct, when
 
 CANDIDATE = "struct<start:int,neg_end:int,neg_score:double,label:string,text:string>"
@@ -185,15 +185,14 @@ def candidates(text: Sql, patterns: list[Pattern]) -> Sql:
 def resolve(found: Sql) -> Sql:
     """Keep non-overlapping candidates: leftmost, then longest, then best score."""
 
-    def keep(last_end: Sql, c: Sql) -> Sql:
-        return when(
-            c["start"] >= last_end, struct(state=-c["neg_end"], emit=fn.array(c))
-        ).otherwise(struct(state=last_end, emit=empty(CANDIDATE)))
+    def keep(last_end: Sql, c: Sql) -> tuple[Sql, Sql, Sql]:
+        free = c["start"] >= last_end
+        return when(free, -c["neg_end"]).otherwise(last_end), free, c
 
     def disjoint(bound: Sql) -> Sql:
         return when(
             fn.size(bound) > 1,
-            fold_emit(fn.array_sort(bound), lit(0), keep, CANDIDATE),
+            fold_some(fn.array_sort(bound), lit(0), keep, CANDIDATE),
         ).otherwise(bound)
 
     return let(fn.filter(found, lambda c: -c["neg_end"] > c["start"]), disjoint)
