@@ -34,6 +34,8 @@ _NUM_TOKEN = "'NUMERIC_VALUE'"
 
 #: Small documents made of table rows: rows of a task.
 _TASK_ROWS = 100_000
+#: Rows of a file of a stream: its micro-batches are cut in a task per file or a few.
+_STREAM_ROWS = 2_000
 
 # --- JSON -----------------------------------------------------------------------------
 
@@ -661,8 +663,9 @@ def stream_conversations(spark, sf_dir):
         "text",
         F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, turn)").alias("ts"),
     )
-    batch = F.pmod(F.xxhash64("turn", "conv_id"), F.lit(4))
-    turns.repartition(4, batch).write.parquet(f"{folder}/in")
+    # files hold their number of rows: no column is read
+    files = max(1, -(-turns.count() // (4 * _STREAM_ROWS)))
+    turns.repartition(4 * files, F.xxhash64("turn", "conv_id")).write.parquet(f"{folder}/in")
     # a row that moves the watermark beyond all others closes the conversations
     spark.sql(
         "SELECT CAST(null AS bigint) AS conv_id, 0L AS turn, '' AS text, timestamp'2025-01-01' AS ts"
@@ -673,7 +676,7 @@ def stream_conversations(spark, sf_dir):
     try:
         source = (
             spark.readStream.schema(turns.schema)
-            .option("maxFilesPerTrigger", 1)
+            .option("maxFilesPerTrigger", files)
             .parquet(f"{folder}/in")
             .withWatermark("ts", "1 day")
         )

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import random
 import tempfile
+from collections import Counter
+from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from registry import texts
+from veilframe import session
 from veilframe.operators import conversation
 from veilframe.policy import Policy
 from veilframe.streaming import conversations
@@ -110,3 +117,150 @@ def test_patterns_that_need_whole_groups_are_refused(spark):
     df = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError, match="whole groups"):
         conversations.redact_conversations(df, policy, ["conv_id"], "turn", "ts")
+
+
+class Store:
+    """A state store in memory that counts the calls: in a job each is a message."""
+
+    def __init__(self):
+        self.calls, self.value, self.entries, self.timers = Counter(), None, {}, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def getMapState(self, name, key, schema):  # noqa: N802
+        return Entries(self)
+
+    def get(self):
+        self.calls["get"] += 1
+        return self.value
+
+    def update(self, value):
+        self.calls["update"] += 1
+        self.value = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls["timer"] += 1
+        self.timers.append(at)
+
+
+class Entries:
+    def __init__(self, store):
+        self.store = store
+
+    def call(self, do, *given):
+        self.store.calls["entries"] += 1
+        return do(*given)
+
+    def containsKey(self, key):  # noqa: N802
+        return self.call(self.store.entries.__contains__, key)
+
+    def getValue(self, key):  # noqa: N802
+        return self.call(self.store.entries.get, key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.call(self.store.entries.__setitem__, key, value)
+
+    def removeKey(self, key):  # noqa: N802
+        self.call(self.store.entries.pop, key)
+
+    def keys(self):
+        return self.call(lambda: list(self.store.entries))
+
+
+class Times:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+
+def processor(store):
+    ends = conversations._Ends(["g"], "n", 100, 0)
+    ends.init(store)
+    return ends
+
+
+def visit(ends, numbers, watermark=0):
+    """Rows of one word each, whose ends are open to both sides and meet their neighbours."""
+    rows = [
+        Row(g="a", n=n, event_ms=n, head=f'{{"text":"h{n}"}}', middle=f'{{"text":"m{n}"}}', tail=f'{{"text":"t{n}"}}', closed=False)
+        for n in numbers
+    ]
+    return shown(ends.handleInputRows(("a",), iter(rows), Times(watermark)))
+
+
+def shown(units):
+    return [(" ".join(p["piece"]["text"] for p in json.loads(u.rows)), u.late) for u in units]
+
+
+def test_a_visit_reads_and_writes_one_value():
+    store = Store()
+    ends = processor(store)
+    found = visit(ends, [5, 1]) + visit(ends, [3, 0]) + visit(ends, [7, 2]) + visit(ends, [4, 6])
+    assert sorted(found) == sorted(
+        [("h0", False), *[(f"t{n} h{n + 1}", False) for n in range(7)], *[(f"m{n}", False) for n in range(8)]]
+    )
+    assert store.calls == {"get": 4, "update": 4, "timer": 1}
+
+
+@pytest.mark.parametrize("held", [10_000, 40])
+def test_rows_that_wait_in_great_number(monkeypatch, held):
+    monkeypatch.setattr(conversations, "HELD_ROWS", held)
+    store = Store()
+    ends = processor(store)
+    numbers = [n for n in range(300) if n not in (0, 200)]
+    random.Random(7).shuffle(numbers)
+    found = visit(ends, numbers)
+    assert len(store.entries) == len(numbers) - conversations.WAITING_ROWS
+    assert len(json.loads(store.value[0])[-1]) == conversations.WAITING_ROWS
+    assert visit(ends, [250, 0, 0])[:3] == [("m250", True), ("h250", True), ("t250", True)]
+    assert json.loads(store.value[0])[0] == 200  # the next row
+    assert len(store.entries) + len(json.loads(store.value[0])[-1]) == 99
+    due = json.loads(store.value[0])[1]
+    found += shown(ends.handleExpiredTimer(("a",), Times(due), None))
+    # over the gap the ends are joined when the group is closed
+    assert ("t199 h201", False) in found and ("t299", False) in found
+    assert not store.entries and json.loads(store.value[0])[3:] == [0, [], []]
+    assert visit(ends, [200], due) == [("m200", True), ("h200", True), ("t200", True)]
+
+
+def test_a_timer_that_fires_early_is_set_again():
+    store = Store()
+    ends = processor(store)
+    visit(ends, [0])
+    visit(ends, [50])
+    visit(ends, [2])  # older than the last row: the group stays open for that
+    assert store.timers == [100]
+    assert not shown(ends.handleExpiredTimer(("a",), Times(120), None)) and store.timers == [100, 150]
+    assert shown(ends.handleExpiredTimer(("a",), Times(150), None)) == [("t0 h2", False), ("t2 h50", False), ("t50", False)]
+    visit(ends, [51], 150)
+    assert store.timers == [100, 150, 250]
+
+
+def test_a_long_conversation_in_shuffled_batches(spark):
+    said = F.when(F.col("id") % 2 == 1, "lee Done.").when(F.col("id") % 3 == 0, "Said ann and more").otherwise("Said ann")
+    rows = spark.range(180).select(
+        F.lit(2**53 + 1).alias("conv_id"),
+        F.col("id").alias("turn"),
+        said.alias("text"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"),
+    )
+    part = F.pmod(F.xxhash64("turn"), F.lit(3))
+    pieces = run(spark, [*[rows.where(part == i) for i in range(3)], end(spark)])
+    assert not pieces.where("late").count()
+    want = batch(spark, rows)
+    assert streamed(pieces) == want and sum(len(spans) for _, spans in want.values()) > 100
+
+
+def test_micro_batches_of_the_query_are_files_of_bounded_rows(spark, sf_dir, monkeypatch):
+    folder = Path(session.checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("veilframe-stream-*"))
+    monkeypatch.setattr(texts, "_STREAM_ROWS", 8)
+    done = texts.stream_conversations(spark, sf_dir)
+    assert done.count() == spark.read.parquet(f"{sf_dir}/conversations.parquet").count()
+    (used,) = set(folder.glob("veilframe-stream-*")) - before
+    log = [line for f in (used / "checkpoint/sources/0").iterdir() if f.name.isdigit() for line in f.read_text().splitlines()[1:]]
+    read = Counter(json.loads(line)["batchId"] for line in log)
+    assert [read[at] for at in sorted(read)] == [3, 3, 3, 3, 1]

@@ -7,6 +7,10 @@ open, the ends of rows that came before their turn, and the number of the next r
 the texts of the conversation.  A timer of the group closes what is left when its last row is
 ``delay`` of event time old.
 
+Every call to the state store is a message between processes, so what a group needs at each
+visit is one value: it is read once and written once, whatever the number of rows.  Only rows
+that wait in great number lie in entries of their own.
+
 Pieces come out as soon as they are safe, so a row is complete when its pieces make up its
 length (``assembled``).  Rows that come after their place was closed are redacted by
 themselves and marked ``late``.
@@ -16,9 +20,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -31,105 +35,167 @@ from ..policy import Policy
 
 #: What holds the state: timers need a store of this kind.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_SPANS = f"array<{SPAN}>"
-_ROWS = "array<struct<order:bigint,begin:int,text:string,spans:string>>"
+_ROWS = f"array<struct<order:bigint,piece:struct<begin:int,text:string,spans:array<{SPAN}>>>>"
 _UNIT = "rows string, late boolean"
+#: Rows of a group that wait in its value; more lie in entries of their own.
+WAITING_ROWS = 32
+#: Their characters.
+WAITING_CHARS = 64_000
+#: Rows of a group that are held in memory before they go to the store.
+HELD_ROWS = 10_000
+
+
+@dataclass
+class _Row:
+    """What a row leaves to its group: its ends as JSON, whether a cut lies between them, and
+    whether nothing goes out over the border behind the row."""
+
+    head: str
+    tail: str | None
+    cut: bool
+    closed: bool
+
+    def chars(self) -> int:
+        return len(self.head) + len(self.tail or "")
+
+    def values(self) -> list:
+        return [self.head, self.tail, self.cut, self.closed]
+
+
+@dataclass
+class _Group:
+    """What is kept of a group."""
+
+    #: number of the next row
+    following: int
+    #: when the group is closed, and the timer that is set, at that time or before
+    due: int = 0
+    timer: int | None = None
+    #: rows that wait in entries of their own
+    stored: int = 0
+    #: the joined ends that are still open
+    opened: list[str] = field(default_factory=list)
+    #: ends of rows whose turn has not come, by their number
+    waiting: dict[int, _Row] = field(default_factory=dict)
 
+    @classmethod
+    def read(cls, value: str) -> _Group:
+        *numbers, opened, waiting = json.loads(value)
+        return cls(*numbers, opened, {order: _Row(*row) for order, *row in waiting})
 
-def _piece(begin, text, spans) -> dict | None:
-    return None if text is None else {"begin": int(begin), "text": text, "spans": spans}
+    def text(self) -> str:
+        waiting = [[order, *row.values()] for order, row in self.waiting.items()]
+        return json.dumps([self.following, self.due, self.timer, self.stored, self.opened, waiting])
+
+    def take(self, row: _Row) -> Iterator[str]:
+        """The units that the next row closes."""
+        self.opened.append(_placed(self.following, row.head))
+        if row.cut or row.closed:
+            yield _unit(self.opened)
+            self.opened = []
+        if row.tail is not None:
+            self.opened.append(_placed(self.following, row.tail))
+        self.following += 1
+
+
+def _placed(order: int, piece: str) -> str:
+    return f'{{"order":{order},"piece":{piece}}}'
+
+
+def _unit(pieces: Sequence[str]) -> str:
+    return f"[{','.join(pieces)}]"
 
 
 class _Ends(StatefulProcessor):
     """Puts the ends of a group's rows together in their order."""
 
     def __init__(self, keys: Sequence[str], order: str, delay_ms: int, first: int):
-        self.keys, self.order, self.delay_ms, self.first = list(keys), order, delay_ms, first
+        self.order, self.delay_ms, self.first = order, delay_ms, first
+        self.row = Row(*keys, "rows", "late")
 
     def init(self, handle) -> None:
         self.handle = handle
         number = StructType([StructField("value", LongType())])
         text = StructType([StructField("value", StringType())])
-        self.next = handle.getValueState("next", number)
-        self.timer = handle.getValueState("timer", number)
-        #: the joined ends that are still open
-        self.open = handle.getListState("open", text)
-        #: ends of rows whose turn has not come, by their number
+        self.group = handle.getValueState("group", text)
         self.waiting = handle.getMapState("waiting", number, text)
 
-    def _frame(self, key, units: list[tuple[list[dict], bool]]) -> pd.DataFrame:
-        columns = {name: pd.Series([key[at]] * len(units), dtype=object) for at, name in enumerate(self.keys)}
-        columns["rows"] = pd.Series([json.dumps(u) for u, _ in units], dtype=object)
-        columns["late"] = pd.Series([late for _, late in units], dtype=bool)
-        return pd.DataFrame(columns)
-
-    def _taken(self, row: dict, order: int, opened: list[dict]) -> Iterator[list[dict]]:
-        """The units that a row closes; ``opened`` becomes what it leaves open."""
-        opened.append({"order": order, **row["head"]})
-        if row["cut"] or row["closed"]:
-            yield list(opened)
-            opened.clear()
-        if row["tail"] is not None:
-            opened.append({"order": order, **row["tail"]})
+    def _read(self) -> _Group:
+        stored = self.group.get()
+        return _Group(self.first) if stored is None else _Group.read(stored[0])
+
+    def _waits(self, group: _Group, order: int) -> bool:
+        return order in group.waiting or (group.stored > 0 and self.waiting.containsKey((order,)))
+
+    def _waited(self, group: _Group, order: int) -> _Row | None:
+        """The row of this number if it waits, which it then no longer does."""
+        if order in group.waiting or not group.stored:
+            return group.waiting.pop(order, None)
+        value = self.waiting.getValue((order,))
+        if value is None:
+            return None
+        self.waiting.removeKey((order,))
+        group.stored -= 1
+        return _Row(*json.loads(value[0]))
+
+    def _store(self, group: _Group) -> None:
+        """Leaves the next rows to the group's value, within the bounds, and stores the others."""
+        rows, chars = WAITING_ROWS, WAITING_CHARS
+        for order in sorted(group.waiting):
+            rows, chars = rows - 1, chars - group.waiting[order].chars()
+            if rows < 0 or chars < 0:
+                row = group.waiting.pop(order)
+                self.waiting.updateValue((order,), (json.dumps(row.values()),))
+                group.stored += 1
 
     def handleInputRows(self, key, rows, timerValues):
-        units: list[tuple[list[dict], bool]] = []
-        opened = [json.loads(x[0]) for x in self.open.get()] if self.open.exists() else []
-        following = self.next.get()[0] if self.next.exists() else self.first
-        newest = 0
-        for frame in rows:
-            for r in frame.to_dict("records"):
-                order = int(r[self.order])
-                newest = max(newest, int(r["event_ms"]))
-                middle = _piece(r["middle_begin"], r["middle"], r["middle_spans"])
-                row = {
-                    "head": _piece(0, r["head"], r["head_spans"]),
-                    "tail": _piece(r["tail_begin"], r["tail"], r["tail_spans"]),
-                    "closed": bool(r["closed"]),
-                    "cut": middle is not None,
-                }
-                late = order < following or self.waiting.containsKey((order,))
-                if middle is not None:
-                    units.append(([{"order": order, **middle}], late))
-                if not late:
-                    self.waiting.updateValue((order,), (json.dumps(row),))
-                    continue
-                for end in (row["head"], row["tail"]):
+        group = self._read()
+        newest = timerValues.getCurrentWatermarkInMs()
+        for r in rows:
+            order = r[self.order]
+            newest = max(newest, r["event_ms"])
+            row = _Row(r["head"], r["tail"], r["middle"] is not None, r["closed"])
+            late = order < group.following or self._waits(group, order)
+            if row.cut:
+                yield self.row(*key, _unit([_placed(order, r["middle"])]), late)
+            if late:
+                for end in (row.head, row.tail):
                     if end is not None:
-                        units.append(([{"order": order, **end}], True))
-        while self.waiting.containsKey((following,)):
-            row = json.loads(self.waiting.getValue((following,))[0])
-            self.waiting.removeKey((following,))
-            units += [(unit, False) for unit in self._taken(row, following, opened)]
-            following += 1
-        self._keep(following, opened)
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-        due = max(newest, timerValues.getCurrentWatermarkInMs()) + self.delay_ms
-        self.timer.update((due,))
-        self.handle.registerTimer(due)
-        yield self._frame(key, units)
+                        yield self.row(*key, _unit([_placed(order, end)]), True)
+                continue
+            group.waiting[order] = row
+            if len(group.waiting) >= HELD_ROWS:
+                yield from self._drained(key, group)
+                self._store(group)
+        yield from self._drained(key, group)
+        self._store(group)
+        # a timer that is set stays; if it fires before the group is due, it is set again
+        group.due = max(group.due, newest + self.delay_ms)
+        if group.timer is None:
+            group.timer = group.due
+            self.handle.registerTimer(group.timer)
+        self.group.update((group.text(),))
+
+    def _drained(self, key, group: _Group) -> Iterator[Row]:
+        while (row := self._waited(group, group.following)) is not None:
+            for unit in group.take(row):
+                yield self.row(*key, unit, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        units: list[tuple[list[dict], bool]] = []
-        opened = [json.loads(x[0]) for x in self.open.get()] if self.open.exists() else []
-        following = self.next.get()[0] if self.next.exists() else self.first
-        for order in sorted(k[0] for k in self.waiting.keys()):
-            row = json.loads(self.waiting.getValue((order,))[0])
-            self.waiting.removeKey((order,))
-            units += [(unit, False) for unit in self._taken(row, order, opened)]
-            following = order + 1
-        if opened:
-            units.append((opened, False))
-        self._keep(following, [])
-        self.timer.clear()
-        yield self._frame(key, units)
-
-    def _keep(self, following: int, opened: list[dict]) -> None:
-        self.next.update((following,))
-        self.open.clear()
-        if opened:
-            self.open.put([(json.dumps(x),) for x in opened])
+        group = self._read()
+        if group.due > timerValues.getCurrentWatermarkInMs():
+            group.timer = group.due
+            self.handle.registerTimer(group.timer)
+        else:
+            stored = [k[0] for k in self.waiting.keys()] if group.stored else []
+            for order in sorted([*group.waiting, *stored]):
+                group.following = order
+                for unit in group.take(self._waited(group, order)):
+                    yield self.row(*key, unit, False)
+            if group.opened:
+                yield self.row(*key, _unit(group.opened), False)
+            group = _Group(group.following)
+        self.group.update((group.text(),))
 
     def close(self) -> None:
         pass
@@ -171,21 +237,13 @@ def redact_conversations(
         *keys,
         event_time,
         F.col(order).cast("bigint").alias(order),
-        *[
-            column
-            for name in ("head", "middle", "tail")
-            for column in (
-                F.col(f"_{name}.begin").alias(f"{name}_begin"),
-                F.col(f"_{name}.text").alias(name),
-                F.to_json(f"_{name}.spans").alias(f"{name}_spans"),
-            )
-        ],
+        *[F.to_json(f"_{name}").alias(name) for name in ("head", "middle", "tail")],
         F.col("_closed").alias("closed"),
         F.unix_millis(event_time).alias("event_ms"),
     )
     seconds = stream.sparkSession.sql(f"SELECT CAST(INTERVAL {delay} AS INTERVAL SECOND) AS s").first().s
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema if f.name in keys]
-    units = ends.groupBy(*keys).transformWithStateInPandas(
+    units = ends.groupBy(*keys).transformWithState(
         _Ends(keys, order, int(seconds.total_seconds() * 1000), first),
         ", ".join([*kinds, _UNIT]),
         "Append",
@@ -194,9 +252,9 @@ def redact_conversations(
     known = fn.transform(
         fn.from_json(col("rows"), lit(_ROWS)),
         lambda r: struct(
-            ord=struct(order=r["order"], begin=r["begin"]),
-            text=r["text"],
-            spans=fn.from_json(r["spans"], lit(_SPANS)),
+            ord=struct(order=r["order"], begin=r["piece"]["begin"]),
+            text=r["piece"]["text"],
+            spans=r["piece"]["spans"],
         ),
     )
     document = fn.concat_ws("|", *[col(k).cast("string") for k in keys])
