@@ -666,6 +666,8 @@ def stream_conversations(spark, sf_dir):
     # files hold their number of rows: no column is read
     files = max(1, -(-turns.count() // (4 * _STREAM_ROWS)))
     turns.repartition(4 * files, F.xxhash64("turn", "conv_id")).write.parquet(f"{folder}/in")
+    # counted, as the session may deal the rows to more files than asked for
+    files = max(1, -(-len(spark.read.parquet(f"{folder}/in").inputFiles()) // 4))
     # a row that moves the watermark beyond all others closes the conversations
     spark.sql(
         "SELECT CAST(null AS bigint) AS conv_id, 0L AS turn, '' AS text, timestamp'2025-01-01' AS ts"
