@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from functools import cache
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -134,6 +136,52 @@ def test_byte_tokens_of_all_characters(sides):
     assert all(side.encode_all(t) == f.ids for t, f in zip(texts, found, strict=True))
 
 
+def test_cells_do_not_grow_with_the_block(spark, sf_dir):
+    df = queries.table(spark, sf_dir, "documents").coalesce(1)
+    rows = token_alignment.blocks(df, JSON, MODEL).collect()
+    longest = max(len(r["text"] or "") for r in df.collect())
+    assert max(len(cell) for r in rows for cell in r if hasattr(cell, "__len__")) <= longest
+    lists = sorted((r for r in rows if r["pairs"] is not None), key=lambda r: (r["block"], r["first"]))
+    assert len(lists) > 1 and len(rows) - len(lists) == df.count()
+    for r, after in zip(lists, lists[1:]):
+        if r["block"] == after["block"]:
+            assert r["first"] + len(r["pairs"]) == after["first"] and r["pairs"][-1] < after["pairs"][0]
+
+
+def test_blocks_of_any_part_are_equal():
+    side_a = token_alignment._side(token_alignment.ByteTokens, JSON)
+    side_b = token_alignment._side(token_alignment.PieceTokens, MODEL)
+    texts = ["", "a▁b", "one two  three", "", "überall 漢字 " * 40, *strange_texts(300), "x" * 3000, " "]
+    whole = token_alignment.block_of(texts, side_a, side_b, 10**9)
+    assert sum(map(bool, whole.shas)) > 40
+    for most in (1, 7, 100, 5000):
+        found = token_alignment.block_of(texts, side_a, side_b, most)
+        for name, want in vars(whole).items():
+            assert np.array_equal(getattr(found, name), want), (most, name)
+
+
+def test_memory_of_a_part_is_bounded():
+    side_a = token_alignment._side(token_alignment.ByteTokens, JSON)
+    side_b = token_alignment._side(token_alignment.PieceTokens, MODEL)
+    text = " ".join(random.Random(5).choices(["one", "überall", "1234", "alignment", "x-y"], k=150_000))
+
+    def peak(most):
+        tracemalloc.start()
+        token_alignment.block_of([text], side_a, side_b, most)
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found
+
+    assert peak(token_alignment.PART_TOKENS) < 0.6 * peak(10**9)
+
+
+def test_packed_numbers():
+    for most in (0, 1, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**62):
+        values = np.array([0, most, most // 2], np.int64)
+        assert token_alignment.unpacked(token_alignment.packed(values, most)).tolist() == values.tolist()
+    assert token_alignment.unpacked(token_alignment.packed(np.zeros(0, np.int64), 0)).tolist() == []
+
+
 def test_clashing_columns_and_empty_table(spark, sides):
     assert results(token_alignment.align(clashing(spark), JSON, MODEL)) == brute(ROWS, sides)
     assert token_alignment.align(docs(spark, []), JSON, MODEL).columns == FIELDS

@@ -11,11 +11,17 @@ group ends; tokens of one group are linked.  Groups with one token on a side are
 overlaps; in the others the distinct ids of both sides are paired, with their numbers of
 occurrences, so a group is never spelled out pair by pair.
 
-A batch of documents is a block: one row with the block's distinct id pairs, the documents
-that hold each, and every document's pairs as places in that list.  Only the lists are
-shuffled: they are added up by pair, the highest count of an A id is found among its pairs
-(at most B's vocabulary), and both go back to the blocks by pair, hot ones in place.  A block
-is one row before and after, bounded by the batch that made it.
+A batch of documents is a block.  Its distinct segments are encoded once; its tokens are
+made, aligned, counted and written out in parts of bounded size, cut between segments (where
+both sides' tokens end), so that a part may end within a document.  What a block leaves
+are small rows, one for each document, with its pairs as places in the block's list of
+distinct pairs, and that list with the documents that hold each, some thousand pairs a row.
+No cell grows with the block, in the JVM or in Python: whole blocks as cells took executors
+beyond their memory on large inputs, as a scan holds many rows of a table at once.
+
+Only the lists are added up by pair, the highest count of an A id is found among its pairs
+(at most B's vocabulary), and both go back to the blocks by pair, hot ones in place.  There
+the documents of a block meet its list, which is as long as it was in the batch that made it.
 
 Results for special rows: null and empty texts have no tokens, zeros and no groups; equal
 texts are aligned one by one, and each is a document in the counts, as are rows with equal
@@ -300,8 +306,17 @@ def _wide_pairs(a: Tokens, b: Tokens, g: Aligned, wide: np.ndarray) -> tuple:
     return g.doc[group_a[row]], id_a[row] << B_BITS | id_b[other], times_a[row] * times_b[other]
 
 
+def _added(key: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their links."""
+    key, at = np.unique(key, return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, at, links)
+    return key, total
+
+
 def linked(a: Tokens, b: Tokens, left: np.ndarray, right: np.ndarray, g: Aligned) -> tuple:
-    """(document, pair, links): distinct pairs of ids linked in a document, in order."""
+    """(document and pair as one number, links): distinct pairs of ids linked in a document,
+    in order."""
     bits = A_BITS + B_BITS
     wide = (g.n_a > 1) & (g.n_b > 1)
     if wide.any():
@@ -312,16 +327,12 @@ def linked(a: Tokens, b: Tokens, left: np.ndarray, right: np.ndarray, g: Aligned
     )
     if wide.any():
         doc, pair, more = _wide_pairs(a, b, g, wide)
-        key, at = np.unique(np.concatenate([key, doc << bits | pair]), return_inverse=True)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, at, np.concatenate([links, more]))
-        links = total
-    values, place = np.unique(key & ((1 << bits) - 1), return_inverse=True)
-    return key >> bits, values, place, links
+        return _added(np.concatenate([key, doc << bits | pair]), np.concatenate([links, more]))
+    return key, links
 
 
-def _written(a: Tokens, b: Tokens, g: Aligned, names: tuple[list[bytes], list[bytes]]) -> list[str]:
-    """SHA-256 of the groups of each document, written out; empty without tokens."""
+def _write(a: Tokens, b: Tokens, g: Aligned, names: tuple[list[bytes], list[bytes]], hashes: dict) -> None:
+    """The groups of a part, written out, added to the SHA-256 of each document in it."""
     wide = len(names[0]) // 2
     # an id with the separator behind it: a comma within a side, else what closes the side
     last_a = np.append(g.of_a[1:] != g.of_a[:-1], True) if len(a.ids) else np.zeros(0, bool)
@@ -331,14 +342,15 @@ def _written(a: Tokens, b: Tokens, g: Aligned, names: tuple[list[bytes], list[by
     code[np.arange(len(b.ids)) + np.cumsum(g.n_a)[g.of_b]] = b.ids + wide * (2 + last_b)
     table = names[0] + names[1]
     texts = list(map(table.__getitem__, code.tolist()))
-    found, begin = [], 0
-    for n in (a.counts + b.counts).tolist():
-        if n:
-            found.append(hashlib.sha256(b"".join(texts[begin : begin + n])[:-1]).hexdigest())
+    many, begin = a.counts + b.counts, 0
+    for doc in np.flatnonzero(many).tolist():
+        end = begin + int(many[doc])
+        spelled = b"".join(texts[begin:end])[:-1]
+        if doc in hashes:
+            hashes[doc].update(b";" + spelled)
         else:
-            found.append("")
-        begin += n
-    return found
+            hashes[doc] = hashlib.sha256(spelled)
+        begin = end
 
 
 _NAMES: dict = {}
@@ -356,9 +368,38 @@ def _names(side_a, side_b) -> tuple[list[bytes], list[bytes]]:
     return _NAMES["names"]
 
 
-def encoded(texts: list[str], side_a: Side, side_b: Side) -> tuple[Tokens, Tokens]:
-    """Tokens of both sides; none for empty texts and those whose bytes differ.  Every
-    distinct segment of the batch is encoded once."""
+@dataclass
+class Segmented:
+    """Texts as segments: numbers of their keys and their documents, and the ids of the keys
+    on both sides.  Texts whose bytes differ, and empty ones, have no segments."""
+
+    keys: np.ndarray
+    doc: np.ndarray
+    known: tuple[Encoded, Encoded]
+    lengths: tuple[np.ndarray, np.ndarray]
+    n_docs: int
+
+    def tokens(self, begin: int = 0, end: int | None = None) -> tuple[Tokens, Tokens]:
+        """Tokens of a range of segments, both sides."""
+        keys, doc = self.keys[begin:end], self.doc[begin:end]
+        one, two = (
+            _tokens(keys, doc, self.n_docs, found, lengths)
+            for found, lengths in zip(self.known, self.lengths, strict=True)
+        )
+        return one, two
+
+    def parts(self, most: int) -> Iterator[tuple[int, int]]:
+        """Ranges of segments of about ``most`` tokens of both sides, one segment at least."""
+        many = np.cumsum((self.known[0].count + self.known[1].count)[self.keys])
+        begin = done = 0
+        while begin < len(many):
+            end = max(begin + 1, int(np.searchsorted(many, done + most, side="right")))
+            yield begin, end
+            begin, done = end, many[end - 1]
+
+
+def segmented(texts: list[str], side_a: Side, side_b: Side) -> Segmented:
+    """Every distinct segment of the texts is encoded once."""
     cut = [segments(t) if t else [] for t in texts]
     sizes = np.array([len(c) for c in cut], np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
@@ -367,63 +408,131 @@ def encoded(texts: list[str], side_a: Side, side_b: Side) -> tuple[Tokens, Token
     keys = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
     names = list(place)
     together, alone = grouped(names)
-    known = [side.encode(names, together, alone) for side in (side_a, side_b)]
-    bad = known[0].bad | known[1].bad
+    one, two = (side.encode(names, together, alone) for side in (side_a, side_b))
+    bad = one.bad | two.bad
     if bad.any():
         spoilt = np.zeros(len(texts), bool)
         spoilt[doc[bad[keys]]] = True
         keys, doc = keys[~spoilt[doc]], doc[~spoilt[doc]]
-    one, two = (
-        _tokens(keys, doc, len(texts), found, side.lengths)
-        for side, found in zip((side_a, side_b), known, strict=True)
-    )
-    return one, two
+    return Segmented(keys, doc, (one, two), (side_a.lengths, side_b.lengths), len(texts))
+
+
+def encoded(texts: list[str], side_a: Side, side_b: Side) -> tuple[Tokens, Tokens]:
+    """Tokens of both sides; none for empty texts and those whose bytes differ."""
+    return segmented(texts, side_a, side_b).tokens()
+
 
+#: Tokens of both sides that are aligned at once.
+PART_TOKENS = 200_000
 
+
+@dataclass
+class Block:
+    """What the alignment of some documents leaves: columns of numbers and hashes by
+    document, distinct (document, pair) in order with their links."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    shas: list[str]
+    doc: np.ndarray
+    pair: np.ndarray
+    links: np.ndarray
+
+
+def block_of(texts: list[str], side_a: Side, side_b: Side, most: int = PART_TOKENS) -> Block:
+    """The documents aligned, a part after the other."""
+    n, bits = len(texts), A_BITS + B_BITS
+    names = _names(side_a, side_b)
+    whole = segmented(texts, side_a, side_b)
+    counts = np.zeros((4, n), np.int64)
+    hashes: dict = {}
+    keys, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for begin, end in whole.parts(most):
+        a, b = whole.tokens(begin, end)
+        left, right = overlaps(a, b)
+        g = aligned(a, b, left, right)
+        key, times = linked(a, b, left, right, g)
+        keys.append(key)
+        links.append(times)
+        counts[0] += a.counts
+        counts[1] += b.counts
+        counts[2] += np.bincount(g.doc, minlength=n)
+        np.add.at(counts[3], g.doc, g.n_a * g.n_b)
+        _write(a, b, g, names, hashes)
+    key, times = _added(np.concatenate(keys), np.concatenate(links))
+    shas = [hashes[i].hexdigest() if i in hashes else "" for i in range(n)]
+    return Block(*counts, shas, key >> bits, key & ((1 << bits) - 1), times)
+
+
+#: Pairs of a block's list in one row.
+LIST_ROWS = 4096
+#: A document has ``key``, its numbers, its hash, and its pairs as places and links; a piece
+#: of a block's list has the place of its first pair, pairs and documents that hold them.
 BLOCK = (
-    "block long, keys array<{key}>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-    "n_links array<long>, shas array<string>, pairs array<long>, docs array<long>, "
-    "sizes array<int>, places array<int>, links array<long>"
+    "block long, key {key}, n_a long, n_b long, n_groups long, n_links long, sha string, "
+    "places binary, links binary, first long, pairs array<long>, docs array<long>"
 )
 
 
+def packed(values: np.ndarray, most: int) -> bytes:
+    """Numbers up to ``most`` in as few bytes each as hold it; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _rows(block: int, key: pa.Array, made: Block) -> Iterator[dict]:
+    """Columns of a block's rows: its documents, and its list in pieces."""
+    values, places = np.unique(made.pair, return_inverse=True)
+    ends = np.cumsum(np.bincount(made.doc, minlength=len(key)))[:-1]
+    yield {
+        "block": np.full(len(key), block),
+        "key": key,
+        "n_a": made.n_a,
+        "n_b": made.n_b,
+        "n_groups": made.n_groups,
+        "n_links": made.n_links,
+        "sha": made.shas,
+        "places": [packed(x, len(values)) for x in np.split(places, ends)],
+        "links": [packed(x, int(x.max(initial=0))) for x in np.split(made.links, ends)],
+    }
+    docs = np.bincount(places, minlength=len(values))
+    first = np.arange(0, len(values), LIST_ROWS)
+    if len(first):
+        yield {
+            "block": np.full(len(first), block),
+            "first": first,
+            "pairs": np.split(values, first[1:]),
+            "docs": np.split(docs, first[1:]),
+        }
+
+
 def _blocks(path_a: str, path_b: str, schema: pa.Schema):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         side_a, side_b = _side(ByteTokens, path_a), _side(PieceTokens, path_b)
-        names = _names(side_a, side_b)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             keys, at = batch.column("key"), 0
             for texts in slices(batch.column("text")):
-                a, b = encoded(texts, side_a, side_b)
-                left, right = overlaps(a, b)
-                g = aligned(a, b, left, right)
-                doc, values, places, links = linked(a, b, left, right, g)
                 n = len(texts)
-
-                def per_doc(values, of, n=n):
-                    return np.bincount(of, weights=values, minlength=n).astype(np.int64)
-
-                row = {
-                    "block": [block],
-                    "n_a": [a.counts],
-                    "n_b": [b.counts],
-                    "n_groups": [np.bincount(g.doc, minlength=n)],
-                    "n_links": [per_doc(g.n_a * g.n_b, g.doc)],
-                    "shas": [_written(a, b, g, names)],
-                    "pairs": [values],
-                    "docs": [np.bincount(places, minlength=len(values))],
-                    "sizes": [np.bincount(doc, minlength=n)],
-                    "places": [places],
-                    "links": [links],
-                }
-                arrays = [
-                    pa.array([keys.slice(at, n).to_pylist()] if f.name == "keys" else row[f.name], f.type)
-                    for f in schema
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                for row in _rows(block, keys.slice(at, n), block_of(texts, side_a, side_b)):
+                    many = len(row["block"])
+                    arrays = []
+                    for f in schema:
+                        if f.name not in row:
+                            arrays.append(pa.nulls(many, f.type))
+                        elif isinstance(row[f.name], pa.Array):
+                            arrays.append(row[f.name].cast(f.type))
+                        else:
+                            arrays.append(pa.array(row[f.name], f.type))
+                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
                 block, at = block + 1, at + n
 
     return made
@@ -436,39 +545,30 @@ RESULT = (
 
 
 def _results(schema: pa.Schema):
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-
-                def column(name, i=i, batch=batch):
-                    values = batch.column(name)
-                    return values.slice(i, 1).flatten() if values[i].is_valid else None
-
-                counted = column("counted")
-                sizes = column("sizes").to_numpy()
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                places, links = column("places").to_numpy(), column("links").to_numpy()
-                count = np.zeros(len(column("pairs")), np.int64)
-                best = np.zeros(len(count), bool)
-                if counted is not None and len(counted):
-                    at = counted.field("at").to_numpy()
-                    count[at] = counted.field("count").to_numpy()
-                    best[at] = counted.field("best").to_numpy(zero_copy_only=False)
-                weight = np.zeros((2, len(sizes)), np.int64)
-                np.add.at(weight[0], doc, links * best[places])
-                np.add.at(weight[1], doc, links * count[places])
-                columns = [
-                    column("keys"), column("n_a"), column("n_b"), column("n_groups"), column("n_links"),
-                    pa.array(weight[0]), pa.array(weight[1]), column("shas"),
-                ]
-                arrays = [c.cast(f.type) for c, f in zip(columns, schema, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+    def found(docs: pa.Table, counted: pa.Table) -> pa.Table:
+        """The documents of a block, and its list as (at, count, best)."""
+        at = counted.column("at").to_numpy()
+        count, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        count[at] = counted.column("count").to_numpy()
+        best[at] = counted.column("best").to_numpy()
+        weight = np.zeros((2, len(docs)), np.int64)
+        for i, (held, links) in enumerate(
+            zip(docs.column("places").to_pylist(), docs.column("links").to_pylist(), strict=True)
+        ):
+            held, links = unpacked(held), unpacked(links)
+            weight[0, i] = links @ best[held]
+            weight[1, i] = links @ count[held]
+        columns = [
+            *map(docs.column, ("key", "n_a", "n_b", "n_groups", "n_links")),
+            pa.chunked_array([weight[0]]), pa.chunked_array([weight[1]]), docs.column("sha"),
+        ]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return found
 
 
 def blocks(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The aligned documents of ``df``, one row per block, as a written table."""
+    """The aligned documents of ``df`` and the lists of their blocks, as a written table."""
     bound_batches()
     schema = BLOCK.format(key=df.schema[key].dataType.simpleString())
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -479,7 +579,8 @@ def blocks(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: s
 def pair_counts(aligned_blocks: DataFrame) -> DataFrame:
     """(pair, count, blocks, best): documents that hold a pair linked, and whether no pair
     of its A id is held by more; a written table."""
-    each = aligned_blocks.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p"))
+    lists = aligned_blocks.where(F.col("pairs").isNotNull())
+    each = lists.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p"))
     counts = settled(
         each.groupBy(F.col("p.pairs").alias("pair")).agg(
             F.sum("p.docs").alias("count"), F.count(F.lit(1)).alias("blocks")
@@ -502,10 +603,15 @@ def align(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: st
     groups_sha256."""
     made = blocks(df, path_a, path_b, key, text)
     counts = pair_counts(made)
-    listed = made.select("block", F.posexplode("pairs").alias("at", "pair"))
-    met = attach(listed, counts, "pair", "blocks", ["block", "at"], F.struct("count", "best"), "of")
-    # a block's list is as long as it was in the batch that made it
-    known = met.groupBy("block").agg(F.collect_list(F.struct("at", "of.count", "of.best")).alias("counted"))
+    lists = made.where(F.col("pairs").isNotNull())
+    listed = lists.select("block", "first", F.posexplode("pairs").alias("at", "pair")).select(
+        "block", (F.col("first") + F.col("at")).alias("at"), "pair"
+    )
+    value = F.struct("count", F.col("best").cast("long").alias("best"))
+    met = attach(listed, counts, "pair", "blocks", ["block", "at"], value, "of")
+    known = met.select(F.col("block").alias("of_block"), "at", "of.count", "of.best")
+    docs = made.where(F.col("pairs").isNull()).drop("first", "pairs", "docs")
     schema = RESULT.format(name=f"`{key}`", key=df.schema[key].dataType.simpleString())
-    whole = made.drop("docs").join(known, "block", "left")
-    return whole.mapInArrow(_results(to_arrow_schema(StructType.fromDDL(schema))), schema)
+    found = _results(to_arrow_schema(StructType.fromDDL(schema)))
+    # a block's documents and its list are no more than the batch that made them
+    return docs.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(found, schema)
